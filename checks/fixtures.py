@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceline.operators.embed import HashModel
+from traceline.sources.readers import read_table
 
 MODEL_A = HashModel("hash_a", 64)
 MODEL_B = HashModel("hash_b", 32, first_digit=8)
@@ -15,8 +16,13 @@ MODEL_SHORT = HashModel("hash_short", 64, max_words=400)
 VECTOR_DIMS = {"vec_a": 64, "vec_b": 32}
 
 
+# Tables of long texts, with the key their rows are dealt out by.
+TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    path = f"{sf}/{name}.parquet"
+    return read_table(spark, path, TEXTS[name]) if name in TEXTS else spark.read.parquet(path)
 
 
 def files(spark: SparkSession, sf: str) -> DataFrame:

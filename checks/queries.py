@@ -76,7 +76,7 @@ def src_directory(spark, sf):
     texts = readers.read_directory(spark, path, recursive=True)
     folder = F.regexp_extract("path", "^repo_id=([^/]*)/", 1)
     return texts.groupBy(folder.alias("folder")).agg(
-        F.sum(F.length("content")).alias("n_chars"), F.sum(F.regexp_count("content", F.lit("\n"))).alias("n_lines")
+        F.sum(F.length("content")).alias("n_chars"), F.sum(F.regexp_count(F.col("content"), F.lit("\n"))).alias("n_lines")
     )
 
 
@@ -491,20 +491,19 @@ def _match_single(spark, sf):
 
 
 def _model_results(spark, sf):
-    """Long results of six set-ups: two models and their combination, two depths."""
-    deepest = max(DEPTHS)
-    found = {m: stored(_section_hits(spark, sf, m, deepest), "hits") for m in fx.VECTOR_DIMS}
-    tables = []
-    for depth in DEPTHS:
-        top = {m: h.where(F.col("rk") <= depth) for m, h in found.items()}
-        for m in fx.VECTOR_DIMS:
-            tables.append(match.single_results(top[m]).withColumn("model", F.lit(f"{m}_top{depth}")))
-        dual = match.dual_results(top["vec_a"], top["vec_b"])
-        tables.append(dual.withColumn("model", F.lit(f"dual_top{depth}")))
-    union = tables[0]
-    for t in tables[1:]:
-        union = union.unionByName(t)
-    return union.drop("repo_id").withColumnRenamed("model", "repo_id")
+    """Long results of six set-ups: two models and their combination, two depths.
+
+    The set-up takes the place of the repository, so all six are one job.
+    """
+    found = {m: stored(_section_hits(spark, sf, m, max(DEPTHS)), "hits") for m in fx.VECTOR_DIMS}
+
+    def at_depths(model: str, name: str) -> DataFrame:
+        setups = F.array(*[F.when(F.col("rk") <= d, F.lit(f"{name}_top{d}")) for d in DEPTHS])
+        return found[model].withColumn("repo_id", F.explode(F.array_compact(setups)))
+
+    single = match.single_results(at_depths("vec_a", "vec_a").unionByName(at_depths("vec_b", "vec_b")))
+    dual = match.dual_results(at_depths("vec_a", "dual"), at_depths("vec_b", "dual"), depth=max(DEPTHS))
+    return single.unionByName(dual)
 
 
 def _written_results(spark, sf):

@@ -32,7 +32,8 @@ def is_active(requirement: Column) -> Column:
 
 def without_parentheses(text: Column) -> Column:
     """Drop every ``(...)`` with the blanks before it; nesting leaves a tail."""
-    return F.regexp_replace(text, rf"(?U){_BLANK}*\([^)]*\)", "")
+    cut = F.regexp_replace(text, rf"(?U){_BLANK}*\([^)]*\)", "")
+    return F.when(text.contains("("), cut).otherwise(text)
 
 
 def is_blank(text: Column) -> Column:

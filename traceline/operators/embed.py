@@ -31,8 +31,8 @@ def _vectors(rows: np.ndarray, missing: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(offsets, pa.array(rows[~missing].ravel(), type=kind))
 
 
-def _bucket_counts(texts: pa.Array, dim: int, first_digit: int, seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word counts per bucket, and words per text."""
+def _words(texts: pa.Array, dim: int, first_digit: int, seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and bucket of every word of a batch; each word is hashed once."""
     words = pc.split_pattern_regex(pc.fill_null(texts, ""), _WORD_BREAK)
     row = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
     coded = pc.ascii_lower(words.flatten()).dictionary_encode()
@@ -42,9 +42,7 @@ def _bucket_counts(texts: pa.Array, dim: int, first_digit: int, seen: dict[str,
             digest = hashlib.md5(word.encode()).hexdigest()
             seen[word] = int(digest[first_digit : first_digit + 8], 16) % dim if word else -1
     bucket = np.array([seen[w] for w in vocabulary], dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
-    row, bucket = row[bucket >= 0], bucket[bucket >= 0]
-    counts = np.bincount(row * dim + bucket, minlength=len(texts) * dim).reshape(len(texts), dim)
-    return counts, counts.sum(axis=1)
+    return row[bucket >= 0], bucket[bucket >= 0]
 
 
 @dataclass(frozen=True)
@@ -61,19 +59,6 @@ class HashModel:
     first_digit: int = 0
     max_words: int | None = None
 
-    def counts(self, text: Column) -> Column:
-        """Word counts per bucket, which add up over texts."""
-        dim, first_digit = self.dim, self.first_digit
-
-        @F.arrow_udf("array<long>")
-        def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            seen: dict[str, int] = {}
-            for texts in batches:
-                counts, _ = _bucket_counts(texts, dim, first_digit, seen)
-                yield _vectors(counts, np.zeros(len(texts), dtype=bool), pa.int64())
-
-        return count(text)
-
     def column(self, text: Column) -> Column:
         """``struct<embedding, error>``."""
         dim, first_digit, max_words = self.dim, self.first_digit, self.max_words
@@ -82,7 +67,9 @@ class HashModel:
         def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             seen: dict[str, int] = {}
             for texts in batches:
-                counts, words = _bucket_counts(texts, dim, first_digit, seen)
+                row, bucket = _words(texts, dim, first_digit, seen)
+                counts = np.bincount(row * dim + bucket, minlength=len(texts) * dim).reshape(len(texts), dim)
+                words = counts.sum(axis=1)
                 empty = words == 0
                 long = words > max_words if max_words is not None else np.zeros(len(texts), dtype=bool)
                 length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
@@ -187,27 +174,39 @@ def embed_two_models(files: DataFrame, text: str, first: Model, second: Model) -
     )
 
 
-def sum_counts(texts: DataFrame, text: str, group: list[str], model: HashModel) -> DataFrame:
+def sum_counts(texts: DataFrame, text: str, group: str, model: HashModel) -> DataFrame:
     """Embedding of all texts of a group joined by blanks, without joining them.
 
-    Word counts add up, so a group of any size is summed on the map side and
-    only ``dim`` numbers per group are shuffled.
+    Word counts add up: each batch is summed where it is read, and at most
+    ``dim`` numbers per group and task are shuffled, so a group may be of any size.
     """
-    per_bucket = (
-        texts.select(*group, F.posexplode(model.counts(F.col(text))).alias("bucket", "n"))
-        .groupBy(*group, "bucket")
+    dim, first_digit = model.dim, model.first_digit
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        for batch in batches:
+            groups = batch.column(group).dictionary_encode()
+            row, bucket = _words(batch.column(text), dim, first_digit, seen)
+            code = groups.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
+            cell, n = np.unique(code * dim + bucket, return_counts=True)
+            names = groups.dictionary.take(pa.array(cell // dim))
+            yield pa.RecordBatch.from_arrays([names, pa.array(cell % dim), pa.array(n)], names=[group, "bucket", "n"])
+
+    kind = texts.schema[group].dataType.simpleString()
+    summed = (
+        texts.where(F.col(group).isNotNull())
+        .select(group, text)
+        .mapInArrow(task, f"{group} {kind}, bucket long, n long")
+        .groupBy(group, "bucket")
         .agg(F.sum("n").alias("n"))
     )
-    # ``dim`` rows per group from here on.
-    dense = per_bucket.groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("c"),
+    # ``dim`` rows per group at most from here on.
+    sparse = summed.groupBy(group).agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("c"),
         F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"),
         F.sum("n").alias("words"),
     )
-    fits = F.col("words") > 0
-    if model.max_words is not None:
-        fits &= F.col("words") <= model.max_words
-    return dense.select(
-        *group,
-        F.when(fits, F.transform("c", lambda c: (c["n"] / F.col("length")).cast("float"))).alias("embedding"),
-    )
+    bucket = F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))
+    vector = F.transform(bucket, lambda b: (F.coalesce(F.col("c")[b], F.lit(0)) / F.col("length")).cast("float"))
+    fits = F.lit(True) if model.max_words is None else F.col("words") <= model.max_words
+    return sparse.select(group, F.when(fits, vector).alias("embedding"))

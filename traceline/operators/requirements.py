@@ -57,6 +57,6 @@ def section_queries(cleaned: DataFrame) -> DataFrame:
 def section_vectors(cleaned: DataFrame, model: Model) -> DataFrame:
     """``section_name, first_row, embedding`` of every section query."""
     if isinstance(model, HashModel):
-        vectors = sum_counts(cleaned, "req_description", ["section_name"], model)
+        vectors = sum_counts(cleaned, "req_description", "section_name", model)
         return vectors.join(first_rows(cleaned), "section_name")
     return embed(section_queries(cleaned), "query_text", model).select("section_name", "first_row", "embedding")

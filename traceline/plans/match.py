@@ -130,14 +130,22 @@ def match_dual(
     return dual_results(complete(first, "embedding_1"), complete(second, "embedding_2"), min_distance)
 
 
-def dual_results(first: DataFrame, second: DataFrame, min_distance: float | None = MIN_DISTANCE) -> DataFrame:
-    """Two complete rankings to the result table.
+def dual_results(
+    first: DataFrame, second: DataFrame, min_distance: float | None = MIN_DISTANCE, depth: int | None = None
+) -> DataFrame:
+    """Two rankings to the result table.
 
-    Lists may hold every file of a repository, so they are numbered by range.
+    Without a depth the rankings are complete and a list may hold every file of
+    a repository, so lists are numbered by range; with one they are short.
     """
     merged = merge_complete(first, second, min_distance)
     kept = merged.where("kept").drop("kept")
-    listed = number_rows(kept, [*KEY, "first_row", "kind"], ["src", "near", "file_name"], "pos")
+    key, order = [*KEY, "first_row", "kind"], ["src", "near", "file_name"]
+    if depth is None:
+        listed = number_rows(kept, key, order, "pos")
+    else:
+        place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+        listed = kept.withColumn("pos", place.cast("long"))
     empty = (
         merged.groupBy(*KEY, "first_row")
         .agg(F.max("kept").alias("kept"))
@@ -145,7 +153,10 @@ def dual_results(first: DataFrame, second: DataFrame, min_distance: float | None
         .select(
             *KEY,
             "first_row",
-            *[F.lit(None).cast(t).alias(c) for c, t in [("kind", "string"), ("pos", "long"), ("file_name", "string"), ("score", "double")]],
+            F.lit(None).cast("string").alias("kind"),
+            F.lit(None).cast("long").alias("pos"),
+            F.lit(None).cast("string").alias("file_name"),
+            F.lit(None).cast("double").alias("score"),
         )
     )
     return listed.select(*RESULT_COLUMNS).unionByName(empty)

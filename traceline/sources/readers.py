@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceline import schemas
-from traceline.functions.codec import decode_blob
+from traceline.functions.codec import with_decoded
 from traceline.functions.text import is_source_file
 from traceline.operators.ranking import number_rows
 
@@ -18,6 +18,17 @@ from traceline.operators.ranking import number_rows
 _PIECE = 2**31
 
 
+def read_table(spark: SparkSession, path: str, *key: str) -> DataFrame:
+    """A Parquet table for work that is heavy per row, such as embedding.
+
+    A scan in fewer splits than there are cores is a small table or one of few
+    row groups; its rows are dealt out by ``key``. Any other is read as it lies.
+    """
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, *key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _tree_rows(tree: Column, *ids: Column) -> list[Column]:
     return [*ids, F.posexplode(tree).alias("pos", "path", "blob")]
 
@@ -62,12 +73,13 @@ def decode_files(tree: DataFrame, on_error: str = "fail", spread: bool = False)
     kept = tree.where(is_source_file(F.col("path")))
     if spread:
         kept = kept.repartition("repo_id", "path")
-    decoded = kept.withColumn("_d", decode_blob(F.col("content")))
+    decoded = with_decoded(kept, "content", "_text", "error")
+    columns = ["repo_id", "pos", "path", F.col("_text").alias("content")]
     if on_error == "null":
-        return decoded.select("repo_id", "pos", "path", F.col("_d.text").alias("content"), F.col("_d.error").alias("error"))
-    failed = F.raise_error(F.concat(F.lit("cannot decode "), F.col("path"), F.lit(": "), F.col("_d.error")))
-    content = F.when(F.col("_d.error").isNull(), F.col("_d.text")).otherwise(failed.cast("string"))
-    return decoded.select("repo_id", "pos", "path", content.alias("content"))
+        return decoded.select(*columns, "error")
+    failed = F.raise_error(F.concat(F.lit("cannot decode "), F.col("path"), F.lit(": "), F.col("error")))
+    checked = F.when(F.col("error").isNull(), F.col("_text")).otherwise(failed.cast("string"))
+    return decoded.withColumn("_text", checked).select(*columns)
 
 
 def read_requirements(spark: SparkSession, path: str, dense: bool = False) -> DataFrame:
@@ -96,7 +108,8 @@ def read_directory(spark: SparkSession, directory: str, recursive: bool = False)
     """
     root = directory.rstrip("/")
     text = spark.read.text(root, wholetext=True, recursiveFileLookup=recursive).select("value", "_metadata.file_path")
-    inside = F.substring_index("file_path", F.concat(F.lit(root), F.lit("/")), -1)
+    start = F.instr("file_path", f"{root}/") + len(root) + 1
+    inside = F.substr("file_path", start)
     return text.select(F.lit(root).alias("repo_id"), inside.alias("path"), F.col("value").alias("content"))
 
 

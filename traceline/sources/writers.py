@@ -21,7 +21,7 @@ def write_result_json(results: DataFrame, path: str, depth: int | None = None, b
         documents = documents.withColumnRenamed("repo_id", by)
         folders = [by if f == "repo_id" else f for f in folders]
     (
-        documents.repartitionByRange(*folders, "block", "piece")
+        documents.hint("rebalance", *folders)
         .sortWithinPartitions(*folders, "block", "piece")
         .select(*folders, F.col("document").alias("value"))
         .write.partitionBy(*folders)
