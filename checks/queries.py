@@ -66,7 +66,7 @@ def src_files(spark, sf):
 def src_requirements(spark, sf):
     path = fresh_path(spark, "requirements")
     writers.write_requirements(fx.requirements(spark, sf), path)
-    return readers.read_requirements(spark, path, dense=True)
+    return readers.read_requirements(spark, path)
 
 
 @query

@@ -2,27 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from traceline.functions.scoring import angular_distance
-from traceline.operators.knn import BLOCK_CELLS, nearest, nearest_grouped
+from traceline.operators.knn import BLOCK_CELLS, nearest, nearest_grouped, unit_matrix
 from traceline.runtime import stored
 
 
-def _hashed(df: DataFrame, model, id_columns: list[str]) -> DataFrame:
-    """One row per vector and hash table, with the bucket."""
-    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.transform("embedding", lambda x: x.cast("double") / F.col("_length"))
-    vectors = df.withColumn("_length", length).where(F.col("_length") > 0).withColumn("features", array_to_vector(unit))
-    return (
-        model.transform(vectors)
-        .select(*id_columns, "embedding", F.posexplode("hashes").alias("table", "_h"))
-        .withColumn("bucket", vector_to_array("_h")[0].cast("long"))
-        .drop("_h")
-    )
+LEAF = 128  # files wanted in a bucket
+_SLICE = 1024  # vectors copied to all tables at once
+
+
+def _hashed(df: DataFrame, ids: list[str], dim: int, tables: int, hashes: int, width: float, seed: int) -> DataFrame:
+    """One row per vector and table with its bucket.
+
+    A bucket is made of ``hashes`` random projections cut into steps of
+    ``width``. Two buckets with one number would only be searched together.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draw = np.random.default_rng(seed)
+        lines = draw.normal(size=(dim, tables * hashes))
+        lines /= np.linalg.norm(lines, axis=0)
+        mix = draw.integers(1, 2**62, size=hashes) * 2 + 1
+        for batch in batches:
+            for start in range(0, batch.num_rows, _SLICE):
+                piece = batch.slice(start, _SLICE)
+                vectors = unit_matrix(piece.column("embedding"), dim)
+                alive = np.flatnonzero(~np.isnan(vectors[:, 0]))
+                cuts = np.floor(vectors[alive] @ lines / width).astype(np.int64)
+                bucket = (cuts.reshape(len(alive), tables, hashes) * mix).sum(axis=2)
+                rows = piece.take(pa.array(np.repeat(alive, tables)))
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns, pa.array(np.tile(np.arange(tables), len(alive))), pa.array(bucket.ravel())],
+                    names=[*rows.schema.names, "table", "bucket"],
+                )
+
+    columns = df.select(*ids, "embedding")
+    schema = T.StructType([*columns.schema, T.StructField("table", T.LongType()), T.StructField("bucket", T.LongType())])
+    return columns.mapInArrow(task, schema)
 
 
 def nearest_lsh(
@@ -33,7 +58,8 @@ def nearest_lsh(
     scope: list[str] | None = None,
     by: list[str] | None = None,
     keep: list[str] | None = None,
-    tables: int = 16,
+    tables: int = 32,
+    hashes: int | None = None,
     bucket_length: float = 0.5,
     seed: int = 42,
     block_rows: int | None = None,
@@ -44,7 +70,8 @@ def nearest_lsh(
     Vectors of a table meet in their bucket and are scored there as blocks;
     pairs never become rows. A bucket of many vectors is cut into even blocks
     on either side, so copies that fall into one bucket do not meet in one
-    task. Queries whose buckets held fewer than ``k`` files are searched
+    task. More ``tables`` find more neighbours; more ``hashes`` make smaller
+    buckets, by default about ``LEAF`` files each. Queries whose buckets held fewer than ``k`` files are searched
     exactly when ``complete``.
     """
     scope = ["repo_id"] if scope is None else scope
@@ -53,15 +80,11 @@ def nearest_lsh(
     rows = block_rows or max(1, BLOCK_CELLS // dim)
     files = index.where(F.col("embedding").isNotNull()).select(*scope, "idx", *keep, "embedding")
     asks = queries.where(F.col("embedding").isNotNull()).select(*by, "embedding")
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    # Projections depend on dimension and seed only, one vector is enough to fit.
-    unit = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.lit(1.0))
-    model = lsh.fit(index.sparkSession.range(1).select(array_to_vector(unit).alias("features")))
-
-    left = _hashed(files, model, [*scope, "idx", *keep])
-    right = _hashed(asks, model, by)
+    if hashes is None:
+        # A projection splits unit vectors about in two.
+        hashes = max(1, round(math.log2(max(1, files.count()) / LEAF)))
+    left = _hashed(files, [*scope, "idx", *keep], dim, tables, hashes, bucket_length, seed)
+    right = _hashed(asks, by, dim, tables, hashes, bucket_length, seed)
     slot = ["table", "bucket"]
 
     def blocks(df: DataFrame, name: str) -> DataFrame:

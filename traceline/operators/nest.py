@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 PAIRS_PER_PIECE = 4096  # files of one list in one nested row
 ROWS_PER_BLOCK = 1024  # requirement rows whose sections share an object
 FILES_PER_BLOCK = 1024  # files of a repository in one object
+_PARTS = 2**31  # pieces of a block stay below this
 
 
 def _files(kind: str) -> Column:
@@ -98,20 +99,18 @@ def tree_documents(tree: DataFrame, files: int = FILES_PER_BLOCK) -> DataFrame:
 
 
 def combined_payload(results: DataFrame, tree: DataFrame, files: int = FILES_PER_BLOCK) -> DataFrame:
-    """``{"rag_output": ..., "repo_files": ...}`` per repository.
+    """``repo_id, part, payload``: ``{"rag_output": ..., "repo_files": ...}``.
 
-    Result object n and file object n of a repository travel together; when one
-    side has fewer, the other goes with an empty object.
+    The first result object of a repository travels with its first files, and
+    so on while both last; the rest goes with an empty object. The parts are
+    computed from the blocks, so nothing of a repository comes together in one
+    task.
     """
     empty = F.lit("{}")
-    documents = result_documents(results)
-    # A repository has few objects, so numbering them costs next to nothing.
-    numbered = documents.withColumn("part", F.expr("row_number() over (partition by repo_id order by block, piece) - 1"))
-    trees = tree_documents(tree, files).withColumn(
-        "part", F.expr("row_number() over (partition by repo_id order by block) - 1")
-    )
+    documents = result_documents(results).withColumn("part", F.col("block") * _PARTS + F.col("piece"))
+    trees = tree_documents(tree, files).withColumn("part", F.col("block"))
     return (
-        numbered.select("repo_id", "part", "document")
+        documents.select("repo_id", "part", "document")
         .join(trees.select("repo_id", "part", "tree"), ["repo_id", "part"], "full")
         .select(
             "repo_id",
