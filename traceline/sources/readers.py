@@ -18,6 +18,15 @@ from traceline.operators.ranking import number_rows
 _PIECE = 2**31
 
 
+def _unescaped(text: Column) -> Column:
+    """Percent escapes of file and folder names; a plus sign stands for itself."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def _with_path(df: DataFrame) -> DataFrame:
+    return df.select("value", _unescaped(F.col("_metadata.file_path")).alias("file_path"))
+
+
 def read_table(spark: SparkSession, path: str, *key: str) -> DataFrame:
     """A Parquet table for work that is heavy per row, such as embedding.
 
@@ -29,8 +38,21 @@ def read_table(spark: SparkSession, path: str, *key: str) -> DataFrame:
     return rows.repartition(cores, *key) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def _tree_rows(tree: Column, *ids: Column) -> list[Column]:
-    return [*ids, F.posexplode(tree).alias("pos", "path", "blob")]
+def _entries(df: DataFrame, map_column: str, *ids: str) -> DataFrame:
+    """``pos, key, value`` of a parsed JSON object.
+
+    A repeated key keeps its first place and its last value. The parser leaves
+    repeats in, and looking for them costs one pass unless there are some.
+    """
+    keys, values = F.map_keys(map_column), F.map_values(map_column)
+
+    def last(key: Column) -> Column:
+        return F.get(values, F.size(map_column) - F.array_position(F.reverse(keys), key).cast("int"))
+
+    settled = F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("key"), last(k).alias("value")))
+    unique = F.size(F.array_distinct(keys)) == F.size(map_column)
+    entries = F.when(unique, F.map_entries(map_column)).otherwise(settled)
+    return df.select(*ids, F.posexplode(entries).alias("pos", "_entry")).select(*ids, "pos", "_entry.key", "_entry.value")
 
 
 def read_repo_tree(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
@@ -39,21 +61,30 @@ def read_repo_tree(spark: SparkSession, path: str, repo_id: str | None = None) -
     Without ``repo_id`` the repository is the ``repo_id=`` folder of the file,
     and a ``part=`` folder places the pieces of a large one.
     """
-    text = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path")
-    folder = F.url_decode(F.regexp_extract("file_path", "/repo_id=([^/]*)/", 1))
+    text = _with_path(spark.read.text(path, wholetext=True))
+    folder = _unescaped(F.regexp_extract("file_path", "/repo_id=([^/]*)/", 1))
     part = F.coalesce(F.try_to_number(F.regexp_extract("file_path", "/part=([0-9]+)/", 1), F.lit("9999999999")), F.lit(0))
-    tree = F.from_json("value", schemas.REPO_TREE)
-    return text.select(
-        part.cast("long").alias("part"), *_tree_rows(tree, (folder if repo_id is None else F.lit(repo_id)).alias("repo_id"))
-    ).select("repo_id", (F.col("part") * _PIECE + F.col("pos")).alias("pos"), "path", "blob.content")
+    parsed = text.select(
+        (folder if repo_id is None else F.lit(repo_id)).alias("repo_id"),
+        part.cast("long").alias("part"),
+        F.from_json("value", schemas.REPO_TREE).alias("tree"),
+    )
+    return _tree_rows(parsed)
+
+
+def _tree_rows(parsed: DataFrame) -> DataFrame:
+    return _entries(parsed, "tree", "repo_id", "part").select(
+        "repo_id", (F.col("part") * _PIECE + F.col("pos")).alias("pos"), F.col("key").alias("path"), "value.content"
+    )
 
 
 def explode_payload(payload: DataFrame) -> DataFrame:
     """One row per file of ``{id, repository_tree}`` rows, batch or stream."""
-    return payload.select(
-        F.coalesce("part", F.lit(0)).alias("part"),
-        *_tree_rows(F.col("repository_tree"), F.col("id").alias("repo_id")),
-    ).select("repo_id", (F.col("part") * _PIECE + F.col("pos")).alias("pos"), "path", "blob.content")
+    return _tree_rows(
+        payload.select(
+            F.col("id").alias("repo_id"), F.coalesce("part", F.lit(0)).alias("part"), F.col("repository_tree").alias("tree")
+        )
+    )
 
 
 def read_payload(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
@@ -107,7 +138,7 @@ def read_directory(spark: SparkSession, directory: str, recursive: bool = False)
     The path is relative to the directory, which also names the repository.
     """
     root = directory.rstrip("/")
-    text = spark.read.text(root, wholetext=True, recursiveFileLookup=recursive).select("value", "_metadata.file_path")
+    text = _with_path(spark.read.text(root, wholetext=True, recursiveFileLookup=recursive))
     start = F.instr("file_path", f"{root}/") + len(root) + 1
     inside = F.substr("file_path", start)
     return text.select(F.lit(root).alias("repo_id"), inside.alias("path"), F.col("value").alias("content"))
@@ -122,13 +153,14 @@ def read_results(spark: SparkSession, path: str | list[str], layout: str = "docu
     """
     if layout not in ("document", "lines"):
         raise ValueError(f"unknown layout {layout!r}")
-    text = spark.read.text(path, wholetext=layout == "document").select("value", "_metadata.file_path")
-    folder = F.regexp_extract("file_path", "/model=([^/]*)/", 1)
+    text = _with_path(spark.read.text(path, wholetext=layout == "document"))
+    folder = _unescaped(F.regexp_extract("file_path", "/model=([^/]*)/", 1))
     name = F.regexp_replace(F.substring_index("file_path", "/", -1), r"^section_result_|\.json$", "")
-    sections = text.select(
-        F.url_decode(F.when(folder != "", folder).otherwise(name)).alias("model"),
-        F.posexplode(F.from_json("value", schemas.RESULT_DOCUMENT)).alias("first_row", "section_name", "lists"),
+    parsed = text.select(
+        F.when(folder != "", folder).otherwise(name).alias("model"),
+        F.from_json("value", schemas.RESULT_DOCUMENT).alias("sections"),
     )
+    sections = _entries(parsed, "sections", "model").toDF("model", "first_row", "section_name", "lists")
     return result_pairs(sections)
 
 
