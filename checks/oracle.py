@@ -207,7 +207,7 @@ select count(*) as sections, sum("TP")::bigint as "TP", sum("FP")::bigint as "FP
 from metrics
 """
 CTES["word_lists"] = r"""
-select repo_id, pos, path, list_filter(string_split_regex(content, '[ \t\n\r\f]+'), lambda w: w <> '') as words from files
+select repo_id, pos * 2 + (repo_id = 'web')::int as pos, path, list_filter(string_split_regex(content, '[ \t\n\r\f]+'), lambda w: w <> '') as words from files
 """
 CTES["chunked"] = """
 select repo_id, pos * 2147483648 + chunk as idx, pos * 2147483648 + chunk as pos, path,

@@ -362,7 +362,7 @@ def prompt_summary_table(spark, sf):
 
 @query
 def doc_context(spark, sf):
-    return search.document_context(fx.files(spark, sf), fx.query_texts(spark, sf), A)
+    return search.document_context(_one_numbering(spark, sf), fx.query_texts(spark, sf), A)
 
 
 # Evaluation
@@ -462,17 +462,22 @@ def _neighbours(spark, sf):
     return knn.nearest(fx.vectors(spark, sf), fx.vector_queries(spark, sf), 4, 64, by=["q"])
 
 
+def _one_numbering(spark, sf):
+    """The files with positions that tell those of all repositories apart."""
+    web = F.col("repo_id") == "web"
+    return fx.files(spark, sf).withColumn("pos", F.col("pos") * 2 + F.when(web, 1).otherwise(0))
+
+
 def _search(spark, sf):
-    files = fx.files(spark, sf).withColumnRenamed("pos", "idx")
-    # One listing over all repositories; the number must tell their files apart.
-    files = files.withColumn("idx", F.when(F.col("repo_id") == "web", F.col("idx") * 2 + 1).otherwise(F.col("idx") * 2))
+    files = _one_numbering(spark, sf).withColumnRenamed("pos", "idx")
     embedded = embed.embedded_ok(embed.embed(files, "content", A))
     return search.search(embedded, fx.query_texts(spark, sf), A, scope=[], keep=["repo_id", "path"])
 
 
 def _prompts(spark, sf, style):
     files = fx.files(spark, sf)
-    return documents.prompt_table(_search(spark, sf), files, "query", style).select("query_id", "rk", "path", "prompt")
+    prompts = documents.prompt_table(_search(spark, sf), files, fx.query_texts(spark, sf), style)
+    return prompts.select("query_id", "rk", "path", "prompt")
 
 
 def _section_hits(spark, sf, model, depth):

@@ -1,9 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from traceline.operators.approximate import nearest_lsh
-from traceline.operators.knn import nearest, nearest_blocked, rank_all
+from traceline.operators.knn import keep_best, nearest, nearest_blocked, rank_all
 
 DIM = 8
 
@@ -94,3 +95,13 @@ def test_short_answers_are_searched_exactly(data):
     index, queries, vectors, repos = data
     found = nearest_lsh(index, queries, 150, DIM, by=["q"], tables=1, hashes=6)
     assert found.count() == len(brute(vectors, repos, range(0, 300, 10), 150))
+
+
+@pytest.mark.parametrize("pending", [1, 50, 10_000])
+def test_running_best_of_a_task(pending):
+    draw = np.random.default_rng(2)
+    table = pa.table({"g": draw.integers(0, 4, 500), "idx": np.arange(500), "cos_sim": draw.integers(0, 9, 500) / 10})
+    found = pa.Table.from_batches(list(keep_best(table.to_batches(max_chunksize=20), 3, ["g"], pending))).to_pandas()
+    best = lambda frame: frame.sort_values(["g", "cos_sim", "idx"], ascending=[True, False, True]).groupby("g").head(3)
+    assert best(found).values.tolist() == best(table.to_pandas()).values.tolist()
+    assert pending < 50 or len(found) <= 12 + pending

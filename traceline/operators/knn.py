@@ -1,8 +1,8 @@
 """Nearest neighbours in angular distance.
 
-Vectors are scored as matrix products inside Arrow batches. A batch keeps the
+Vectors are scored as matrix products inside Arrow batches. A task keeps the
 best ``k`` files per query and scope and drops the rest, so the pairs never
-become rows; a window then picks the best ``k`` over all batches. Cosines are
+become rows; a window then picks the best ``k`` over all tasks. Cosines are
 rounded to nine decimals, which makes equal vectors equal whatever the order
 of summation; ties are then settled by ``idx``.
 """
@@ -25,6 +25,7 @@ from traceline.runtime import stored
 
 UNIT = 10**9  # cosines are compared as whole multiples of 1e-9
 CELLS = 4_000_000  # scores held at once in a task
+PENDING = 500_000  # finds held back in a task
 BROADCAST_BYTES = 64 * 2**20  # largest query matrix sent to every executor
 BLOCK_CELLS = 2**22  # vector components in one block of the blocked join
 FULL_BLOCK_ROWS = 1024  # block side when every pair is part of the result
@@ -83,26 +84,60 @@ def score_table(
     scope: list[str],
     keep: list[str],
 ) -> Iterator[pa.RecordBatch]:
-    """Score one bounded piece of the index against a bounded query matrix."""
-    step = max(1, CELLS // max(1, matrix.shape[0]))
-    for start in range(0, table.num_rows, step):
-        piece = table.slice(start, step)
-        files = unit_matrix(piece.column("embedding"), matrix.shape[1])
-        idx = piece.column("idx").to_numpy()
-        codes = _scope_codes(piece, scope)
-        sims = matrix @ files.T
-        usable = ~np.isnan(files[:, 0])
-        sims = np.rint(np.nan_to_num(sims) * UNIT).astype(np.int64)
-        for members in _members(codes, usable):
-            query, column = _best(sims[:, members], idx[members], k)
-            column = members[column]
-            data = [piece.column(c).take(pa.array(column)) for c in [*scope, "idx", *keep]]
-            data += [c.take(pa.array(query)) for c in names.columns]
+    """Score one bounded piece of the index against a bounded query matrix.
+
+    Queries go in chunks of ``CELLS`` scores, so the larger the piece the more
+    of its files are dropped at once.
+    """
+    files = unit_matrix(table.column("embedding"), matrix.shape[1])
+    idx = table.column("idx").to_numpy()
+    groups = _members(_scope_codes(table, scope), ~np.isnan(files[:, 0]))
+    step = max(1, CELLS // max(1, table.num_rows))
+    for start in range(0, matrix.shape[0], step):
+        chunk, asked = matrix[start : start + step], names.slice(start, step)
+        for members in groups:
+            sims = np.rint(chunk @ files[members].T * UNIT).astype(np.int64)
+            query, column = _best(sims, idx[members], k)
+            picked = members[column]
+            data = [table.column(c).take(pa.array(picked)) for c in [*scope, "idx", *keep]]
+            data += [c.take(pa.array(query)) for c in asked.columns]
             data.append(pa.array(sims[query, column] / UNIT))
             data = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in data]
             yield pa.RecordBatch.from_arrays(data, names=[*scope, "idx", *keep, *names.column_names, "cos_sim"])
 
 
+def _still_best(found: pa.Table, k: int, key: list[str]) -> pa.Table:
+    """The best ``k`` rows of each key."""
+    codes = _scope_codes(found, key)
+    order = np.lexsort((found.column("idx").to_numpy(), -found.column("cos_sim").to_numpy(), codes))
+    codes = codes[order]
+    starts = np.flatnonzero(np.diff(codes, prepend=-1))
+    place = np.arange(len(codes)) - np.repeat(starts, np.diff(starts, append=len(codes)))
+    return found.take(pa.array(order[place < k])).combine_chunks()
+
+
+def keep_best(parts: Iterable[pa.RecordBatch], k: int, key: list[str], pending: int) -> Iterator[pa.RecordBatch]:
+    """Reduce the finds of a task to ``k`` per key before they leave Python.
+
+    At most about ``pending`` rows wait; when hardly any of them can be
+    dropped, as with many small repositories, they are passed on as they are.
+    """
+    waiting: list[pa.RecordBatch] = []
+    rows = 0
+    for part in parts:
+        waiting.append(part)
+        rows += part.num_rows
+        if rows > pending:
+            best = _still_best(pa.Table.from_batches(waiting), k, key)
+            if best.num_rows > pending // 2:
+                yield from best.to_batches()
+                waiting, rows = [], 0
+            else:
+                waiting, rows = best.to_batches(), best.num_rows
+    if waiting:
+        yield from _still_best(pa.Table.from_batches(waiting), k, key).to_batches()
+
+
 def _out_schema(index: DataFrame, queries: DataFrame, scope: list[str], by: list[str], keep: list[str]) -> T.StructType:
     fields = [index.schema[c] for c in [*scope, "idx", *keep]] + [queries.schema[c] for c in by]
     return T.StructType([*fields, T.StructField("cos_sim", T.DoubleType())])
@@ -135,12 +170,20 @@ def nearest_broadcast(
         (unit_matrix(matrix.column("embedding"), dim), matrix.select(by).combine_chunks())
     )
 
+    # Long vectors are widened to doubles a part of the batch at a time.
+    step = max(1, BLOCK_CELLS // dim)
+
     def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, names = shared.value
         alive = np.flatnonzero(~np.isnan(rows[:, 0]))
         rows, names = rows[alive], names.take(pa.array(alive))
-        for batch in batches:
-            yield from score_table(batch, rows, names, k, scope, keep)
+        found = (
+            part
+            for batch in batches
+            for start in range(0, batch.num_rows, step)
+            for part in score_table(batch.slice(start, step), rows, names, k, scope, keep)
+        )
+        yield from found if k is None else keep_best(found, k, [*scope, *by], max(PENDING, 4 * k * len(rows)))
 
     found = _columns(index, scope, keep).mapInArrow(task, _out_schema(index, queries, scope, by, keep))
     return _top(found, k, scope, by)
