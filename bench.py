@@ -33,6 +33,8 @@ HEADLINE = [
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = session(os.environ.get("BENCH_CPUS", "8"))
+    # Start the Python workers and load the classes before the clock runs.
+    QUERIES["search_listing"](spark, sf).count()
     seconds = {}
     for name in HEADLINE:
         begin = time.perf_counter()

@@ -95,15 +95,19 @@ def score_table(
     step = max(1, CELLS // max(1, table.num_rows))
     for start in range(0, matrix.shape[0], step):
         chunk, asked = matrix[start : start + step], names.slice(start, step)
+        found = []
         for members in groups:
             sims = np.rint(chunk @ files[members].T * UNIT).astype(np.int64)
             query, column = _best(sims, idx[members], k)
-            picked = members[column]
-            data = [table.column(c).take(pa.array(picked)) for c in [*scope, "idx", *keep]]
-            data += [c.take(pa.array(query)) for c in asked.columns]
-            data.append(pa.array(sims[query, column] / UNIT))
-            data = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in data]
-            yield pa.RecordBatch.from_arrays(data, names=[*scope, "idx", *keep, *names.column_names, "cos_sim"])
+            found.append((query, members[column], sims[query, column]))
+        if not found:
+            continue
+        query, picked, sims = (np.concatenate(part) for part in zip(*found))
+        data = [table.column(c).take(pa.array(picked)) for c in [*scope, "idx", *keep]]
+        data += [c.take(pa.array(query)) for c in asked.columns]
+        data.append(pa.array(sims / UNIT))
+        data = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in data]
+        yield pa.RecordBatch.from_arrays(data, names=[*scope, "idx", *keep, *names.column_names, "cos_sim"])
 
 
 def _still_best(found: pa.Table, k: int, key: list[str]) -> pa.Table:
@@ -282,7 +286,11 @@ def nearest(
 
 
 def rank_all(hits: DataFrame, scope: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
-    """Add ``rk`` to complete rankings, whatever the size of a repository."""
+    """Add ``rk`` to complete rankings, whatever the size of a repository.
+
+    The hits are written first: sorting by range reads its input twice, and
+    scoring once and reading twice is cheaper than scoring twice.
+    """
     scope = ["repo_id"] if scope is None else scope
     by = ["section_name"] if by is None else by
-    return number_rows(hits, [*scope, *by], ["distance", "idx"], "rk")
+    return number_rows(stored(hits, "hits"), [*scope, *by], ["distance", "idx"], "rk")

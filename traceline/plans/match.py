@@ -138,21 +138,27 @@ def dual_results(
     Without a depth the rankings are complete and a list may hold every file of
     a repository, so lists are numbered by range; with one they are short.
     """
+    section, key, order = [*KEY, "first_row"], [*KEY, "first_row", "kind"], ["src", "near", "file_name"]
     merged = merge_complete(first, second, min_distance)
-    kept = merged.where("kept").drop("kept")
-    key, order = [*KEY, "first_row", "kind"], ["src", "near", "file_name"]
-    if depth is None:
-        listed = number_rows(kept, key, order, "pos")
-    else:
-        place = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
-        listed = kept.withColumn("pos", place.cast("long"))
+    if depth is not None:
+        by_section = Window.partitionBy(*section)
+        listed = (
+            merged.withColumn("_any", F.max("kept").over(by_section))
+            .withColumn("_n", F.row_number().over(by_section.orderBy(F.col("kept").desc(), "file_name")))
+            .where(F.col("kept") | (~F.col("_any") & (F.col("_n") == 1)))
+            .withColumn("pos", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long"))
+        )
+        values = [F.when(F.col("kept"), F.col(c)).alias(c) for c in ("kind", "pos", "file_name", "score")]
+        return listed.select(*section, *values).select(*RESULT_COLUMNS)
+    # Read three times below; scoring everything again would cost more.
+    merged = stored(merged, "merged")
+    listed = number_rows(merged.where("kept").drop("kept"), key, order, "pos")
     empty = (
-        merged.groupBy(*KEY, "first_row")
+        merged.groupBy(*section)
         .agg(F.max("kept").alias("kept"))
         .where(~F.col("kept"))
         .select(
-            *KEY,
-            "first_row",
+            *section,
             F.lit(None).cast("string").alias("kind"),
             F.lit(None).cast("long").alias("pos"),
             F.lit(None).cast("string").alias("file_name"),
