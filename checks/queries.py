@@ -128,7 +128,8 @@ def basename(spark, sf):
 
 @query
 def index_numbering(spark, sf):
-    return number_files(embed.embedded_ok(_embedded(spark, sf, SHORT))).select("repo_id", "idx", "path")
+    names = stored(embed.embedded_ok(_embedded(spark, sf, SHORT)).select("repo_id", "pos", "path"), "embedded")
+    return number_files(names).select("repo_id", "idx", "path")
 
 
 # Requirement side

@@ -72,7 +72,8 @@ def nearest_lsh(
     on either side, so copies that fall into one bucket do not meet in one
     task. More ``tables`` find more neighbours; more ``hashes`` make smaller
     buckets, by default about ``LEAF`` files each. Queries whose buckets held fewer than ``k`` files are searched
-    exactly when ``complete``.
+    exactly when ``complete``. Both inputs are read several times and should be
+    written tables.
     """
     scope = ["repo_id"] if scope is None else scope
     by = ["section_name"] if by is None else by

@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from traceline.operators.embed import Model, embed, embedded_ok
 from traceline.operators.ranking import number_files
+from traceline.runtime import stored
 
 INDEX_COLUMNS = ["repo_id", "model", "idx", "path", "embedding", "dim"]
 
 
 def build_index(files: DataFrame, model: Model) -> DataFrame:
-    """Embed files and number those that worked, densely from 0 in input order."""
-    return number_files(embedded_ok(embed(files, "content", model))).select(*INDEX_COLUMNS)
+    """Embed files and number those that worked, densely from 0 in input order.
+
+    The vectors are written before they are numbered, because sorting by range
+    reads its input twice and embedding is the costly part.
+    """
+    vectors = embedded_ok(embed(files, "content", model)).select("repo_id", "model", "pos", "path", "embedding", "dim")
+    return number_files(stored(vectors, "vectors")).select(*INDEX_COLUMNS)
 
 
 def write_index(index: DataFrame, path: str) -> None:

@@ -27,7 +27,8 @@ def number_rows(
     many partitions as it needs; the number is the place inside the partition
     plus the rows of the group in earlier partitions. ``order`` must be unique
     within a group. The sorted rows are written once, because both the counts
-    and the numbering must see the same partitions.
+    and the numbering must see the same partitions. Sampling the ranges reads
+    ``df`` a second time: write it first if it is costly to make.
     """
     keys = [F.col(g) for g in group] + [F.col(o) if isinstance(o, str) else o for o in order]
     laid = stored(
