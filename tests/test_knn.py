@@ -91,10 +91,12 @@ def test_approximate_search_is_complete_and_mostly_right(data):
     assert found.count() == len(expected)
 
 
-def test_short_answers_are_searched_exactly(data):
+@pytest.mark.parametrize("scope", [["repo_id"], []])
+def test_short_answers_are_searched_exactly(data, scope):
     index, queries, vectors, repos = data
-    found = nearest_lsh(index, queries, 150, DIM, by=["q"], tables=1, hashes=6)
-    assert found.count() == len(brute(vectors, repos, range(0, 300, 10), 150))
+    repos = repos if scope else [None] * 300
+    found = nearest_lsh(index, queries, 250, DIM, scope=scope, by=["q"], tables=1, hashes=6)
+    assert found.count() == len(brute(vectors, repos, range(0, 300, 10), 250))
 
 
 @pytest.mark.parametrize("pending", [1, 50, 10_000])

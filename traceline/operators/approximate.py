@@ -135,12 +135,16 @@ def _completed(
     keep: list[str],
 ) -> DataFrame:
     """Replace the answers of queries that came out short in some scope."""
-    sizes = files.groupBy(*scope).agg(F.least(F.count("*"), F.lit(k)).alias("_need"))
-    scopes = sizes.agg(F.count("*").alias("_scopes"))
     found = ranked.groupBy(*scope, *by).agg(F.count("*").alias("_n"))
-    sized = found.join(sizes, scope) if scope else found.join(F.broadcast(sizes))
-    enough = sized.where(F.col("_n") >= F.col("_need")).groupBy(*by).agg(F.count("*").alias("_done"))
-    full = enough.join(F.broadcast(scopes)).where(F.col("_done") == F.col("_scopes")).select(*by)
+    if scope:
+        sizes = files.groupBy(*scope).agg(F.least(F.count("*"), F.lit(k)).alias("_need"))
+        scopes = sizes.count()
+        found = found.join(sizes, scope)
+    else:
+        scopes = 1
+        found = found.withColumn("_need", F.lit(min(k, files.count())))
+    enough = found.where(F.col("_n") >= F.col("_need")).groupBy(*by).agg(F.count("*").alias("_done"))
+    full = enough.where(F.col("_done") == scopes).select(*by)
     full = stored(full, "answered")
     exact = nearest(files, asks.join(full, by, "left_anti"), k, dim, scope, by, keep)
     return ranked.join(full, by, "left_semi").unionByName(exact.select(*ranked.columns))

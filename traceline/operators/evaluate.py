@@ -68,7 +68,7 @@ def confusion_counts(
     rest of the universe, so sections and files are never crossed.
     """
     files = universe.select(file).distinct()
-    size = files.agg(F.count("*").alias("_size"))
+    size = files.count()
     marks = (
         retrieved.select(section, file, F.lit(1).alias("_got"), F.lit(0).alias("_due"))
         .unionByName(relevant.select(section, file, F.lit(0).alias("_got"), F.lit(1).alias("_due")))
@@ -82,9 +82,8 @@ def confusion_counts(
         return F.count_if(F.col("_in") & (F.col("_got") == got) & (F.col("_due") == due)).cast("int")
 
     counted = inside.groupBy(section).agg(count(1, 1).alias("TP"), count(1, 0).alias("FP"), count(0, 1).alias("FN"))
-    return counted.join(F.broadcast(size)).select(
-        section, "TP", "FP", (F.col("_size") - F.col("TP") - F.col("FP") - F.col("FN")).cast("int").alias("TN"), "FN"
-    )
+    rest = (F.lit(size) - F.col("TP") - F.col("FP") - F.col("FN")).cast("int")
+    return counted.select(section, "TP", "FP", rest.alias("TN"), "FN")
 
 
 def with_metrics(counts: DataFrame) -> DataFrame:
