@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceline.llm import bpe
+from traceline.llm import bpe, packing, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,3 +28,17 @@ def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """Every document encoded and decoded with the byte-level ranks."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's pieces and their places in the packed sequences."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(packing.cut_documents(table(spark, sf, "documents"), path, with_ids=False))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's toxicity, learned from the labelled rows outside fold 0."""
+    docs = table(spark, sf, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf, "labels")))
