@@ -39,8 +39,10 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.words = Memo(self._words)
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.words = Memo(self._words, 800_000)
         self.memo = Memo(self._pieces)
 
     def pre_token(self, data: bytes) -> list[int]:
