@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceline.llm import bpe, packing, toxicity
+from traceline.llm import bpe, packing, simhash_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,3 +42,10 @@ def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's toxicity, learned from the labelled rows outside fold 0."""
     docs = table(spark, sf, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf, "labels")))
+
+
+@query
+def op10_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's fingerprint and component."""
+    found = simhash_dedup.near_components(table(spark, sf, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
