@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceline.llm import bpe, packing, simhash_dedup, toxicity
+from traceline.llm import bpe, packing, simhash_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +49,10 @@ def op10_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's fingerprint and component."""
     found = simhash_dedup.near_components(table(spark, sf, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of every document without the strings of earlier ones."""
+    found = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
