@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceline.llm import bpe, packing, simhash_dedup, suffix_dedup, toxicity
+from traceline.llm import bpe, packing, quality_rules, simhash_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,3 +56,12 @@ def op8_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """What is left of every document without the strings of earlier ones."""
     found = suffix_dedup.remove_repeats(table(spark, sf, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's statistics and verdict."""
+    docs = table(spark, sf, "documents")
+    rules = quality_rules.train(docs, table(spark, sf, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return quality_rules.judge(docs.select("doc_id", "text"), rules).select("doc_id", *counts, "base_failed", "kept", "rule")
