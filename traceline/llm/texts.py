@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
@@ -47,6 +48,8 @@ class Memo:
 
     def __init__(self, make: Callable[[list[str]], list], size: int = 400_000, longest: int = 64):
         self.make, self.size, self.longest = make, size, longest
+        # Looking for cycles among millions of remembered strings costs much and finds none.
+        gc.set_threshold(500_000, 50, 50)
         self.young: dict = {}
         self.old: dict = {}
 

@@ -31,7 +31,10 @@ def _at_blanks(text: str) -> list[str]:
 
 
 def _packed(ids: list[int]) -> bytes:
-    return pack(f"<{len(ids)}I", *ids)
+    return pack(_FORMATS[len(ids)], *ids) if len(ids) < 64 else pack(f"<{len(ids)}I", *ids)
+
+
+_FORMATS = [f"<{n}I" for n in range(64)]
 
 
 class FileTokenizer:
@@ -51,8 +54,17 @@ class FileTokenizer:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.split = regex.compile(_WORD_PATTERN if self.words else _BYTE_PATTERN).findall
         self.alphabet = _byte_alphabet()
-        self.parts = Memo(self._parts)
-        self.memo = Memo(self._pieces)
+        self.parts = Memo(self._parts, 700_000)
+        self.memo = Memo(self._pieces, 700_000)
+
+    def _split(self, piece: str) -> list[str]:
+        """The pattern's matches, found without it for a word and a word with a mark."""
+        start = piece[:1] == " "
+        if piece[start:].isalpha():
+            return [piece]
+        if piece[-1:] in ".,!?;:|" and piece[start:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.split(piece)
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         model = self.whole.model
@@ -64,7 +76,7 @@ class FileTokenizer:
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         plain = [bool(_PLAIN.fullmatch(piece)) for piece in pieces]
-        split = [self.split(piece.lower() if self.words else piece) for piece, ok in zip(pieces, plain) if ok]
+        split = [self._split(piece.lower() if self.words else piece) for piece, ok in zip(pieces, plain) if ok]
         ids = iter(self.parts.of(split))
         return [b"".join(next(ids)) if ok else self._full(piece) for piece, ok in zip(pieces, plain)]
 
