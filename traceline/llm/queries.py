@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceline.llm import bpe, packing, quality_rules, simhash_dedup, suffix_dedup, toxicity
+from traceline.llm import bpe, fingerprints, packing, quality_rules, simhash_dedup, suffix_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -65,3 +65,23 @@ def op6_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     rules = quality_rules.train(docs, table(spark, sf, "labels"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return quality_rules.judge(docs.select("doc_id", "text"), rules).select("doc_id", *counts, "base_failed", "kept", "rule")
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    model = url_filter.train(url_filter.labelled_urls(spark))
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    return url_filter.judge(pages, model).select("page_id", "host", "path", "rule", "verdict", "p_block")
+
+
+@query
+def op7_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's fingerprint beside its edited text's and the next document's."""
+    found = fingerprints.edit_report(table(spark, sf, "documents"))
+
+    def shown(name: str, into: str):
+        return F.lpad(F.lower(F.hex(name)), 16, "0").alias(into)
+
+    prints = [shown("fp", "fingerprint"), shown("edited_fp", "edited_fingerprint")]
+    return found.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
