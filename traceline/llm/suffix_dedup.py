@@ -39,10 +39,10 @@ from traceline.runtime import fresh_path, stored
 
 LENGTH = 50
 ANCHOR = 20
-BLOCK = 4 * 2**20  # bytes of text in a block
+BLOCK = 2 * 2**20  # bytes of text in a block
 PIECE = 2**18  # bytes hashed at once
-RANGE = 32 * 2**20  # bytes of text per range of anchors
-SHARD = 12 * 2**20  # bytes of text per shard
+RANGE = 8 * 2**20  # bytes of text per range of anchors
+SHARD = 6 * 2**20  # bytes of text per shard
 HOT = 4096  # documents that share an anchor from which it is split
 
 _COUNT = np.uint64(15)  # low bits of an anchor that tell in how many documents of a block it is
