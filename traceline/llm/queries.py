@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceline.llm import bpe, fingerprints, packing, quality_rules, simhash_dedup, suffix_dedup, toxicity, url_filter
+from traceline.llm import bpe, fingerprints, packing, quality_rules, simhash_dedup, suffix_dedup, token_files, toxicity, url_filter
+from traceline.runtime import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -85,3 +86,11 @@ def op7_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
     prints = [shown("fp", "fingerprint"), shown("edited_fp", "edited_fingerprint")]
     return found.select("doc_id", "n_chars", "edited_sha256", *prints, "near_edited", "near_next")
+
+
+@query
+def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's ids written to files and read back."""
+    path = fresh_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return token_files.read_token_files(spark, path).drop("ids")
