@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceline.llm import bpe, fingerprints, packing, quality_rules, simhash_dedup, suffix_dedup, token_files, toxicity, url_filter
+from traceline.llm import (
+    bpe,
+    fingerprints,
+    html_extract,
+    packing,
+    quality_rules,
+    simhash_dedup,
+    suffix_dedup,
+    token_files,
+    toxicity,
+    url_filter,
+)
 from traceline.runtime import fresh_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +105,9 @@ def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return token_files.read_token_files(spark, path).drop("ids")
+
+
+@query
+def op9_html_extract(spark: SparkSession, sf: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf, "pages"))
