@@ -43,6 +43,7 @@ BLOCK = 2 * 2**20  # bytes of text in a block
 PIECE = 2**18  # bytes hashed at once
 RANGE = 8 * 2**20  # bytes of text per range of anchors
 SHARD = 6 * 2**20  # bytes of text per shard
+LEVEL = 5  # of compression: blocks are written once and move twice
 HOT = 4096  # documents that share an anchor from which it is split
 
 _COUNT = np.uint64(15)  # low bits of an anchor that tell in how many documents of a block it is
@@ -135,7 +136,7 @@ def _blocks(docs: DataFrame, key: str, text: str, carry: list[str], size: int) -
         offsets = pa.array([0, len(texts)], pa.int32())
         keys = pa.ListArray.from_arrays(offsets, table.column(0).combine_chunks())
         lengths = pa.ListArray.from_arrays(offsets, pa.array([len(t) for t in texts], pa.int32()))
-        columns = [pa.array([uuid.uuid4().hex]), pa.array([zstandard.compress(b"".join(texts), 1)], pa.binary()), keys, lengths]
+        columns = [pa.array([uuid.uuid4().hex]), pa.array([zstandard.compress(b"".join(texts), LEVEL)], pa.binary()), keys, lengths]
         names = ["block", "data", "keys", "lengths"]
         if carry:
             others = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in carry], carry)
@@ -236,13 +237,13 @@ def _contexts(blocks: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
         for i in np.unique(number[split]).tolist():
             shard[i] = xxhash.xxh64_intdigest(texts[i]) % shards
         state = b"".join(a.astype(np.int64).tobytes() for a in (np.array([len(start), len(texts)]), start, count, number, least))
-        out = [(-1, row["block"], zstandard.compress(state, 1), None, None, None)]
+        out = [(-1, row["block"], zstandard.compress(state, LEVEL), None, None, None)]
         order = np.argsort(shard, kind="stable")
         kinds, first = np.unique(shard[order], return_index=True)
         for kind, members in zip(kinds.tolist(), np.split(order, first[1:])):
             chosen = [texts[i] for i in members.tolist()]
             sizes = np.array([len(t) for t in chosen], np.int32)
-            packed = zstandard.compress(b"".join(chosen), 1)
+            packed = zstandard.compress(b"".join(chosen), LEVEL)
             out.append((kind, row["block"], packed, sizes.tobytes(), least[members].tobytes(), members.astype(np.int32).tobytes()))
         names = ["shard", "block", "body", "sizes", "least", "numbers"]
         kinds_ = [pa.int32(), pa.string(), *[pa.binary()] * 4]
