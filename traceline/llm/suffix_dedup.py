@@ -412,11 +412,12 @@ def dedup_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     Bytes that no longer form a character are dropped. Documents left without
     text stay, with an empty one.
     """
-    carry = [c for c in docs.columns if c not in (key, "text")]
-    found = remove_repeats(docs, key, carry=carry)
+    others = [c for c in docs.columns if c not in (key, "text")]
+    packed = docs.select(key, "text", F.struct(F.lit(0).alias("_one"), *others).alias("_rest"))
+    found = remove_repeats(packed, key, carry=["_rest"])
     text = F.replace(F.expr("make_valid_utf8(cast(kept as string))"), F.lit("\ufffd"), F.lit(""))
     whole = F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string"))
-    out = found.withColumn("text", whole)
-    if "n_chars" in carry:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    columns = {c: F.col("_rest")[c] for c in others} | {key: F.col(key), "text": whole}
+    if "n_chars" in others:
+        columns["n_chars"] = F.length(whole).cast(docs.schema["n_chars"].dataType)
+    return found.select(*[columns[c].alias(c) for c in docs.columns])

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from traceline.llm.texts import Memo, slices, strings
 
@@ -202,8 +203,8 @@ def _features(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
                 [*part.columns[1:], *map(pa.array, found.T.copy())], names=[*keep, *[f"_{name}" for name in FEATURES]]
             )
 
-    fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return docs.select("text", *keep).mapInArrow(task, fields + "".join(f", _{name} double" for name in FEATURES))
+    fields = [docs.schema[k] for k in keep] + [T.StructField(f"_{name}", T.DoubleType()) for name in FEATURES]
+    return docs.select("text", *keep).mapInArrow(task, T.StructType(fields))
 
 
 def fit_curve(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -276,6 +277,7 @@ def score_documents(docs: DataFrame, model: Model, key: str = "doc_id") -> DataF
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that the model does not call toxic, columns unchanged."""
+    """The rows of ``docs`` that the model does not call toxic, columns unchanged whatever their names."""
     model = train(docs, labels, key)
-    return _features(docs, model, docs.columns).where(_evidence(model) < 0).select(*docs.columns)
+    rows = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    return _features(rows, model, ["_row"]).where(_evidence(model) < 0).select("_row.*")
