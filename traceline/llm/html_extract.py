@@ -139,7 +139,7 @@ def run_pages(tokens: np.ndarray, page: np.ndarray, length: int = RUN) -> np.nda
     width = 1
     while width < length:
         step = min(width, length - width)
-        after = np.append(rank[step:], np.zeros(step, np.int64))
+        after = np.append(rank[step:], np.zeros(min(step, size), np.int64))
         rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + after, return_inverse=True)[1].astype(np.int64)
         width += step
     out = np.zeros(size, np.int64)
