@@ -54,8 +54,8 @@ class FileTokenizer:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.split = regex.compile(_WORD_PATTERN if self.words else _BYTE_PATTERN).findall
         self.alphabet = _byte_alphabet()
-        self.parts = Memo(self._parts, 700_000)
-        self.memo = Memo(self._pieces, 700_000)
+        self.parts = Memo(self._parts, 1_000_000)
+        self.memo = Memo(self._pieces, 1_200_000)
 
     def _split(self, piece: str) -> list[str]:
         """The pattern's matches, found without it for a word and a word with a mark."""
