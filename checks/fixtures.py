@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceline.operators.embed import HashModel
@@ -10,10 +10,10 @@ from traceline.sources.readers import read_table
 
 MODEL_A = HashModel("hash_a", 64)
 MODEL_B = HashModel("hash_b", 32, first_digit=8)
-# Fails on long texts, as models with an input limit do.
-MODEL_SHORT = HashModel("hash_short", 64, max_words=400)
+# Fails on texts with an address, whatever their length.
+MODEL_PICKY = HashModel("hash_picky", 64, refuse="@")
 
-VECTOR_DIMS = {"vec_a": 64, "vec_b": 32}
+VECTOR_DIMS = {"vec_a": 64, "vec_b": 128}
 
 
 # Tables of long texts, with the key their rows are dealt out by.
@@ -79,15 +79,20 @@ def query_texts(spark: SparkSession, sf: str) -> DataFrame:
     return items.unionByName(turns)
 
 
+def _vector(model: str) -> Column:
+    """The given vector, or for the second model that vector followed by its squares."""
+    given = F.col("embedding").cast("array<double>")
+    return given if model == "vec_a" else F.concat(given, F.transform(given, lambda x: x * x))
+
+
 def vectors(spark: SparkSession, sf: str, model: str = "vec_a") -> DataFrame:
     """``repo_id, model, idx, path, embedding``; base names repeat by label."""
-    vector = F.col("embedding") if model == "vec_a" else F.slice("embedding", 1, VECTOR_DIMS[model])
     return table(spark, sf, "embeddings").select(
         F.lit("vectors").alias("repo_id"),
         F.lit(model).alias("model"),
         F.col("vec_id").alias("idx"),
         F.concat(F.lit("v/"), F.col("vec_id").cast("string"), F.lit("/f"), F.col("label").cast("string"), F.lit(".php")).alias("path"),
-        vector.alias("embedding"),
+        _vector(model).alias("embedding"),
     )
 
 
@@ -97,11 +102,14 @@ def vector_queries(spark: SparkSession, sf: str, model: str = "vec_a") -> DataFr
 
 
 def vector_sections(spark: SparkSession, sf: str, model: str = "vec_a") -> DataFrame:
-    """One section per label, asking with the label's first vector."""
-    vector = F.col("embedding") if model == "vec_a" else F.slice("embedding", 1, VECTOR_DIMS[model])
+    """One section per label, asking with the mean of all vectors of the label."""
+    parts = table(spark, sf, "embeddings").select("label", "vec_id", F.posexplode(_vector(model)).alias("at", "x"))
+    means = parts.groupBy("label", "at").agg(F.avg("x").alias("mean"), F.min("vec_id").alias("first_row"))
     return (
-        table(spark, sf, "embeddings")
-        .groupBy("label")
-        .agg(F.min_by(vector, "vec_id").alias("embedding"), F.min("vec_id").alias("first_row"))
+        means.groupBy("label")
+        .agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("at", "mean"))), lambda p: p["mean"]).alias("embedding"),
+            F.min("first_row").alias("first_row"),
+        )
         .select(F.concat(F.lit("f"), F.col("label").cast("string")).alias("section_name"), "first_row", "embedding")
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from checks.fixtures import MODEL_A, MODEL_B, MODEL_SHORT
+from checks.fixtures import MODEL_A, MODEL_B, MODEL_PICKY
 from traceline.functions.prompts import EMPTY_FILE_MESSAGE, SUMMARY_PROMPT, TASK_PROMPT
 from traceline.operators.embed import HashModel
 
@@ -51,15 +51,15 @@ select 'turn_' || conv_id || '_' || turn, text from conversations where role = '
 def _hash_ctes(name: str, source: str, keys: str, text: str, model: HashModel) -> None:
     """``{name}``: the keys and the vector ``v`` of every text the model embeds."""
     first = model.first_digit + 1
-    fits = f"where words <= {model.max_words}" if model.max_words is not None else ""
+    fits = f"where not contains({text}, '{model.refuse}')" if model.refuse is not None else ""
     CTES[f"{name}_words"] = f"""
 select {keys}, ('0x' || substr(md5(lower(w)), {first}, 8))::bigint % {model.dim} as bucket
-from (select {keys}, unnest(string_split_regex({text}, '[^A-Za-z0-9]+')) as w from {source}) where w <> ''
+from (select {keys}, unnest(string_split_regex({text}, '[^A-Za-z0-9]+')) as w from {source} {fits}) where w <> ''
 """
     CTES[f"{name}_counts"] = f"select {keys}, bucket, count(*) as c from {name}_words group by all"
     CTES[f"{name}_grid"] = f"""
 select {keys}, n, unnest(range({model.dim})) as bucket
-from (select {keys}, sqrt(sum(c * c)) as n, sum(c) as words from {name}_counts group by all) {fits}
+from (select {keys}, sqrt(sum(c * c)) as n, sum(c) as words from {name}_counts group by all)
 """
     CTES[name] = f"""
 select {keys}, list((coalesce(c, 0) / n)::float::double order by bucket) as v
@@ -69,7 +69,7 @@ from {name}_grid left join {name}_counts using ({keys}, bucket) group by {keys}
 
 _hash_ctes("files_a", "files", "repo_id, pos, path", "content", MODEL_A)
 _hash_ctes("files_b", "files", "repo_id, pos, path", "content", MODEL_B)
-_hash_ctes("files_short", "files", "repo_id, pos, path", "content", MODEL_SHORT)
+_hash_ctes("files_picky", "files", "repo_id, pos, path", "content", MODEL_PICKY)
 _hash_ctes("decoded_a", "decoded", "repo_id, pos, path", "content", MODEL_A)
 _hash_ctes("decoded_b", "decoded", "repo_id, pos, path", "content", MODEL_B)
 _hash_ctes("sections_a", "sections", "section_name, first_row", "query_text", MODEL_A)
@@ -79,10 +79,12 @@ _hash_ctes("asks_a", "query_texts", "query_id", "query", MODEL_A)
 CTES["vec_a"] = """
 select vec_id as idx, 'v/' || vec_id || '/f' || label || '.php' as path, label, embedding::double[] as v from embeddings
 """
-CTES["vec_b"] = "select idx, path, label, v[1:32] as v from vec_a"
+CTES["vec_b"] = "select idx, path, label, v || list_transform(v, lambda x: x * x) as v from vec_a"
 for m in ("a", "b"):
     CTES[f"vsec_{m}"] = f"""
-select 'f' || label as section_name, min(idx) as first_row, arg_min(v, idx) as v from vec_{m} group by label
+select 'f' || label as section_name, min(first_row) as first_row, list(mean order by place) as v from (
+  select label, place, min(idx) as first_row, avg(x) as mean from (
+    select label, idx, unnest(v) as x, generate_subscripts(v, 1) as place from vec_{m}) group by label, place) group by label
 """
 
 _DISTANCE = "sqrt(greatest(0, 2 * (1 - round(list_cosine_similarity(q.v, f.v), 9))))"
@@ -259,25 +261,25 @@ ORACLE: dict[str, str] = {
     "decode_repo": "select repo_id, pos, path, content from decoded",
     "decoded_files": "select repo_id, pos, path, content from decoded",
     "basename": "select path, split_part(path, '/', -1) as file_name from files",
-    "index_numbering": f"select repo_id, idx, path from {_ranked('files_short')}",
+    "index_numbering": f"select repo_id, idx, path from {_ranked('files_picky')}",
     "clean_requirements": "select row_idx, section_name, req_description from cleaned",
     "distinct_sections": "select section_name, first_row, row_number() over (order by first_row) - 1 as section_idx from sections",
     "section_queries": "select section_name, first_row, query_text from sections",
     "embed_hash": _weights("files_a", "repo_id, path", 64),
-    "embed_two_models": f"""select repo_id, path, bucket, weight, 'hash_short' as model from ({_weights('files_short', 'repo_id, path', 64)})
+    "embed_two_models": f"""select repo_id, path, bucket, weight, 'hash_picky' as model from ({_weights('files_picky', 'repo_id, path', 64)})
       union all
       select repo_id, path, bucket, weight, 'hash_b' from ({_weights('files_b', 'repo_id, path', 32)})
-      where (repo_id, path) in (select (repo_id, path) from files_short)""",
+      where (repo_id, path) in (select (repo_id, path) from files_picky)""",
     "embed_queries": _weights("asks_a", "query_id", 64),
-    "embed_ok": "select repo_id, 'hash_short' as model, path, 64 as dim from files_short",
-    "failed_files": """select repo_id, 'hash_short' as model, path,
-      case when (repo_id, path) in (select (repo_id, path) from files_short_counts) then 'too many words' else 'no words' end as error
-      from files where (repo_id, path) not in (select (repo_id, path) from files_short)""",
-    "run_counts": """select f.repo_id, 'hash_short' as model, count(*) as files_found, count(s.path) as files_indexed,
-      count(*) - count(s.path) as files_failed from files f left join files_short s using (repo_id, path) group by f.repo_id""",
-    "index_roundtrip": f"select *, 'hash_short' as model, 64 as dim from ({_weights(_ranked('files_short'), 'repo_id, idx, path', 64)})",
-    "index_map": f"select repo_id, 'hash_short' as model, idx, path from {_ranked('files_short')}",
-    "total_files": "select repo_id, 'hash_short' as model, count(*) as total_files from files_short group by repo_id",
+    "embed_ok": "select repo_id, 'hash_picky' as model, path, 64 as dim from files_picky",
+    "failed_files": """select repo_id, 'hash_picky' as model, path,
+      case when contains(content, '@') then 'refused text' else 'no words' end as error
+      from files where (repo_id, path) not in (select (repo_id, path) from files_picky)""",
+    "run_counts": """select f.repo_id, 'hash_picky' as model, count(*) as files_found, count(s.path) as files_indexed,
+      count(*) - count(s.path) as files_failed from files f left join files_picky s using (repo_id, path) group by f.repo_id""",
+    "index_roundtrip": f"select *, 'hash_picky' as model, 64 as dim from ({_weights(_ranked('files_picky'), 'repo_id, idx, path', 64)})",
+    "index_map": f"select repo_id, 'hash_picky' as model, idx, path from {_ranked('files_picky')}",
+    "total_files": "select repo_id, 'hash_picky' as model, count(*) as total_files from files_picky group by repo_id",
     "build_or_load": f"""select w.*, sha256(f.content) as digest, (f.repo_id <> 'web' and not suffix(f.path, '.py'))::int as reused
       from ({_weights('files_a', 'repo_id, path', 64)}) w join files f using (repo_id, path)""",
     "knn_topk": _NEAR,
@@ -304,7 +306,7 @@ ORACLE: dict[str, str] = {
     "result_json_roundtrip": f"select 3 as depth, {_RESULT} from single",
     "combined_payload": """select repo_id, n_sections, n_pairs, n_files, n_bytes from
       (select repo_id, count(distinct section_name) as n_sections, count(file_name) as n_pairs from single group by repo_id)
-      full join (select repo_id, count(*) as n_files, sum(strlen(content))::bigint as n_bytes from decoded group by repo_id) using (repo_id)""",
+      full join (select repo_id, count(*) as n_files, sum(strlen(content))::bigint as n_bytes from files group by repo_id) using (repo_id)""",
     "prompt_table": f"""select query_id, rk, path, case when trim(content, ' ' || chr(9) || chr(10) || chr(13)) = '' then {_literal(EMPTY_FILE_MESSAGE)}
       else {_filled(TASK_PROMPT, path='path', query='query', content='content')} end as prompt
       from search join query_texts using (query_id) join files using (repo_id, path)""",

@@ -21,7 +21,7 @@ from traceline.streaming import jobs
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-A, B, SHORT = fx.MODEL_A, fx.MODEL_B, fx.MODEL_SHORT
+A, B, PICKY = fx.MODEL_A, fx.MODEL_B, fx.MODEL_PICKY
 DEPTHS = (3, 20)
 
 
@@ -128,7 +128,7 @@ def basename(spark, sf):
 
 @query
 def index_numbering(spark, sf):
-    names = stored(embed.embedded_ok(_embedded(spark, sf, SHORT)).select("repo_id", "pos", "path"), "embedded")
+    names = stored(embed.embedded_ok(_embedded(spark, sf, PICKY)).select("repo_id", "pos", "path"), "embedded")
     return number_files(names).select("repo_id", "idx", "path")
 
 
@@ -160,8 +160,8 @@ def embed_hash(spark, sf):
 
 @query
 def embed_two_models(spark, sf):
-    both = stored(embed.embed_two_models(fx.files(spark, sf), "content", SHORT, B), "both")
-    first = weights(both, "repo_id", "path", vector="embedding_1").withColumn("model", F.lit(SHORT.name))
+    both = stored(embed.embed_two_models(fx.files(spark, sf), "content", PICKY, B), "both")
+    first = weights(both, "repo_id", "path", vector="embedding_1").withColumn("model", F.lit(PICKY.name))
     second = weights(both, "repo_id", "path", vector="embedding_2").withColumn("model", F.lit(B.name))
     return first.unionByName(second)
 
@@ -173,17 +173,17 @@ def embed_queries(spark, sf):
 
 @query
 def embed_ok(spark, sf):
-    return embed.embedded_ok(_embedded(spark, sf, SHORT)).select("repo_id", "model", "path", "dim")
+    return embed.embedded_ok(_embedded(spark, sf, PICKY)).select("repo_id", "model", "path", "dim")
 
 
 @query
 def failed_files(spark, sf):
-    return embed.failed_files(_embedded(spark, sf, SHORT))
+    return embed.failed_files(_embedded(spark, sf, PICKY))
 
 
 @query
 def run_counts(spark, sf):
-    return embed.run_counts(_embedded(spark, sf, SHORT))
+    return embed.run_counts(_embedded(spark, sf, PICKY))
 
 
 @query
@@ -334,7 +334,7 @@ def result_json_roundtrip(spark, sf):
 
 @query
 def combined_payload(spark, sf):
-    payload = nest.combined_payload(_match_single(spark, sf), writers.encode_files(_decoded(spark, sf)))
+    payload = nest.combined_payload(_match_single(spark, sf), writers.encode_files(fx.files(spark, sf)))
     schema = "struct<rag_output: map<string, struct<common_files: array<array<string>>>>, repo_files: map<string, struct<content: string>>>"
     parsed = payload.select("repo_id", F.from_json("payload", schema).alias("p"))
     lists = F.transform(F.map_values("p.rag_output"), lambda s: F.size(s["common_files"]))
@@ -395,7 +395,7 @@ def retrieve_accuracy(spark, sf):
 def accuracy_by_model(spark, sf):
     path = fresh_path(spark, "results")
     writers.write_result_json(_model_results(spark, sf), path, by="model")
-    return evaluation.accuracy_by_model(spark, path, layout="lines").select("model", "ones_count", "row_count", r6("accuracy"))
+    return evaluation.accuracy_by_model(spark, path).select("model", "ones_count", "row_count", r6("accuracy"))
 
 
 @query
@@ -455,8 +455,8 @@ def _embedded(spark, sf, model):
 
 def _written_index(spark, sf):
     path = fresh_path(spark, "index")
-    index.write_index(index.build_index(fx.files(spark, sf), SHORT), path)
-    return index.read_index(spark, path, model=SHORT)
+    index.write_index(index.build_index(fx.files(spark, sf), PICKY), path)
+    return index.read_index(spark, path, model=PICKY)
 
 
 def _neighbours(spark, sf):
@@ -515,7 +515,7 @@ def _model_results(spark, sf):
 def _written_results(spark, sf):
     path = fresh_path(spark, "results")
     writers.write_result_json(_model_results(spark, sf), path, by="model")
-    return readers.read_results(spark, path, layout="lines")
+    return readers.read_results(spark, path)
 
 
 def _confusion(spark, sf):

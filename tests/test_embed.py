@@ -36,16 +36,16 @@ def test_hash_model(spark):
         assert found[f"f{i}"].error == (None if expected else "no words")
 
 
-def test_too_long_texts_fail_and_are_counted(spark, rows):
-    short = HashModel("s", 16, max_words=2)
-    embedded = embed(files(spark, ["a b", "a b c", "."]), "content", short)
-    assert rows(failed_files(embedded)) == [("r", "s", "f1", "too many words"), ("r", "s", "f2", "no words")]
+def test_refused_texts_fail_and_are_counted(spark, rows):
+    picky = HashModel("s", 16, refuse="c")
+    embedded = embed(files(spark, ["a b", "a b c", "."]), "content", picky)
+    assert rows(failed_files(embedded)) == [("r", "s", "f1", "refused text"), ("r", "s", "f2", "no words")]
     assert rows(run_counts(embedded)) == [("r", "s", 3, 1, 2)]
     assert rows(embedded_ok(embedded), "path") == [("f0",)]
 
 
 def test_two_models_keep_files_both_embed(spark, rows):
-    both = embed_two_models(files(spark, ["a b", "a b c"]), "content", HashModel("s", 16, max_words=2), HashModel("t", 8, 8))
+    both = embed_two_models(files(spark, ["a b", "a b c"]), "content", HashModel("s", 16, refuse="c"), HashModel("t", 8, 8))
     assert rows(both, "path", F.size("embedding_1"), F.size("embedding_2")) == [("f0", 16, 8)]
 
 

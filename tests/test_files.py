@@ -69,7 +69,7 @@ def test_result_documents_of_several_models(spark, rows, tmp_path):
     one = '{"S": {"common_files": [["a \\"q\\".php", 0.5], ["b.php", 1e-3]], "only_one_model": []}, "E": {"common_files": [], "only_one_model": [["z.php", 0.1]]}, "N": {"common_files": [], "only_one_model": []}}'
     (tmp_path / "section_result_first.json").write_text(json.dumps(json.loads(one), indent=4))
     (tmp_path / "section_result_second.json").write_text('{"S": {"common_files": [["old.php", 1]]}, "S": {"common_files": [["new.php", 2]]}}')
-    found = readers.read_results(spark, str(tmp_path))
+    found = readers.read_results(spark, str(tmp_path), layout="document")
     assert rows(found, "model", "section_name", "kind", "pos", "file_name", "score") == [
         ("first", "E", "only_one_model", 1, "z.php", 0.1),
         ("first", "N", None, None, None, None),
@@ -100,7 +100,33 @@ def test_result_document_is_the_json_object(spark, tmp_path):
     out = tmp_path / "out"
     writers.write_result_json(results(spark), str(out), depth=3)
     (file,) = (out / "depth=3" / "repo_id=r").glob("*.txt")
-    assert json.loads(file.read_text()) == found["r"]
+    lines = [json.loads(line) for line in file.read_text().splitlines()]
+    assert [list(line) for line in lines] == [["S"], ["E"]]
+    assert lines[0]["S"] == found["r"]["S"] | {"first_row": 0, "offset": 0}
+
+
+def test_large_results_are_read_back_whole(spark, tmp_path):
+    many = spark.range(3000).select(
+        F.lit("m").alias("repo_id"), F.concat(F.lit("s"), "id").alias("section_name"), F.col("id").alias("first_row"),
+        F.lit("common_files").alias("kind"), F.lit(1).cast("long").alias("pos"), F.lit("a.php").alias("file_name"), F.lit(0.5).alias("score"),
+    )
+    long = spark.range(9000).select(
+        F.lit("m").alias("repo_id"), F.lit("long").alias("section_name"), F.lit(5000).cast("long").alias("first_row"),
+        F.lit("common_files").alias("kind"), (F.col("id") + 1).alias("pos"), F.concat(F.lit("f"), "id").alias("file_name"), F.lit(0.25).alias("score"),
+    )
+    writers.write_result_json(many.unionByName(long), str(tmp_path / "out"), by="model")
+    found = readers.read_results(spark, str(tmp_path / "out"))
+    assert found.where("section_name <> 'long'").select("section_name", "first_row").distinct().count() == 3000
+    assert found.where("section_name = 'long' and file_name = concat('f', pos - 1) and first_row = 5000").count() == 9000
+
+
+def test_text_that_is_not_one_object_raises(spark, tmp_path):
+    (tmp_path / "section_result_x.json").write_text('{"S": {"common_files": []}}\n{"T": {"common_files": []}}')
+    with pytest.raises(Exception, match="not one JSON object"):
+        readers.read_results(spark, str(tmp_path), layout="document").collect()
+    (tmp_path / "section_result_x.json").write_text('{\n"S": {"common_files": []}}')
+    with pytest.raises(Exception, match="not one JSON object"):
+        readers.read_results(spark, str(tmp_path)).collect()
 
 
 def test_long_lists_come_in_pieces(spark):

@@ -50,18 +50,18 @@ class HashModel:
     """Word hashing: each lower-cased ASCII word counts in bucket ``md5 mod dim``.
 
     ``first_digit`` picks the eight digest digits used, so that two models
-    disagree. Texts of more than ``max_words`` words fail, as they do in
-    models with an input limit; they are never cut.
+    disagree. A text that holds the string ``refuse`` fails, as texts do that a
+    model rejects for what they say; no text is cut or dropped for its length.
     """
 
     name: str
     dim: int
     first_digit: int = 0
-    max_words: int | None = None
+    refuse: str | None = None
 
     def column(self, text: Column) -> Column:
         """``struct<embedding, error>``."""
-        dim, first_digit, max_words = self.dim, self.first_digit, self.max_words
+        dim, first_digit, refuse = self.dim, self.first_digit, self.refuse
 
         @F.arrow_udf(EMBEDDED)
         def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -71,12 +71,14 @@ class HashModel:
                 counts = np.bincount(row * dim + bucket, minlength=len(texts) * dim).reshape(len(texts), dim)
                 words = counts.sum(axis=1)
                 empty = words == 0
-                long = words > max_words if max_words is not None else np.zeros(len(texts), dtype=bool)
+                refused = np.zeros(len(texts), dtype=bool)
+                if refuse is not None:
+                    refused = pc.fill_null(pc.match_substring(texts, refuse), False).to_numpy(zero_copy_only=False)
                 length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
                 rows = (counts / np.where(length == 0, 1, length)).astype(np.float32)
-                error = np.where(long, "too many words", np.where(empty, "no words", None))
+                error = np.where(refused, "refused text", np.where(empty, "no words", None))
                 yield pa.StructArray.from_arrays(
-                    [_vectors(rows, empty | long, pa.float32()), pa.array(error.tolist(), type=pa.string())],
+                    [_vectors(rows, empty | refused, pa.float32()), pa.array(error.tolist(), type=pa.string())],
                     names=["embedding", "error"],
                 )
 
@@ -204,9 +206,7 @@ def sum_counts(texts: DataFrame, text: str, group: str, model: HashModel) -> Dat
     sparse = summed.groupBy(group).agg(
         F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("c"),
         F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"),
-        F.sum("n").alias("words"),
     )
     bucket = F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long"))
     vector = F.transform(bucket, lambda b: (F.coalesce(F.col("c")[b], F.lit(0)) / F.col("length")).cast("float"))
-    fits = F.lit(True) if model.max_words is None else F.col("words") <= model.max_words
-    return sparse.select(group, F.when(fits, vector).alias("embedding"))
+    return sparse.select(group, vector.alias("embedding"))

@@ -62,6 +62,28 @@ def _object(entries: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(entries), lambda e: e["text"]), ","), F.lit("}"))
 
 
+def result_lines(results: DataFrame, pairs: int = PAIRS_PER_PIECE) -> DataFrame:
+    """``repo_id, section_name, first_row, piece, line``: a JSON object per section and run of ``pairs`` files.
+
+    The form is the same at every size. Each object tells the section's
+    ``first_row`` and how many files of each list come ``offset`` before it.
+    """
+    entry = F.concat(
+        F.lit("{"),
+        _quoted(F.col("section_name")),
+        F.lit(':{"common_files":'),
+        _pairs_json(F.col("result.common_files")),
+        F.lit(',"only_one_model":'),
+        _pairs_json(F.col("result.only_one_model")),
+        F.lit(',"first_row":'),
+        F.col("first_row").cast("string"),
+        F.lit(',"offset":'),
+        (F.col("piece") * pairs).cast("string"),
+        F.lit("}}"),
+    )
+    return nest_results(results, pairs).select("repo_id", "section_name", "first_row", "piece", entry.alias("line"))
+
+
 def result_documents(results: DataFrame, pairs: int = PAIRS_PER_PIECE, rows: int = ROWS_PER_BLOCK) -> DataFrame:
     """``repo_id, block, piece, document``: a JSON object by section.
 

@@ -14,7 +14,7 @@ from traceline.operators.evaluate import (
 from traceline.sources.readers import read_results
 
 
-def accuracy_by_model(spark: SparkSession, path: str | list[str], suffix: str = EXPECTED_SUFFIX, layout: str = "document") -> DataFrame:
+def accuracy_by_model(spark: SparkSession, path: str | list[str], suffix: str = EXPECTED_SUFFIX, layout: str = "lines") -> DataFrame:
     """Retrieval accuracy of every model whose results are under ``path``."""
     return retrieve_accuracy(eval_retrieved(read_results(spark, path, layout), suffix), ["model"])
 

@@ -26,6 +26,9 @@ SECTION_LISTS = T.StructType(
     [
         T.StructField("common_files", T.ArrayType(T.ArrayType(T.StringType()))),
         T.StructField("only_one_model", T.ArrayType(T.ArrayType(T.StringType()))),
+        # Only in files of this package: place of the section, and files that come before in its lists.
+        T.StructField("first_row", T.LongType()),
+        T.StructField("offset", T.LongType()),
     ]
 )
 

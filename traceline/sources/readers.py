@@ -144,11 +144,12 @@ def read_directory(spark: SparkSession, directory: str, recursive: bool = False)
     return text.select(F.lit(root).alias("repo_id"), inside.alias("path"), F.col("value").alias("content"))
 
 
-def read_results(spark: SparkSession, path: str | list[str], layout: str = "document") -> DataFrame:
+def read_results(spark: SparkSession, path: str | list[str], layout: str = "lines") -> DataFrame:
     """Result files of any number of models in one scan, as a long table.
 
-    ``document`` files hold one object each, printed in any way; ``lines``
-    files hold an object per line and split. The model is the file's name
+    ``lines`` files are those of ``write_result_json``: an object per line,
+    which may continue a section. ``document`` files hold one object each,
+    printed in any way. Text that is not one object raises an error. The model is the file's name
     without ``section_result_`` and ``.json``, or the ``model=`` folder it is in.
     """
     if layout not in ("document", "lines"):
@@ -156,12 +157,17 @@ def read_results(spark: SparkSession, path: str | list[str], layout: str = "docu
     text = _with_path(spark.read.text(path, wholetext=layout == "document"))
     folder = _unescaped(F.regexp_extract("file_path", "/model=([^/]*)/", 1))
     name = F.regexp_replace(F.substring_index("file_path", "/", -1), r"^section_result_|\.json$", "")
+    value = F.col("value")
+    alone = F.coalesce(F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))), F.lit(0)) == 1
+    blank = (F.trim(value) == "") & F.lit(layout == "lines")
+    wrong = F.concat(F.lit(f"not one JSON object (layout {layout!r}): "), "file_path")
+    value = F.when(alone | blank, value).otherwise(F.raise_error(wrong))
     parsed = text.select(
         F.when(folder != "", folder).otherwise(name).alias("model"),
-        F.from_json("value", schemas.RESULT_DOCUMENT).alias("sections"),
+        F.from_json(value, schemas.RESULT_DOCUMENT).alias("sections"),
     )
     sections = _entries(parsed, "sections", "model").toDF("model", "first_row", "section_name", "lists")
-    return result_pairs(sections)
+    return result_pairs(sections.withColumn("first_row", F.coalesce("lists.first_row", "first_row")))
 
 
 def result_pairs(sections: DataFrame) -> DataFrame:
@@ -169,7 +175,8 @@ def result_pairs(sections: DataFrame) -> DataFrame:
 
     def tagged(kind: str) -> Column:
         pairs = F.coalesce(F.col(f"lists.{kind}"), F.array())
-        return F.transform(pairs, lambda p, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("pos"), p.alias("p")))
+        place = F.coalesce(F.col("lists.offset"), F.lit(0)) + 1
+        return F.transform(pairs, lambda p, i: F.struct(F.lit(kind).alias("kind"), (i + place).alias("pos"), p.alias("p")))
 
     pairs = F.explode_outer(F.concat(tagged("common_files"), tagged("only_one_model"))).alias("f")
     keys = [c for c in sections.columns if c != "lists"]

@@ -6,24 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceline.functions.codec import encode_blob
-from traceline.operators.nest import FILES_PER_BLOCK, result_documents, tree_documents
+from traceline.operators.nest import FILES_PER_BLOCK, result_lines, tree_documents
 
 
 def write_result_json(results: DataFrame, path: str, depth: int | None = None, by: str = "repo_id") -> None:
-    """Result objects as text under ``repo_id=`` (and ``depth=``) folders.
+    """Results as JSON lines under ``repo_id=`` (and ``depth=``) folders.
 
-    A result of ordinary size is one object in one file. One too large for a
-    row is several objects, one per line, whose union is the result.
+    A line holds a section, or a fixed run of the files of a long one, with its
+    place; the layout does not depend on the size of a result.
     """
-    documents = result_documents(results).select("repo_id", F.lit(depth).alias("depth"), "block", "piece", "document")
+    documents = result_lines(results).select("repo_id", F.lit(depth).alias("depth"), "first_row", "section_name", "piece", "line")
     folders = ["repo_id"] if depth is None else ["depth", "repo_id"]
     if by != "repo_id":
         documents = documents.withColumnRenamed("repo_id", by)
         folders = [by if f == "repo_id" else f for f in folders]
     (
         documents.hint("rebalance", *folders)
-        .sortWithinPartitions(*folders, "block", "piece")
-        .select(*folders, F.col("document").alias("value"))
+        .sortWithinPartitions(*folders, "first_row", "section_name", "piece")
+        .select(*folders, F.col("line").alias("value"))
         .write.partitionBy(*folders)
         .text(path)
     )
