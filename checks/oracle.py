@@ -181,8 +181,8 @@ from (select *, kind = 'common_files' and file_name = section_name || '.php' as
 group by model, section_name
 """
 CTES["confusion"] = """
-select section_name, count(*) filter (got and due)::int as "TP", count(*) filter (got and not due)::int as "FP",
-  count(*) filter (not got and not due)::int as "TN", count(*) filter (not got and due)::int as "FN"
+select section_name, count(*) filter (got and due) as "TP", count(*) filter (got and not due) as "FP",
+  count(*) filter (not got and not due) as "TN", count(*) filter (not got and due) as "FN"
 from (
   select s.section_name, s.section_name = 'f' || f.label as due,
     (s.section_name, f.path) in (select (section_name, path) from vhits_a) as got
@@ -315,7 +315,10 @@ ORACLE: dict[str, str] = {
     "doc_context": """select query_id, string_agg(content, chr(10) || chr(10) order by rk) as context, count(*) as n_chunks
       from context_hits group by query_id""",
     "result_pairs": "select model, section_name, file_name, round(score, 6) as score from written where kind = 'common_files'",
-    "eval_input": """select model, section_name, file_name, round(score, 6) as score from written where kind = 'common_files' or file_name is null""",
+    "eval_input": """select model, section_name, file_name, round(score, 6) as score from written where kind = 'common_files' and file_name is not null
+      union all
+      select model, section_name, null, null from written group by model, section_name
+      having count(*) filter (where kind = 'common_files' and file_name is not null) = 0""",
     "eval_retrieved": "select model, section_name, retrieved, round(score, 6) as score from evaluated",
     "retrieve_accuracy": """select sum(retrieved)::bigint as ones_count, count(*) as row_count, round(100 * avg(retrieved), 6) as accuracy
       from evaluated""",

@@ -229,7 +229,7 @@ def knn_topk(spark, sf):
 @query
 def knn_topk_block(spark, sf):
     found = knn.nearest_blocked(
-        fx.vectors(spark, sf), fx.vector_queries(spark, sf), 4, 64, ["repo_id"], ["q"], ["path"], block_rows=1024
+        fx.vectors(spark, sf), fx.vector_queries(spark, sf), 4, 64, ["repo_id"], ["q"], ["path"], block_rows=64
     )
     return found.select("q", "rk", "idx", "path", r6("distance"))
 

@@ -10,14 +10,16 @@ EXPECTED_SUFFIX = ".php"
 
 
 def eval_input(results: DataFrame, key: list[str] | None = None) -> DataFrame:
-    """Common files of every section, last score per name; other lists go unread."""
+    """Common files of every section, last score per name; other lists go unread.
+
+    A section without common files keeps one row whose file is NULL.
+    """
     key = key or ["model", "section_name"]
-    common = F.col("kind") == "common_files"
-    return (
-        results.where(common | F.col("file_name").isNull())
-        .groupBy(*key, "file_name")
-        .agg(F.max_by("score", "pos").alias("score"))
-    )
+    common = F.coalesce(F.col("kind") == "common_files", F.lit(False))
+    found = results.where(common & F.col("file_name").isNotNull()).groupBy(*key, "file_name").agg(F.max_by("score", "pos").alias("score"))
+    bare = results.groupBy(*key).agg(F.max(common & F.col("file_name").isNotNull()).alias("_any")).where(~F.col("_any"))
+    none = [F.lit(None).cast(results.schema[c].dataType).alias(c) for c in ("file_name", "score")]
+    return found.unionByName(bare.select(*key, *none))
 
 
 def eval_retrieved(results: DataFrame, suffix: str = EXPECTED_SUFFIX, key: list[str] | None = None) -> DataFrame:
@@ -60,15 +62,21 @@ def model_wins(evaluated: DataFrame) -> DataFrame:
 
 
 def confusion_counts(
-    retrieved: DataFrame, relevant: DataFrame, universe: DataFrame, section: str = "section_name", file: str = "file_name"
+    retrieved: DataFrame,
+    relevant: DataFrame,
+    universe: DataFrame,
+    section: str = "section_name",
+    file: str = "file_name",
+    sections: DataFrame | None = None,
 ) -> DataFrame:
-    """TP, FP, TN, FN per section over a universe of files.
+    """TP, FP, TN, FN (long) per section over a universe of files.
 
     Only retrieved and relevant pairs are looked at; the true negatives are the
-    rest of the universe, so sections and files are never crossed.
+    rest of the universe, so sections and files are never crossed. ``sections``
+    names sections that get a row even when nothing was found or due.
     """
     files = universe.select(file).distinct()
-    size = files.count()
+    size = files.agg(F.count("*")).scalar()
     marks = (
         retrieved.select(section, file, F.lit(1).alias("_got"), F.lit(0).alias("_due"))
         .unionByName(relevant.select(section, file, F.lit(0).alias("_got"), F.lit(1).alias("_due")))
@@ -79,10 +87,12 @@ def confusion_counts(
     inside = marks.join(files.withColumn("_in", F.lit(True)), file, "left")
 
     def count(got: int, due: int) -> Column:
-        return F.count_if(F.col("_in") & (F.col("_got") == got) & (F.col("_due") == due)).cast("int")
+        return F.count_if(F.col("_in") & (F.col("_got") == got) & (F.col("_due") == due))
 
     counted = inside.groupBy(section).agg(count(1, 1).alias("TP"), count(1, 0).alias("FP"), count(0, 1).alias("FN"))
-    rest = (F.lit(size) - F.col("TP") - F.col("FP") - F.col("FN")).cast("int")
+    if sections is not None:
+        counted = sections.select(section).distinct().join(counted, section, "left").na.fill(0, ["TP", "FP", "FN"])
+    rest = size - F.col("TP") - F.col("FP") - F.col("FN")
     return counted.select(section, "TP", "FP", rest.alias("TN"), "FN")
 
 

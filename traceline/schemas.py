@@ -37,10 +37,10 @@ RESULT_DOCUMENT = T.MapType(T.StringType(), SECTION_LISTS)
 METRICS = T.StructType(
     [
         T.StructField("section_name", T.StringType()),
-        T.StructField("TP", T.IntegerType()),
-        T.StructField("FP", T.IntegerType()),
-        T.StructField("TN", T.IntegerType()),
-        T.StructField("FN", T.IntegerType()),
+        T.StructField("TP", T.LongType()),
+        T.StructField("FP", T.LongType()),
+        T.StructField("TN", T.LongType()),
+        T.StructField("FN", T.LongType()),
         T.StructField("precision", T.DoubleType()),
         T.StructField("recall", T.DoubleType()),
         T.StructField("f1_score", T.DoubleType()),

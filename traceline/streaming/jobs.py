@@ -27,7 +27,8 @@ def read_payload_stream(spark: SparkSession, path: str, files_per_batch: int | N
 def run_states(payload: DataFrame, decoded: DataFrame) -> DataFrame:
     """SUCCESS or FAILURE with the first error, one row per repository.
 
-    ``decoded`` has the ``error`` column of ``decode_files(on_error='null')``.
+    ``decoded`` has the ``error`` column of ``decode_files(on_error='null')``. A
+    payload without an id, or a line that is no payload at all, is a FAILURE.
     """
     failed = (
         decoded.where(F.col("error").isNotNull())
@@ -38,6 +39,7 @@ def run_states(payload: DataFrame, decoded: DataFrame) -> DataFrame:
         payload.select(F.col("id").alias("repo_id"))
         .distinct()
         .join(failed, "repo_id", "left")
+        .withColumn("error", F.when(F.col("repo_id").isNull(), "not a payload with an id").otherwise(F.col("error")))
         .select("repo_id", F.when(F.col("error").isNull(), "SUCCESS").otherwise("FAILURE").alias("state"), "error")
     )
 
@@ -51,12 +53,15 @@ def match_stream(
     checkpoint: str,
     depth: int = DEPTH,
     min_distance: float | None = MIN_DISTANCE,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Match every arriving repository; one state row per repository and batch.
 
     A repository with a file that cannot be decoded is recorded as FAILURE and
     the others go on: bad files are data here, not exceptions. Each batch
     replaces its own ``batch_id`` partition, so a repeated batch adds nothing.
+    What has arrived is worked off once, or with ``every`` (such as "1 minute")
+    looked for again and again.
     """
 
     sections = stored(section_vectors(clean_requirements(requirements), model), "sections")
@@ -74,7 +79,7 @@ def match_stream(
     return (
         payloads.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**({"availableNow": True} if every is None else {"processingTime": every}))
         .start()
     )
 
