@@ -1,6 +1,6 @@
 import pytest
 
-from traceline.operators.evaluate import confusion_counts, eval_retrieved, metrics_summary, model_wins, retrieve_accuracy, with_metrics
+from traceline.operators.evaluate import confusion_counts, eval_input, eval_retrieved, metrics_summary, model_wins, retrieve_accuracy, with_metrics
 
 RESULT = "model string, section_name string, kind string, pos int, file_name string, score double"
 
@@ -65,3 +65,23 @@ def test_accuracy(spark, rows):
 
 def test_ties_win_for_both(spark, rows):
     assert rows(model_wins(eval_retrieved(results(spark)))) == [("m", 1), ("n", 2)]
+
+
+def test_sections_without_common_files_stay(spark, rows):
+    table = [
+        ("m", "only", "only_one_model", 1, "a.php", 0.5),
+        ("m", "none", None, None, None, None),
+        ("m", "both", "common_files", 1, "b.php", 0.25),
+        ("m", "both", "only_one_model", 1, "c.php", 0.75),
+    ]
+    found = eval_input(spark.createDataFrame(table, RESULT))
+    assert rows(found, "section_name", "file_name", "score") == [("both", "b.php", 0.25), ("none", None, None), ("only", None, None)]
+
+
+def test_named_sections_are_counted_without_finds(spark, rows):
+    pair = "section_name string, file_name string"
+    got, due = spark.createDataFrame([("s", "a")], pair), spark.createDataFrame([("s", "b")], pair)
+    universe = spark.createDataFrame([(x,) for x in "abcd"], "file_name string")
+    sections = spark.createDataFrame([("s",), ("t",)], "section_name string")
+    found = confusion_counts(got, due, universe, sections=sections)
+    assert rows(found, "section_name", "TP", "FP", "TN", "FN") == [("s", 0, 1, 2, 1), ("t", 0, 0, 4, 0)]

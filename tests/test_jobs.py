@@ -9,7 +9,7 @@ from traceline.operators.embed import HashModel
 from traceline.plans.match import match_dual, match_single
 from traceline.plans.search import document_context, search
 from traceline.sources.readers import decode_files, read_payload
-from traceline.streaming.jobs import match_stream, read_payload_stream, read_runs
+from traceline.streaming.jobs import match_stream, read_payload_stream, read_runs, run_states
 
 MODEL = HashModel("m", 32)
 OTHER = HashModel("n", 16, 8)
@@ -95,3 +95,9 @@ def test_chunks_cover_the_whole_text(spark, n):
     assert found[0] == words[:10]
     assert [w for i, c in enumerate(found) for w in (c if i == 0 else c[2:])] == words
     assert all(len(c) == 10 for c in found[:-1])
+
+
+def test_a_payload_without_an_id_is_a_failure(spark, rows):
+    payload = spark.createDataFrame([("r",), (None,)], "id string")
+    decoded = spark.createDataFrame([], "repo_id string, path string, error string")
+    assert rows(run_states(payload, decoded)) == [("r", "SUCCESS", None), (None, "FAILURE", "not a payload with an id")]
