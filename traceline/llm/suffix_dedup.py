@@ -114,6 +114,17 @@ def _unpacked(row: dict) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     return data, keys, np.array(row["lengths"], np.int64), null
 
 
+def _packed(marks: np.ndarray) -> bytes:
+    """Rising numbers as compressed byte planes of their differences."""
+    steps = np.diff(marks, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _marks(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _blocks(docs: DataFrame, key: str, text: str, carry: list[str], size: int) -> DataFrame:
     """Blocks of compressed documents with their keys, lengths and carried columns."""
     rest = T.StructType([docs.schema[name] for name in carry])
@@ -172,7 +183,7 @@ def _anchors(blocks: DataFrame, bits: int) -> DataFrame:
                     [
                         pa.array(kinds.astype(np.int32)),
                         pa.array([row["block"]] * len(kinds)),
-                        pa.array([part.tobytes() for part in np.split(mark, first[1:])][: len(kinds)], pa.binary()),
+                        pa.array([_packed(part) for part in np.split(mark, first[1:])][: len(kinds)], pa.binary()),
                     ],
                     names=["range", "block", "anchors"],
                 )
@@ -181,42 +192,45 @@ def _anchors(blocks: DataFrame, bits: int) -> DataFrame:
 
 
 def _shared(anchors: DataFrame, hot: int) -> DataFrame:
-    """``block, anchors``: those of a block that a second document has; the lowest bit marks split ones."""
+    """``block, range, shared, split``: a bit per anchor sent, set if a second document has it, and if it is split."""
 
     def group(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(part, np.uint64) for part in table.column("anchors").to_pylist()]
+        parts = [_marks(part) for part in table.column("anchors").to_pylist()]
         mark = np.concatenate(parts)
-        owner = np.repeat(np.arange(len(parts)), [len(part) for part in parts])
         order = np.argsort(mark, kind="stable")
         value, many = mark[order] & ~_COUNT, (mark[order] & _COUNT).astype(np.int64)
-        new = np.append(True, value[1:] != value[:-1])
-        place = np.cumsum(new) - 1
-        documents = np.bincount(place, 2.0 ** (many - 1))  # at least that many, exact for one
-        use = documents[place] >= 2
-        value = value | (documents[place] >= hot).astype(np.uint64)
-        value, owner = value[use], owner[order][use]
-        order = np.argsort(owner, kind="stable")
-        bounds = np.searchsorted(owner[order], np.arange(len(parts) + 1))
-        out = [value[order[low:high]].tobytes() for low, high in zip(bounds, bounds[1:])]
-        return pa.table({"block": table.column("block"), "anchors": pa.array(out, pa.binary())})
+        place = np.cumsum(np.append(True, value[1:] != value[:-1])) - 1
+        documents = np.zeros(len(mark))
+        documents[order] = np.bincount(place, 2.0 ** (many - 1))[place]  # at least that many, exact for one
+        bounds = np.cumsum([0] + [len(part) for part in parts])
+        bits = [[np.packbits(documents[low:high] >= least).tobytes() for low, high in zip(bounds, bounds[1:])] for least in (2, hot)]
+        columns = [table.column("block"), table.column("range"), *[pa.array(flags, pa.binary()) for flags in bits]]
+        return pa.table(columns, names=["block", "range", "shared", "split"])
 
-    return anchors.groupBy("range").applyInArrow(group, "block string, anchors binary")
+    return anchors.groupBy("range").applyInArrow(group, "block string, range int, shared binary, split binary")
 
 
-def _contexts(blocks: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
+def _contexts(blocks: DataFrame, shared: DataFrame, bits: int, shards: int) -> DataFrame:
     """Contexts for the shards (``shard >= 0``) and what a block has to remember (``shard = -1``)."""
 
     def group(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         row = next(r for r in rows if r["data"] is not None)
         data, keys, lengths, null = _unpacked(row)
-        mine = np.concatenate([np.frombuffer(r["anchors"] or b"", np.uint64) for r in rows])
-        mine.sort()
         start, count, document, mark = anchor_runs(np.frombuffer(data, np.uint8), lengths)
-        at = np.minimum(np.searchsorted(mine, mark), max(0, len(mine) - 1))
-        use = ((mine[at] & ~_COUNT) == mark) & ~null[document] if len(mine) else np.zeros(len(mark), bool)
+        # The anchors in the order in which they were sent, range by range.
+        sent = np.unique(mark[~null[document]])
+        place = sent >> np.uint64(64 - bits)
+        answers = sorted((r["range"], r["shared"], r["split"]) for r in rows if r["data"] is None)
+        wide = [int((place == np.uint64(number)).sum()) for number, _, _ in answers]
+        common, often = (
+            np.concatenate([np.zeros(0, np.uint8)] + [np.unpackbits(np.frombuffer(a[i], np.uint8), count=n) for a, n in zip(answers, wide)])
+            for i in (1, 2)
+        )
+        at = np.minimum(np.searchsorted(sent, mark), max(0, len(sent) - 1))
+        use = (common[at] == 1) & ~null[document] if len(sent) else np.zeros(len(mark), bool)
         start, count, document, mark = start[use], count[use], document[use], mark[use]
-        split = (mine[at[use]] & np.uint64(1)).astype(bool) if len(mine) else np.zeros(0, bool)
+        split = often[at[use]].astype(bool) if len(sent) else np.zeros(0, bool)
         if split.any():  # every string of a split anchor stands alone
             times = np.where(split, count, 1)
             inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -249,13 +263,16 @@ def _contexts(blocks: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
         kinds_ = [pa.int32(), pa.string(), *[pa.binary()] * 4]
         return pa.table([pa.array(column, kind) for column, kind in zip(zip(*out), kinds_)], names=names)
 
-    texts = blocks.select("block", "data", "keys", "lengths", F.lit(None).cast("binary").alias("anchors"))
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("range", "int"), ("shared", "binary"), ("split", "binary"))]
+    texts = blocks.select("block", "data", "keys", "lengths", *none)
     asked = shared.select(
         "block",
         F.lit(None).cast("binary").alias("data"),
         F.lit(None).cast("array<bigint>").alias("keys"),
         F.lit(None).cast("array<int>").alias("lengths"),
-        "anchors",
+        "range",
+        "shared",
+        "split",
     )
     schema = "shard int, block string, body binary, sizes binary, least binary, numbers binary"
     return texts.union(asked).groupBy("block").applyInArrow(group, schema)
@@ -399,7 +416,7 @@ def remove_repeats(
     shards = max(24, size // SHARD)
     shared = _shared(_anchors(blocks, bits), hot)
     path = fresh_path(docs.sparkSession, "contexts")
-    found = _contexts(blocks, shared, shards)
+    found = _contexts(blocks, shared, bits, shards)
     found.withColumn("state", F.col("shard") < 0).write.partitionBy("state").parquet(path)
     contexts = docs.sparkSession.read.schema(found.schema.add("state", "boolean")).parquet(path)
     verdicts = _verdicts(contexts.where("not state").drop("state"))
