@@ -6,7 +6,8 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from traceline.llm import components, fingerprints, html_extract, induced_sort, simhash_dedup, suffix_dedup
+import corpus_pipeline
+from traceline.llm import components, fingerprints, html_extract, induced_sort, near_copies, simhash_dedup, suffix_dedup
 
 
 def brute_removal(rows, length=50):
@@ -165,3 +166,59 @@ def test_runs_of_a_host_are_boilerplate(spark):
             want = f"story number {r.page_id} tells of w{r.page_id} x{r.page_id} y{r.page_id} z{r.page_id}" if r.page_id < 90 else ""
             assert (r.text, r.n_chars) == (want, len(want))
     assert html_extract.extract(table.limit(0)).count() == 0
+
+
+def brute_shingles(text):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+    return frozenset(" ".join(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([" ".join(words)] if words else [])
+
+
+def test_near_dedup_stage_finds_every_edited_copy(odd, frame):
+    draw = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for base in range(12):
+        text = [draw.choice(words) for _ in range(draw.choice([30, 100, 230]))]
+        for _ in range(6):
+            copy = list(text)
+            # Each edited word changes up to five shingles, so similarities lie on both sides of 0.8.
+            for _ in range(draw.randrange(1, 2 + len(text) // 40)):
+                copy[draw.randrange(len(text))] = draw.choice(words)
+            rows.append((100 + len(rows), " ".join(copy)))
+    hot = [draw.choice(words) for _ in range(100)]
+    rows += [(500 + i, " ".join([*hot[: 85 + i // 2], *[f"own{i}x{j}" for j in range(15 - i // 2)]])) for i in range(30)]
+    docs = odd.unionAll(frame(rows)).repartition(3)
+    texts = [(r.doc_id, brute_shingles(r.text)) for r in docs.collect()]
+    root = list(range(len(texts)))
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            one, two = texts[i][1], texts[j][1]
+            if one == two or 5 * len(one & two) >= 4 * len(one | two):
+                links += one != two
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    least = {}
+    for (key, _), r in zip(texts, root):
+        least[r] = min((k for k in (least.get(r), key) if k is not None), default=None)
+    want = sorted(((key, least[r]) for (key, _), r in zip(texts, root)), key=repr)
+    assert links > 50
+    got = near_copies.near_components(docs)
+    assert sorted(((r.doc_id, r.component_id) for r in got.collect()), key=repr) == want
+    kept = near_copies.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((k for k, c in want if k == c), key=repr)
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_pipeline_drops_copies_at_the_similarity_of_the_task(spark, frame):
+    draw = random.Random(3)
+    text = [f"t{draw.randrange(5000)}" for _ in range(230)]
+    rows = [(1, " ".join(text))]
+    for i, edits in enumerate((1, 2, 3, 4)):
+        copy = list(text)
+        for e in range(edits):
+            copy[20 + 50 * e] = f"edit{i}{e}"
+        rows.append((2 + i, " ".join(copy)))
+    kept = corpus_pipeline.drop_near_copies(spark, frame(rows), "")
+    assert [r.doc_id for r in kept.collect()] == [1]

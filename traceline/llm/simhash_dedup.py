@@ -36,12 +36,12 @@ _SEGMENT = 255  # hashes whose bits are added in one byte
 _EVERY_EIGHTH = np.uint64(0x0101010101010101)
 
 
-def shingle_hashes(data: bytes) -> list[int]:
+def shingle_hashes(data: bytes, size: int = WORDS) -> list[int]:
     """XXH64 of each shingle of the text, repeats included; none without words."""
     words = data.lower().split()  # both go by ASCII only
     if not words:
         return []
-    parts = map(b" ".join, zip(*(words[i:] for i in range(WORDS)))) if len(words) >= WORDS else [b" ".join(words)]
+    parts = map(b" ".join, zip(*(words[i:] for i in range(size)))) if len(words) >= size else [b" ".join(words)]
     return [xxhash.xxh64_intdigest(part, SEED) for part in parts]
 
 
