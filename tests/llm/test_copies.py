@@ -154,6 +154,24 @@ def test_main_text_by_structure():
     assert html_extract.main_texts([html_extract.page_blocks("<p>a<!-- gone <p>b")]) == ["a"]
 
 
+def test_names_hide_no_article():
+    text = "<p>The whole story of the day.</p>"
+    for page in (
+        f'<body class="single-post no-sidebar comments-open">{text}</body>',
+        f'<html class="menu"><body id="search">{text}</body></html>',
+        f'<article class="post ad" data-id="ad-17">{text}</article>',
+        f'<div data-id="ad" data-role=banner title=\'x class="ad"\'>{text}</div>',
+        f'<div class="no-sidebar has-banner"><main role="main" class="search">{text}</main></div>',
+        f'<div class="widget"><div><article>{text}</article></div><p>Buy</p></div>',
+        f'<div class="search"><article>{text}<ul class="comments"><article>First!</article></ul></article></div>',
+        f'<main>{text}</main><div class="related"><article>Another story</article></div>',
+        f'<article>{text}<div class="comments"><article><p>First!</p></article></div></article>',
+    ):
+        assert html_extract.main_texts([html_extract.page_blocks(page)]) == ["The whole story of the day."], page
+    aside = "<div class='box AD wide'><p>Buy</p></div><div role=banner>Top</div><nav><article>Menu</article></nav>"
+    assert html_extract.main_texts([html_extract.page_blocks(aside + text)]) == ["The whole story of the day."]
+
+
 def test_runs_of_a_host_are_boilerplate(spark):
     same = "our shop sells good things at fair prices every single day of the week"
     pages = [(i, "http://h.test/x", f"<body><div>{same}</div><div>story number {i} tells of w{i} x{i} y{i} z{i}</div></body>") for i in range(12)]

@@ -31,7 +31,7 @@ EVERYWHERE = 0.8  # share of pages from which a block inside an article is boile
 ENOUGH = 8  # pages needed for that
 COVERED = 0.5  # share of a block's tokens under runs from which it goes
 
-# Elements and words of their class, id or role.
+# Elements and whole tokens of their class, id or role.
 HIDDEN = {"script", "style", "noscript", "template", "head", "svg", "iframe", "object", "select", "textarea", "button", "title"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 MAIN = {"article", "main"}
@@ -54,15 +54,23 @@ _MARKUP = re.compile(
     r"|</?[a-zA-Z!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_WORDS = re.compile(r"[a-z]+")
+# Every attribute is read whole, so neither data-id nor a value that spells class="..." counts.
+_ATTRIBUTE = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAMED = {"class", "id", "role"}
+WHOLE = {"html", "body", "article", "main"}  # never marked by their names
 
 CORE, OPEN, SIDE = 0, 1, 2
+# While parsing: beside the text by names only, and an article in there. That is open text, which a
+# page's own article outweighs; a <main> in there is the page's article.
+NAMED_SIDE, REOPENED = 3, 4
+_SHOWN = {CORE: CORE, OPEN: OPEN, SIDE: SIDE, NAMED_SIDE: SIDE, REOPENED: OPEN}
 
 
 def _is_marked(attributes: str) -> bool:
+    """A whole token of class, id or role is one of the words."""
     return any(
-        word in MARKED for found in _NAMED.findall(attributes) for word in _WORDS.findall("".join(found).lower())
+        name.lower() in NAMED and not MARKED.isdisjoint("".join(values).lower().split())
+        for name, *values in _ATTRIBUTE.findall(attributes)
     )
 
 
@@ -81,7 +89,7 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text and kind >= 0:
-                blocks.append((kind, text))
+                blocks.append((_SHOWN[kind], text))
             parts.clear()
 
     for tag in _MARKUP.finditer(page):
@@ -113,10 +121,13 @@ def page_blocks(page: str) -> list[tuple[int, str]]:
         if name in HIDDEN:
             inner = -1
         elif kind != -1:
-            if kind == SIDE or name in ASIDE or _is_marked(tag.group(4)):
+            if kind == SIDE or name in ASIDE:
                 inner = SIDE
             elif name in MAIN:
-                inner = CORE
+                inner = REOPENED if kind in (NAMED_SIDE, REOPENED) and name == "article" else CORE
+            elif kind == NAMED_SIDE or name not in WHOLE and _is_marked(tag.group(4)):
+                # Inside a marked article nothing reopens: an <article> of its comments is one of them.
+                inner = SIDE if kind in (CORE, REOPENED) else NAMED_SIDE
         if inner != kind:
             flush()
         stack.append((name, inner))
