@@ -186,6 +186,17 @@ def test_runs_of_a_host_are_boilerplate(spark):
     assert html_extract.extract(table.limit(0)).count() == 0
 
 
+def test_runs_are_counted_over_the_whole_host(spark):
+    banner = "this banner is shown on some of the pages of a host that is hot"
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(25))
+    rows = [(i, "http://hot.test/x", f"<body><p>{own(i)}{' ' + banner if i % 8 == 0 else ''}</p></body>") for i in range(80)]
+    rows += [(100 + i, "http://same.test/x", f"<body><p>{own(0)} {banner}</p></body>") for i in range(12)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for chunk in (1000, 10**9):
+        got = {r.page_id: r.text for r in html_extract.extract(table, chunk=chunk).collect()}
+        assert got == {i: own(i) for i in range(80)} | {100 + i: f"{own(0)} {banner}" for i in range(12)}
+
+
 def brute_shingles(text):
     words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
     return frozenset(" ".join(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([" ".join(words)] if words else [])

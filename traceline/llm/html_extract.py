@@ -5,31 +5,34 @@ columns, forms, notices, adverts and comments are known by their elements;
 where a page marks its article, what lies outside it goes as well. For what
 structure leaves open, the token streams of a host's pages are concatenated and
 their suffixes sorted: runs of ``RUN`` tokens that many distinct pages share are
-boilerplate, blocks they cover are removed and unique runs stay. Inside a marked
+boilerplate, the tokens they cover are removed and unique runs stay. Inside a marked
 article a block only goes when nearly every page of the host has it, so
 articles that were copied to a few pages stay whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from traceline.llm.texts import slices
+from traceline.runtime import stored
 
 RUN = 8  # tokens of a run, block ends included
 CHUNK = 8 * 2**20  # characters of HTML whose pages share a suffix array
-PAGES = 3  # distinct pages that make a run boilerplate ...
-SHARE = 0.2  # ... if they are this share of the pages as well
+PAGES = 3  # distinct pages that make a run boilerplate, whatever the size of the host
 EVERYWHERE = 0.8  # share of pages from which a block inside an article is boilerplate
 ENOUGH = 8  # pages needed for that
-COVERED = 0.5  # share of a block's tokens under runs from which it goes
 
 # Elements and whole tokens of their class, id or role.
 HIDDEN = {"script", "style", "noscript", "template", "head", "svg", "iframe", "object", "select", "textarea", "button", "title"}
@@ -165,64 +168,142 @@ def run_pages(tokens: np.ndarray, page: np.ndarray, length: int = RUN) -> np.nda
     return out
 
 
-def main_texts(pages: list[list[tuple[int, str]]]) -> list[str]:
-    """The main text of each page of (a part of) a host."""
-    numbers: dict[str, int] = {}
-    tokens, page_of, block_of, blocks = [], [], [], []
-    for page, found in enumerate(pages):
-        for kind, text in found:
-            words = [numbers.setdefault(word, len(numbers) + 1) for word in text.split()]
-            tokens += words
-            tokens.append(0)  # the end of a block
-            page_of += [page] * (len(words) + 1)
-            block_of += [len(blocks)] * (len(words) + 1)
-            blocks.append((page, kind, text))
-    page_at, block_at = np.array(page_of, np.int64), np.array(block_of, np.int64)
-    shared = run_pages(np.array(tokens, np.int64), page_at)
-    sizes = np.bincount(block_at, minlength=len(blocks))
-
-    def covered(least: float) -> np.ndarray:
-        change = np.zeros(len(shared) + 1, np.int64)
-        starts = np.flatnonzero(shared >= least)
-        np.add.at(change, starts, 1)
-        np.add.at(change, np.minimum(starts + RUN, len(shared)), -1)
-        under = np.cumsum(change[:-1]) > 0
-        return np.bincount(block_at, under, len(blocks)) / np.maximum(sizes, 1)
-
-    often = covered(max(PAGES, SHARE * len(pages)))
-    always = covered(max(ENOUGH, EVERYWHERE * len(pages)))
-    has_core = np.zeros(len(pages), bool)
-    for page, kind, _ in blocks:
-        has_core[page] |= kind == CORE
-    out: list[list[str]] = [[] for _ in pages]
-    for number, (page, kind, text) in enumerate(blocks):
-        if kind == CORE and always[number] < 1 or kind == OPEN and not has_core[page] and often[number] < COVERED:
-            out[page].append(text)
-    return [" ".join(texts) for texts in out]
+Pages = list[list[tuple[int, str]]]
+
+
+class Stream:
+    """The tokens of distinct pages with their runs."""
+
+    def __init__(self, pages: Pages):
+        numbers: dict[str, int] = {}
+        hashes = [0]  # of the words by number; 0 is the end of a block
+        tokens, page_of, block_of = [], [], []
+        self.blocks: list[tuple[int, int, list[str]]] = []
+        for page, found in enumerate(pages):
+            for kind, text in found:
+                words = text.split()
+                for word in words:
+                    if word not in numbers:
+                        numbers[word] = len(numbers) + 1
+                        hashes.append(xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")))
+                tokens += [numbers[word] for word in words]
+                tokens.append(0)
+                page_of += [page] * (len(words) + 1)
+                block_of += [len(self.blocks)] * (len(words) + 1)
+                self.blocks.append((page, kind, words))
+        self.size, self.distinct = len(tokens), len(pages)
+        self.pages = len(pages)  # of the host
+        self.block_at = np.array(block_of, np.int64)
+        # Distinct pages that hold the run from each place on; 0 where none fits.
+        self.counts = run_pages(np.array(tokens, np.int64), np.array(page_of, np.int64))
+        self.runs = np.zeros(self.size, np.uint64)
+        ahead = np.append(np.array(hashes, np.uint64)[tokens], np.zeros(RUN, np.uint64)) if tokens else np.zeros(RUN, np.uint64)
+        for i in range(RUN):
+            self.runs = (self.runs ^ ahead[i : i + self.size]) * np.uint64(0x9E3779B97F4A7C15)
+            self.runs ^= self.runs >> np.uint64(29)
+
+    def emitted(self) -> tuple[np.ndarray, np.ndarray]:
+        """Every distinct run as a hash, with its pages."""
+        at = np.flatnonzero(self.counts)
+        runs, first = np.unique(self.runs[at], return_index=True)
+        return runs, self.counts[at[first]]
+
+    def under(self, least: float) -> np.ndarray:
+        """Whether a token lies under a run of at least ``least`` pages.
+
+        A run over several blocks covers only those it holds whole, so the first
+        words after a shared block are not taken with it.
+        """
+        change = np.zeros(self.size + 1, np.int64)
+        low = np.flatnonzero(self.counts >= least)
+        high = low + RUN
+        begins = np.searchsorted(self.block_at, np.arange(len(self.blocks)))
+        ends = np.append(begins[1:], self.size)
+        left, right = self.block_at[low], self.block_at[high - 1]
+        crosses = left != right
+        cut = crosses & (high < ends[right] - 1)
+        high = np.where(cut, begins[right], high)
+        low = np.where(crosses & (low > begins[left]), ends[left], low)
+        some = low < high
+        np.add.at(change, low[some], 1)
+        np.add.at(change, high[some], -1)
+        return np.cumsum(change[:-1]) > 0
+
+    def texts(self) -> list[str]:
+        """The main text of each page."""
+        often = self.under(PAGES)
+        always = self.under(max(ENOUGH, EVERYWHERE * self.pages))
+        has_core = {page for page, kind, _ in self.blocks if kind == CORE}
+        out: list[list[str]] = [[] for _ in range(self.distinct)]
+        at = 0
+        for page, kind, words in self.blocks:
+            end = at + len(words)
+            if kind == CORE and not always[at:end].all():
+                out[page] += words
+            elif kind == OPEN and page not in has_core:
+                out[page] += [word for word, gone in zip(words, often[at:end]) if not gone]
+            at = end + 1
+        return [" ".join(words) for words in out]
+
+
+def main_texts(pages: Pages) -> list[str]:
+    """The main text of each page of a host; equal pages count once."""
+    places: dict[tuple, int] = {}
+    which = [places.setdefault(tuple(page), len(places)) for page in pages]
+    texts = Stream(list(map(list, places))).texts()
+    return [texts[i] for i in which]
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", chunk: int = CHUNK) -> DataFrame:
     """``key, url, text, n_chars`` of every page.
 
     A NULL page is empty and has an empty text; a NULL or odd URL belongs to
-    the host without a name. A host of more than ``chunk`` characters is dealt
-    by a hash of key and URL to several suffix arrays, so the largest host
-    spreads over many tasks. Keys may be NULL or repeat.
+    the host without a name. Equal pages of a host are brought together first.
+    A host of more than ``chunk`` characters is dealt by content to several
+    suffix arrays, whose counts of a run are added up over the host, so the
+    result does not depend on ``chunk``. Keys may be NULL or repeat.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.list_(pa.struct([("kind", pa.int8()), ("text", pa.string())]))
         for part in slices(batches, 200):
-            found = [page_blocks(page or "") for page in part.column(2).to_pylist()]
-            rows = [[{"kind": kind, "text": text} for kind, text in blocks] for blocks in found]
-            columns = [part.column(0), part.column(1), part.column(3), part.column(4), pa.array(rows, kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=["_key", "_url", "_host", "_chars", "_blocks"])
+            found = [json.dumps(page_blocks(page or "")).encode() for page in part.column(2).to_pylist()]
+            content = pa.array([hashlib.md5(blocks).digest() for blocks in found], pa.binary())
+            packed = pa.array([zlib.compress(blocks, 4) for blocks in found], pa.binary())
+            columns = [part.column(0), part.column(1), part.column(3), part.column(4), content, packed]
+            yield pa.RecordBatch.from_arrays(columns, names=["_key", "_url", "_host", "_chars", "_content", "_blocks"])
+
+    def stream(table: pa.Table) -> Stream:
+        return Stream([json.loads(zlib.decompress(blocks)) for blocks in table.column("_blocks").to_pylist()])
+
+    def texts(table: pa.Table, found: Stream) -> pa.Table:
+        columns = [table.column("_host"), table.column("_content"), pa.array(found.texts(), pa.string())]
+        return pa.table(columns, names=["_host", "_content", "text"])
 
-    def group(table: pa.Table) -> pa.Table:
-        rows = [[(b["kind"], b["text"]) for b in blocks] for blocks in table.column("_blocks").to_pylist()]
-        texts = main_texts(rows)
-        columns = [table.column("_key"), table.column("_url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-        return pa.table(columns, names=[key, url, "text", "n_chars"])
+    def whole(table: pa.Table) -> pa.Table:
+        return texts(table, stream(table))
+
+    def count(table: pa.Table) -> pa.Table:
+        found = stream(table)
+        runs, counts = found.emitted()
+        # The row without a run has the pages of the chunk.
+        runs = pa.array(runs.view(np.int64)).to_pylist() + [None]
+        same = [pa.array([table.column(name)[0].as_py()] * len(runs), table.schema.field(name).type) for name in ("_host", "_chunk")]
+        return pa.table([*same, pa.array(runs, pa.int64()), pa.array(np.append(counts, found.pages))], names=["_host", "_chunk", "_run", "_n"])
+
+    def cut(table: pa.Table, totals: pa.Table) -> pa.Table:
+        found = stream(table)
+        run, total = totals.column("_run"), totals.column("_total").to_numpy()
+        empty = run.is_null().to_numpy()
+        found.pages = int(total[empty][0])
+        names, total = run.filter(run.is_valid()).to_numpy().view(np.uint64), total[~empty]
+        order = np.argsort(names)
+        at = np.flatnonzero(found.counts)
+        found.counts[at] = 0
+        if len(names):
+            names, total = names[order], total[order]
+            place = np.minimum(np.searchsorted(names, found.runs[at]), len(names) - 1)
+            found.counts[at] = np.where(names[place] == found.runs[at], total[place], 0)
+        return texts(table, found)
 
     kind = pages.schema[key].dataType.simpleString()
     host = F.lower(F.coalesce(F.regexp_extract(url, "://([^/?#]*)", 1), F.lit("")))
@@ -230,12 +311,23 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         F.col(key).alias("_key"), F.col(url).alias("_url"), F.col(html).alias("_html"), host.alias("_host"),
         F.coalesce(F.length(html), F.lit(0)).cast("long").alias("_chars"),
     )
-    chunks = hosted.groupBy("_host").agg(F.ceil(F.sum("_chars") / chunk).alias("_chunks"))
     parsed = hosted.mapInArrow(
-        parse, f"_key {kind}, _url string, _host string, _chars long, _blocks array<struct<kind: tinyint, text: string>>"
-    )
-    dealt = parsed.join(chunks, "_host").withColumn(
-        "_chunk", F.pmod(F.xxhash64("_key", "_url"), F.greatest(F.col("_chunks"), F.lit(1)))
+        parse,
+        f"_key {kind}, _url string, _host string, _chars long, _content binary, _blocks binary",
     )
-    schema = f"`{key}` {kind}, `{url}` string, text string, n_chars bigint"
-    return dealt.select("_host", "_chunk", "_key", "_url", "_blocks").groupBy("_host", "_chunk").applyInArrow(group, schema)
+    parsed = stored(parsed, "parsed")
+    chunks = parsed.groupBy("_host").agg(F.greatest(F.ceil(F.sum("_chars") / chunk), F.lit(1)).alias("_chunks"))
+    distinct = parsed.select("_host", "_content", "_blocks").dropDuplicates(["_host", "_content"])
+    dealt = distinct.join(chunks, "_host").withColumn("_chunk", F.pmod(F.xxhash64("_content"), F.col("_chunks")))
+    made = "_host string, _content binary, text string"
+    slot = ["_host", "_chunk"]
+    columns = [*slot, "_content", "_blocks"]
+    small = dealt.where(F.col("_chunks") == 1).select(columns).groupBy(*slot).applyInArrow(whole, made)
+    large = dealt.where(F.col("_chunks") > 1).select(columns)
+    # A run has at most one row a chunk; those of too few pages go no further.
+    runs = large.groupBy(*slot).applyInArrow(count, "_host string, _chunk long, _run long, _n long")
+    totals = runs.withColumn("_total", F.sum("_n").over(Window.partitionBy("_host", "_run")))
+    totals = totals.where((F.col("_total") >= PAGES) | F.col("_run").isNull()).select(*slot, "_run", "_total")
+    large = large.groupBy(*slot).cogroup(totals.groupBy(*slot)).applyInArrow(cut, made)
+    found = parsed.select("_key", "_url", "_host", "_content").join(small.unionByName(large), ["_host", "_content"])
+    return found.select(F.col("_key").alias(key), F.col("_url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
