@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 
 from traceline.llm import (
     bpe,
+    exact_topk,
     fingerprints,
     html_extract,
     packing,
+    prefix_trie,
     quality_rules,
     simhash_dedup,
     suffix_dedup,
     token_files,
     toxicity,
     url_filter,
+    whitening,
 )
 from traceline.runtime import fresh_path
 
@@ -111,3 +114,22 @@ def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
 def op9_html_extract(spark: SparkSession, sf: str) -> DataFrame:
     """The main text of every page."""
     return html_extract.extract(table(spark, sf, "pages"))
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct prefix of the rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf, "conversations"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    """The four whitened principal components of every vector."""
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query
+def op13_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The twenty greatest inner products of every twentieth vector with all others."""
+    vectors = table(spark, sf, "embeddings")
+    return exact_topk.top_products(vectors, vectors.where(F.col("vec_id") % 20 == 0))
