@@ -106,6 +106,32 @@ from {queries} q, {files} f {cut}
 CTES["near"] = _top("(select idx as q, v from vec_a)", "vec_a", "q", "", "idx, path", 4)
 for m in ("a", "b"):
     CTES[f"vhits_{m}"] = _top(f"vsec_{m}", f"vec_{m}", "section_name, first_row", "", "idx, path", 20)
+# The approximate search: the same lines, buckets and probes, with the plan of ``queries.knn_lsh``.
+CTES["lsh_far"] = """
+select idx, j, round(sum(x * s) / sqrt(64) / any_value(size), 9) as far
+from (select idx, unnest(v) as x, generate_subscripts(v, 1) - 1 as d, sqrt(list_sum(list_transform(v, lambda c: c * c))) as size from vec_a)
+join (select j, d, case when md5('42:' || j || ':' || d) >= '8' then 1 else -1 end as s from range(32) a(j), range(64) b(d)) using (d)
+group by idx, j
+"""
+CTES["lsh_codes"] = """
+select idx, j // 4 as tab, sum(case when far >= 0 then 1 << (j % 4)::int else 0 end)::bigint as code from lsh_far group by idx, tab
+"""
+CTES["lsh_probes"] = """
+select c.idx as q, c.tab, xor(c.code, bits) as code from (
+  select idx, tab, m, sum(case when (m >> place) & 1 = 1 then 1 << bit else 0 end)::bigint as bits,
+    round(sum(case when (m >> place) & 1 = 1 then far * far else 0 end), 9) as cost
+  from (select idx, j // 4 as tab, (j % 4)::int as bit, far,
+          (row_number() over (partition by idx, j // 4 order by abs(far), j) - 1)::bigint as place from lsh_far), range(16) t(m)
+  group by idx, tab, m) p
+join lsh_codes c using (idx, tab)
+qualify row_number() over (partition by c.idx, c.tab order by cost, m) <= 4
+"""
+CTES["lsh_near"] = f"""
+select q.idx as q, f.idx, f.path, {_DISTANCE} as distance,
+  (row_number() over (partition by q.idx order by {_DISTANCE}, f.idx))::int as rk
+from (select distinct p.q, c.idx from lsh_probes p join lsh_codes c using (tab, code)) w
+join vec_a q on q.idx = w.q join vec_a f on f.idx = w.idx qualify rk <= 4
+"""
 CTES["full_rank"] = _top("vsec_a", "vec_a", "section_name", "", "idx", None)
 CTES["listed"] = """
 select repo_id, pos * 2 + (repo_id = 'web')::int as idx, path, v from files_a
@@ -284,6 +310,7 @@ ORACLE: dict[str, str] = {
       from ({_weights('files_a', 'repo_id, path', 64)}) w join files f using (repo_id, path)""",
     "knn_topk": _NEAR,
     "knn_topk_block": _NEAR,
+    "knn_lsh": "select q, rk, idx, path, round(distance, 6) as distance from lsh_near",
     "knn_full_rank": "select section_name, rk::bigint as rk, idx, round(distance, 6) as distance from full_rank",
     "score": "select q, rk, idx, round(distance, 6) as distance, round(cos(distance), 6) as score from near",
     "threshold_aligned": "select q, rk, idx, round(cos(distance), 6) as score from near where distance > 0.5",

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from traceline.functions.codec import encode_blob
 from traceline.functions.text import base_name, is_source_file
-from traceline.operators import documents, embed, evaluate, hits, index, knn, nest, requirements
-from traceline.operators.approximate import nearest_lsh
+from traceline.operators import approximate, documents, embed, evaluate, hits, index, knn, nest, requirements
 from traceline.operators.ranking import number_files
 from traceline.plans import evaluation, match, search
 from traceline.runtime import fresh_path, stored
@@ -23,6 +22,7 @@ QUERIES: dict[str, Query] = {}
 
 A, B, PICKY = fx.MODEL_A, fx.MODEL_B, fx.MODEL_PICKY
 DEPTHS = (3, 20)
+LSH = approximate.ProbePlan(hashes=4, tables=8, probes=4)
 
 
 def query(make: Query) -> Query:
@@ -242,7 +242,13 @@ def knn_full_rank(spark, sf):
 
 @query
 def knn_lsh(spark, sf):
-    found = nearest_lsh(fx.vectors(spark, sf), fx.vector_queries(spark, sf), 4, 64, by=["q"])
+    """A given plan, which SQL can repeat, through a written index."""
+    path = fresh_path(spark, "buckets")
+    built = approximate.build_buckets(fx.vectors(spark, sf), 64, LSH, ["repo_id"], ["path"])
+    approximate.write_buckets(built, path)
+    found = approximate.search_buckets(
+        approximate.read_buckets(spark, path), fx.vector_queries(spark, sf), 4, ["repo_id"], ["q"], ["path"]
+    )
     return found.select("q", "rk", "idx", "path", r6("distance"))
 
 

@@ -77,6 +77,90 @@ def test_stream_equals_batch_and_a_rerun_adds_nothing(spark, requirements, rows,
     assert rows(spark.read.parquet(results), *columns) == batch
 
 
+def drop(path, name, repo, tree, part=None, parts=None):
+    path.mkdir(exist_ok=True)
+    blobs = {n: {"type": "blob", "encode": "base64", "content": base64.b64encode(t.encode()).decode()} for n, t in tree.items()}
+    given = {"id": repo, "repository_tree": blobs, "part": part, "parts": parts}
+    (path / name).write_text(json.dumps({k: v for k, v in given.items() if v is not None}))
+
+
+def test_parts_of_a_repository_are_one_job(spark, requirements, rows, tmp_path):
+    """Two parts in two batches, and over two runs, give the results of the whole repository, once."""
+    inbox = tmp_path / "in"
+    results, runs, checkpoint = (str(tmp_path / n) for n in ("results", "runs", "checkpoint"))
+
+    def run():
+        stream = read_payload_stream(spark, str(inbox), files_per_batch=1)
+        match_stream(stream, requirements, MODEL, results, runs, checkpoint, depth=1, min_distance=None).awaitTermination()
+        return rows(read_runs(spark, runs), "repo_id", "state", "error")
+
+    halves = [dict(list(REPOS["one"].items())[:1]), dict(list(REPOS["one"].items())[1:])]
+    drop(inbox, "a.json", "one", halves[0], 0, 2)
+    drop(inbox, "b.json", "two", REPOS["two"])
+    assert run() == [("two", "SUCCESS", None)]
+    drop(inbox, "c.json", "one", halves[0], 0, 2)  # sent twice: still one of two parts
+    drop(inbox, "d.json", "bare", {"read.me": "nothing to match"})
+    assert run() == [("bare", "SUCCESS", None), ("two", "SUCCESS", None)]
+    drop(inbox, "e.json", "one", halves[1], 1, 2)
+    assert run() == [("bare", "SUCCESS", None), ("one", "SUCCESS", None), ("two", "SUCCESS", None)]
+    trees = spark.createDataFrame([("bare",)], "repo_id string")
+    whole = tmp_path / "whole"
+    write(whole, REPOS)
+    files = decode_files(read_payload(spark, str(whole)))
+    every = files.select("repo_id").unionByName(trees)
+    batch = match_single(files, requirements, MODEL, depth=1, min_distance=None, repos=every)
+    columns = ["repo_id", "section_name", "kind", "pos", "file_name", F.round("score", 9)]
+    found = spark.read.parquet(results)
+    assert rows(found, *columns) == rows(batch, *columns)
+    assert rows(found.where("repo_id = 'bare'"), "section_name", "file_name") == [("Crypto", None), ("Log", None), ("Login", None)]
+    # The same repository again is a new job.
+    drop(inbox, "f.json", "two", REPOS["two"])
+    assert run().count(("two", "SUCCESS", None)) == 2
+
+
+def test_a_missing_part_and_bad_payloads_fail_by_name(spark, requirements, rows, tmp_path):
+    inbox = tmp_path / "in"
+    results, runs, checkpoint = (str(tmp_path / n) for n in ("results", "runs", "checkpoint"))
+
+    def run():
+        stream = read_payload_stream(spark, str(inbox), files_per_batch=1)
+        match_stream(stream, requirements, MODEL, results, runs, checkpoint, patience_ms=1).awaitTermination()
+        return rows(read_runs(spark, runs), "repo_id", "state", "error")
+
+    drop(inbox, "a.json", "one", REPOS["one"], 0, 3)
+    (inbox / "b.json").write_text("not json\n")
+    (inbox / "c.json").write_text('{"repository_tree": {}}\n')
+    drop(inbox, "d.json", "two", {"b.py": "x"})
+    write(inbox, {"bad": {"y.php": "text", "z.php": "more"}}, broken=["bad"])
+    drop(inbox, "e.json", "last", {"b.py": "login"})
+    assert run() == [
+        ("bad", "FAILURE", "y.php: incorrect base64 padding"),
+        ("last", "SUCCESS", None),
+        ("one", "FAILURE", "incomplete: 1 of 3 parts"),
+        ("two", "SUCCESS", None),
+        (None, "FAILURE", "not a payload with an id: b.json"),
+        (None, "FAILURE", "not a payload with an id: c.json"),
+    ]
+    assert {r.repo_id for r in spark.read.parquet(results).select("repo_id").distinct().collect()} == {"two", "last"}
+
+
+def test_every_repository_and_section_has_a_row(spark, rows):
+    """A file without words, a repository without files and a section without words are in the results."""
+    files = spark.createDataFrame(
+        [("a", 0, "x.py", "login user"), ("b", 0, "y.py", "... !?")], "repo_id string, pos long, path string, content string"
+    )
+    asked = spark.createDataFrame([(0, "Login", "login"), (1, "Marks", "?!")], "row_idx long, section_name string, req_description string")
+    repos = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "repo_id string")
+    empty = [(r, s, f, None, None) for r in "abc" for s, f in (("Login", 0), ("Marks", 1)) if (r, s) != ("a", "Login")]
+    columns = ["repo_id", "section_name", "first_row", "kind", "file_name"]
+    single = match_single(files, asked, MODEL, min_distance=None, repos=repos)
+    assert rows(single, *columns) == sorted([("a", "Login", 0, "common_files", "x.py"), *empty], key=repr)
+    dual = match_dual(files, asked, MODEL, OTHER, min_distance=None, repos=repos)
+    assert rows(dual, *columns) == sorted([("a", "Login", 0, "common_files", "x.py"), *empty], key=repr)
+    many = spark.createDataFrame([(i, f"s{i}", "login") for i in range(2500)], asked.schema)
+    assert match_single(files, many, MODEL, min_distance=None).groupBy("repo_id").count().where("count = 2500").count() == 2
+
+
 def test_search_listing_and_context(spark, rows):
     files = spark.createDataFrame([("d", 0, "a.txt", "alpha beta"), ("d", 1, "b.txt", "gamma delta"), ("d", 2, "c.txt", "alpha gamma")], "repo_id string, pos long, path string, content string")
     asks = spark.createDataFrame([(1, "alpha beta"), (2, "?")], "query_id int, query string")

@@ -3,8 +3,21 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from traceline.operators.approximate import nearest_lsh
+from traceline.operators.approximate import (
+    ProbePlan,
+    build_buckets,
+    choose_plan,
+    lines,
+    nearest_lsh,
+    probe_codes,
+    probe_ranks,
+    read_buckets,
+    search_buckets,
+    solve_plan,
+    write_buckets,
+)
 from traceline.operators.knn import keep_best, nearest, nearest_blocked, rank_all
+from traceline.runtime import fresh_path
 
 DIM = 8
 
@@ -82,20 +95,84 @@ def test_no_queries_give_no_rows(data):
     assert nearest(index, queries.limit(0), 3, DIM, by=["q"]).count() == 0
 
 
-def test_approximate_search_is_complete_and_mostly_right(data):
+@pytest.mark.parametrize("hashes", [4, 8, 12])
+def test_approximate_search_reaches_the_recall(spark, hashes):
+    """Whatever the number of hashes, with and without the way out to the exact search."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(
+        F.lit("r").alias("repo_id"), F.col("vec_id").alias("idx"), F.lit("p").alias("path"), "embedding"
+    )
+    # Every other vector asks for its neighbours among the rest, so that no query finds itself.
+    files, asks = table.where("idx % 2 = 1"), table.where("idx % 2 = 0").select(F.col("idx").alias("q"), "embedding")
+    want = {(r.q, r.idx) for r in nearest(files, asks, 5, 64, by=["q"]).collect()}
+    for most_share in (0.5, 1e9):
+        found = nearest_lsh(files, asks, 5, 64, by=["q"], hashes=hashes, most_share=most_share, complete=False)
+        assert len({(r.q, r.idx) for r in found.collect()} & want) >= 0.9 * len(want)
+
+
+def test_near_neighbours_are_found_in_few_buckets(spark):
+    """Where neighbours are near the plan looks at little of the index."""
+    draw = np.random.default_rng(6)
+    base = draw.normal(size=(1500, DIM))
+    files = spark.createDataFrame([("r", i, "p", v) for i, v in enumerate(base.tolist())], "repo_id string, idx long, path string, embedding array<float>")
+    asks = spark.createDataFrame([(i, v) for i, v in enumerate((base[:400] + 0.05 * draw.normal(size=(400, DIM))).tolist())], "q int, embedding array<float>")
+    plan = choose_plan(files, asks, 1, DIM, ["repo_id"], ["q"], hashes=6)
+    assert not plan.exact and plan.recall >= 0.9 and plan.tables * plan.probes / 64 <= 0.25
+    found = nearest_lsh(files, asks, 1, DIM, by=["q"], plan=plan, block_rows=100, complete=False).collect()
+    assert sum(r.q == r.idx for r in found) >= 0.9 * 400
+
+
+def test_probes_go_from_the_nearest_line_on():
+    sides = np.array([[[0.5, -0.1, 0.3]]])
+    assert probe_codes(sides, 8).tolist() == [[[5, 7, 1, 3, 4, 6, 0, 2]]]  # 5 is 101: above the lines 0 and 2
+    ranks = [probe_ranks(sides, np.array([[[a, b, c]]]))[0, 0] for a, b, c in [(1, -1, 1), (1, 1, 1), (1, -1, -1), (-1, 1, -1)]]
+    assert ranks == [1, 2, 3, 8]
+
+
+def test_plan_is_the_cheapest_that_reaches_the_recall():
+    ranks = np.array([[1, 1], [3, 1], [9, 2], [1, 9]] * 100)
+    assert solve_plan(ranks, 4, 0.7, 1.0, 0) == ProbePlan(4, 2, 1, 0, 0.75)
+    assert solve_plan(ranks, 4, 0.99, 1.0, 0) == ProbePlan(4, 2, 2, 0, 1.0)
+    assert solve_plan(ranks, 4, 0.99, 0.2, 0).exact and solve_plan(ranks + 2**29, 4, 0.1, 1.0, 0).exact
+
+
+@pytest.mark.parametrize("scope", [["repo_id"], []])
+def test_approximate_search_scores_the_probed_buckets_exactly(data, scope):
+    """Against buckets made by hand; copies fill one bucket far beyond a block, and the index is read back from files."""
     index, queries, vectors, repos = data
-    expected = brute(vectors, repos, range(0, 300, 10), 4)
-    found = nearest_lsh(index, queries, 4, DIM, by=["q"], tables=32, hashes=2, block_rows=32)
-    got = {(r.repo_id, r.q, r.idx) for r in found.collect()}
-    assert len(got & {(a, b, d) for a, b, _, d in expected}) >= 0.9 * len(expected)
-    assert found.count() == len(expected)
+    spark = index.sparkSession
+    copies = spark.createDataFrame([("a", 1000 + i, "c", vectors[9].tolist()) for i in range(90)], "repo_id string, idx long, path string, embedding array<float>")
+    index = index.select("repo_id", "idx", "path", "embedding").unionByName(copies.select("repo_id", "idx", "path", "embedding"))
+    plan = ProbePlan(3, 2, 3, seed=5)
+    path = fresh_path(spark, "buckets")
+    write_buckets(build_buckets(index, DIM, plan, scope, ["path"] + (["repo_id"] if not scope else []), 16), path)
+    again = read_buckets(spark, path)
+    assert again.plan == plan
+    found = search_buckets(again, queries, 4, scope, ["q"], ["path"], 8)
+    rows = [(r.repo_id, r.idx, np.array(r.embedding, dtype=np.float64)) for r in index.collect() if r.embedding is not None and any(r.embedding)]
+    unit = np.array([v / np.linalg.norm(v) for *_, v in rows])
+    signs = lines(DIM, 6, 5).astype(float)
+    far = (unit @ signs / np.sqrt(DIM)).reshape(len(rows), 2, 3)
+    codes = ((far >= 0) * [1, 2, 4]).sum(axis=2)
+    want = set()
+    for q in queries.collect():
+        if q.embedding is None or not any(q.embedding):
+            continue
+        v = np.array(q.embedding, dtype=np.float64)
+        v /= np.linalg.norm(v)
+        probed = probe_codes((v @ signs / np.sqrt(DIM)).reshape(1, 2, 3), 3)[0]
+        alive = [i for i in range(len(rows)) if any(codes[i, t] in probed[t] for t in range(2))]
+        by = {}
+        for i in alive:
+            by.setdefault(rows[i][0] if scope else None, []).append((-round(float(unit[i] @ v), 9), rows[i][1]))
+        want |= {(s, q.q, rk + 1, idx) for s, hits in by.items() for rk, (_, idx) in enumerate(sorted(hits)[:4])}
+    assert {(r.repo_id if scope else None, r.q, r.rk, r.idx) for r in found.collect()} == want
 
 
 @pytest.mark.parametrize("scope", [["repo_id"], []])
 def test_short_answers_are_searched_exactly(data, scope):
     index, queries, vectors, repos = data
     repos = repos if scope else [None] * 300
-    found = nearest_lsh(index, queries, 250, DIM, scope=scope, by=["q"], tables=1, hashes=6)
+    found = nearest_lsh(index, queries, 250, DIM, scope=scope, by=["q"], plan=ProbePlan(6, 1, 1))
     assert found.count() == len(brute(vectors, repos, range(0, 300, 10), 250))
 
 

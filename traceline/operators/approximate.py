@@ -1,53 +1,332 @@
-"""Approximate neighbours from random projections."""
+"""Approximate neighbours: a stored bucket table, probed as far as a wanted recall asks.
+
+A table hashes a vector to one bit per line, the side of the line on which it
+lies; files with equal bits share a bucket. A query looks into its own bucket
+and then into those it would be in had it fallen on the other side of the lines
+it is nearest to, in the order of its squared distance to them. How many tables
+and probes that takes is not guessed: for a sample of queries the exact
+neighbours are found, and the cheapest setting that reaches the wanted recall
+on them is taken. Where none does, or where it would look at most of the index
+anyway, the search is exact.
+
+Buckets hold places, not vectors. Candidates are collected as places; the
+vectors of a block are moved once for each group of queries, and pairs never
+become rows.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from traceline.functions.scoring import angular_distance
-from traceline.operators.knn import BLOCK_CELLS, nearest, nearest_grouped, unit_matrix
+from traceline.operators.knn import BLOCK_CELLS, UNIT, nearest, still_best, unit_matrix
+from traceline.operators.ranking import number_rows
 from traceline.runtime import stored
 
-
 LEAF = 128  # files wanted in a bucket
-_SLICE = 1024  # vectors copied to all tables at once
+MAX_TABLES = 32
+NEAR_LINES = 10  # probes change sides of these many nearest lines only, so there are at most 1024
+RECALL = 0.9
+SAMPLE = 256  # queries whose exact neighbours are found to choose a plan
+SAMPLE_PAIRS = 20_000  # neighbours of the sample that are looked at
+MOST_SHARE = 0.5  # share of the index from which looking at all of it is as good
+BLOCK_ROWS = 4096  # files of a block, and queries of a group
+_DECIMALS = 9  # distances to lines are compared as multiples of 1e-9
+
+
+@dataclass(frozen=True)
+class ProbePlan:
+    """How far an index is probed; ``recall`` is what the sample measured, None if nothing was."""
+
+    hashes: int
+    tables: int
+    probes: int
+    seed: int = 42
+    recall: float | None = None
+    exact: bool = False
+
+
+@dataclass(frozen=True)
+class BucketIndex:
+    """Files in blocks (``block, place`` beside their own columns) and the bucket table ``table, code, block, places``."""
+
+    files: DataFrame
+    buckets: DataFrame
+    plan: ProbePlan
+    dim: int
+
+
+def lines(dim: int, count: int, seed: int) -> np.ndarray:
+    """``dim x count`` of 1 and -1: the first bit of the MD5 of ``seed:line:component``."""
+    signs = [1 if hashlib.md5(f"{seed}:{j}:{d}".encode()).digest()[0] & 128 else -1 for d in range(dim) for j in range(count)]
+    return np.array(signs, dtype=np.int8).reshape(dim, count)
+
+
+def _sides(vectors: np.ndarray, signs: np.ndarray, hashes: int) -> np.ndarray:
+    """Signed distances (rows, tables, hashes) of unit vectors to the lines."""
+    far = np.round(vectors @ signs.astype(np.float64) / math.sqrt(len(signs)), _DECIMALS)
+    return far.reshape(len(vectors), -1, hashes)
+
+
+def _codes(sides: np.ndarray) -> np.ndarray:
+    return ((sides >= 0) * (1 << np.arange(sides.shape[2], dtype=np.int64))).sum(axis=2)
+
+
+def _flips(sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows ``(tables, hashes)`` flattened to ``(rows, hashes)``: what each combination of near lines costs, and its bits.
+
+    Combination 0 changes nothing; the others follow as binary numbers over the
+    nearest lines, the nearest first.
+    """
+    near = min(NEAR_LINES, sides.shape[1])
+    order = np.argsort(np.abs(sides), axis=1, kind="stable")[:, :near]
+    squares = np.take_along_axis(sides, order, axis=1) ** 2
+    chosen = (np.arange(1 << near)[:, None] >> np.arange(near)) & 1
+    bits = (np.int64(1) << order.astype(np.int64)) @ chosen.T.astype(np.int64)
+    return np.round(squares @ chosen.T.astype(np.float64), _DECIMALS), bits
 
 
-def _hashed(df: DataFrame, ids: list[str], dim: int, tables: int, hashes: int, width: float, seed: int) -> DataFrame:
-    """One row per vector and table with its bucket.
+def probe_codes(sides: np.ndarray, probes: int) -> np.ndarray:
+    """(rows, tables, probes) codes in the order a query looks at them."""
+    rows, tables, hashes = sides.shape
+    flat = sides.reshape(-1, hashes)
+    cost, bits = _flips(flat)
+    first = np.argsort(cost, axis=1, kind="stable")[:, :probes]
+    return (_codes(sides).reshape(-1, 1) ^ np.take_along_axis(bits, first, axis=1)).reshape(rows, tables, -1)
+
+
+def probe_ranks(asked: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """(rows, tables): which probe of the query reaches the bucket of the file; a large number if none does."""
+    rows, tables, hashes = asked.shape
+    cost, bits = _flips(asked.reshape(-1, hashes))
+    order = np.argsort(cost, axis=1, kind="stable")
+    wanted = (_codes(asked) ^ _codes(found)).reshape(-1, 1)
+    hit = np.take_along_axis(bits, order, axis=1) == wanted
+    return np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, 2**30).reshape(rows, tables)
+
+
+def default_hashes(n_files: int) -> int:
+    """Lines of a table whose buckets hold about ``LEAF`` files."""
+    return min(40, max(1, round(math.log2(max(1, n_files) / LEAF))))
+
+
+def solve_plan(ranks: np.ndarray, hashes: int, recall: float, most_share: float, seed: int) -> ProbePlan:
+    """The cheapest number of tables and probes whose recall on the sample is at least ``recall``.
+
+    ``ranks`` is ``neighbours x tables``. The cost is the share of the index a
+    query looks at, ``tables * probes / 2^hashes`` at even buckets, and at
+    equal cost fewer tables are better. Two standard errors of the measured
+    share are added to the wanted recall, so that a sample's luck does not count.
+    """
+    options = []
+    least = np.minimum.accumulate(ranks, axis=1)
+    probes = 1
+    while probes <= 1 << min(NEAR_LINES, hashes):
+        reached = (least <= probes).mean(axis=0) if len(ranks) else np.ones(ranks.shape[1])
+        sure = reached - 2 * np.sqrt(reached * (1 - reached) / max(1, len(ranks)))
+        for t in np.flatnonzero(sure >= recall)[:1]:
+            options.append(((t + 1) * probes / 2**hashes, int(t) + 1, probes, float(reached[t])))
+        probes *= 2
+    if not options or min(options)[0] > most_share:
+        return ProbePlan(hashes, 0, 0, seed, 1.0, exact=True)
+    _, tables, probes, reached = min(options)
+    return ProbePlan(hashes, tables, probes, seed, reached)
+
+
+def choose_plan(
+    index: DataFrame,
+    queries: DataFrame,
+    k: int,
+    dim: int,
+    scope: list[str],
+    by: list[str],
+    hashes: int | None = None,
+    recall: float = RECALL,
+    max_tables: int = MAX_TABLES,
+    most_share: float = MOST_SHARE,
+    seed: int = 42,
+) -> ProbePlan:
+    """Measure on ``SAMPLE`` queries how far their exact neighbours are from them in the probing order.
 
-    A bucket is made of ``hashes`` random projections cut into steps of
-    ``width``. Two buckets with one number would only be searched together.
+    The sample is the queries with the least hash of their key, and at most
+    ``SAMPLE_PAIRS`` of their neighbours by the same rule.
     """
+    hashes = hashes or default_hashes(index.where(F.col("embedding").isNotNull()).count())
+    usable = queries.where(F.col("embedding").isNotNull()).select(*by, "embedding")
+    sample = stored(usable.orderBy(F.xxhash64(*by)).limit(SAMPLE), "sample")
+    truth = nearest(index, sample, k, dim, scope, by, []).select(*scope, "idx", *by)
+    truth = truth.orderBy(F.xxhash64(*scope, "idx", *by)).limit(SAMPLE_PAIRS)
+    vectors = index.select(*scope, "idx", F.col("embedding").alias("_file"))
+    # Both joined tables are bounded by the sample; the index is scanned, not moved.
+    pairs = vectors.join(F.broadcast(truth), [*scope, "idx"]) if scope else vectors.join(F.broadcast(truth), "idx")
+    pairs = pairs.join(F.broadcast(sample), by).select("embedding", "_file")
+    signs = lines(dim, max_tables * hashes, seed)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = np.random.default_rng(seed)
-        lines = draw.normal(size=(dim, tables * hashes))
-        lines /= np.linalg.norm(lines, axis=0)
-        mix = draw.integers(1, 2**62, size=hashes) * 2 + 1
         for batch in batches:
-            for start in range(0, batch.num_rows, _SLICE):
-                piece = batch.slice(start, _SLICE)
+            for start in range(0, batch.num_rows, 64):
+                piece = batch.slice(start, 64)
+                asked, found = (_sides(unit_matrix(piece.column(c), dim), signs, hashes) for c in ("embedding", "_file"))
+                ranks = probe_ranks(asked, found)
+                yield pa.RecordBatch.from_arrays([pa.array(ranks.tolist(), pa.list_(pa.int32()))], names=["ranks"])
+
+    found = pairs.mapInArrow(task, "ranks array<int>").toArrow().column("ranks").to_pylist()
+    return solve_plan(np.array(found, dtype=np.int64).reshape(len(found), max_tables), hashes, recall, most_share, seed)
+
+
+def build_buckets(index: DataFrame, dim: int, plan: ProbePlan, scope: list[str], keep: list[str], block_rows: int = BLOCK_ROWS) -> BucketIndex:
+    """Write the files in blocks, those of a bucket of the first table together, and the bucket table.
+
+    A bucket that holds any share of the files, as copies do, is spread over
+    blocks and over rows of the bucket table.
+    """
+    files = index.where(F.col("embedding").isNotNull()).select(*scope, "idx", *keep, "embedding")
+    signs = lines(dim, max(1, plan.tables) * plan.hashes, plan.seed)
+    hashes = plan.hashes
+
+    def first_code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = unit_matrix(batch.column("embedding"), dim)
+            code = _codes(_sides(np.nan_to_num(vectors), signs[:, :hashes], hashes))[:, 0]
+            alive = pa.array(~np.isnan(vectors[:, 0]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code)], names=[*batch.schema.names, "_code"]).filter(alive)
+
+    schema = T.StructType([*files.schema, T.StructField("_code", T.LongType())])
+    coded = stored(files.mapInArrow(first_code, schema), "coded")
+    seated = number_rows(coded, [], ["_code", *scope, "idx"], "_seat", start=0)
+    laid = stored(
+        seated.select(
+            *files.columns,
+            F.floor(F.col("_seat") / block_rows).alias("block"),
+            (F.col("_seat") % block_rows).cast("int").alias("place"),
+        ),
+        "blocks",
+    )
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _codes(_sides(unit_matrix(batch.column("embedding"), dim), signs, hashes))
+            rows, tables = found.shape
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.tile(np.arange(tables, dtype=np.int32), rows)),
+                    pa.array(found.ravel()),
+                    pa.array(np.repeat(batch.column("block").to_numpy(), tables)),
+                    pa.array(np.repeat(batch.column("place").to_numpy(), tables)),
+                ],
+                names=["table", "code", "block", "place"],
+            )
+
+    hashed = laid.select("embedding", "block", "place").mapInArrow(codes, "table int, code long, block long, place int")
+    # A block bounds what comes together in one row.
+    buckets = stored(hashed.groupBy("table", "code", "block").agg(F.collect_list("place").alias("places")), "buckets")
+    return BucketIndex(laid, buckets, plan, dim)
+
+
+def write_buckets(found: BucketIndex, path: str) -> None:
+    """The index under ``path``: files, bucket table and plan."""
+    found.files.write.parquet(f"{path}/files")
+    found.buckets.write.parquet(f"{path}/buckets")
+    plan = [tuple(asdict(found.plan).values()) + (found.dim,)]
+    found.files.sparkSession.createDataFrame(plan, _PLAN).coalesce(1).write.parquet(f"{path}/plan")
+
+
+_PLAN = "hashes int, tables int, probes int, seed long, recall double, exact boolean, dim int"
+
+
+def read_buckets(spark: SparkSession, path: str) -> BucketIndex:
+    *plan, dim = spark.read.schema(_PLAN).parquet(f"{path}/plan").first()
+    return BucketIndex(spark.read.parquet(f"{path}/files"), spark.read.parquet(f"{path}/buckets"), ProbePlan(*plan), dim)
+
+
+def search_buckets(
+    index: BucketIndex, queries: DataFrame, k: int, scope: list[str], by: list[str], keep: list[str], block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """The ``k`` best candidates of every query and scope, exactly scored, without filling up short answers."""
+    plan, dim = index.plan, index.dim
+    if plan.exact:
+        return nearest(index.files, queries, k, dim, scope, by, keep)
+    usable = queries.where(F.col("embedding").isNotNull()).select(*by, "embedding")
+    asks = stored(usable.withColumn("_q", F.monotonically_increasing_id()), "asks")
+    signs = lines(dim, plan.tables * plan.hashes, plan.seed)
+    hashes, probes = plan.hashes, plan.probes
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                piece = batch.slice(start, 64)
                 vectors = unit_matrix(piece.column("embedding"), dim)
                 alive = np.flatnonzero(~np.isnan(vectors[:, 0]))
-                cuts = np.floor(vectors[alive] @ lines / width).astype(np.int64)
-                bucket = (cuts.reshape(len(alive), tables, hashes) * mix).sum(axis=2)
-                rows = piece.take(pa.array(np.repeat(alive, tables)))
+                codes = probe_codes(_sides(vectors[alive], signs, hashes), probes)
+                rows, tables, each = codes.shape
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(np.tile(np.arange(tables), len(alive))), pa.array(bucket.ravel())],
-                    names=[*rows.schema.names, "table", "bucket"],
+                    [
+                        pa.array(np.repeat(piece.column("_q").to_numpy()[alive], tables * each)),
+                        pa.array(np.tile(np.repeat(np.arange(tables, dtype=np.int32), each), rows)),
+                        pa.array(codes.ravel()),
+                    ],
+                    names=["_q", "table", "code"],
                 )
 
-    columns = df.select(*ids, "embedding")
-    schema = T.StructType([*columns.schema, T.StructField("table", T.LongType()), T.StructField("bucket", T.LongType())])
-    return columns.mapInArrow(task, schema)
+    probed = asks.select("_q", "embedding").mapInArrow(probe, "_q long, table int, code long")
+    met = probed.join(index.buckets, ["table", "code"]).groupBy("block", "_q").agg(F.flatten(F.collect_list("places")).alias("_places"))
+    groups = max(1, -(-asks.count() // block_rows))
+    group = F.pmod(F.xxhash64("_q"), F.lit(groups)).alias("_group")
+    wanted = stored(met.select("block", group, "_q", "_places"), "candidates")
+    asked = wanted.join(asks, "_q")
+    pairs = stored(wanted.select("block", "_group").distinct(), "touched")
+    files = index.files.select(*scope, "idx", *keep, "embedding", "block", "place").join(pairs, "block")
+    # Whatever the columns are called, they meet by place.
+    names = [f"c{i}" for i in range(len(scope) + 1 + len(keep))]
+    own = [f"q{i}" for i in range(len(by))]
+    left = files.select("block", "_group", F.struct(*[F.col(c).alias(n) for c, n in zip([*scope, "idx", *keep], names)]).alias("_row"), "embedding", "place")
+    right = asked.select("block", "_group", F.struct(*[F.col(c).alias(n) for c, n in zip(by, own)]).alias("_ask"), "_q", "embedding", "_places")
+    inner = T.StructType([left.schema["_row"], right.schema["_ask"], T.StructField("_q", T.LongType()), T.StructField("cos_sim", T.DoubleType())])
+    empty = to_arrow_schema(inner).empty_table()
+    n_scope = len(scope)
+
+    def task(given: pa.Table, asked: pa.Table) -> pa.Table:
+        if not given.num_rows or not asked.num_rows:
+            return empty
+        vectors, asking = (unit_matrix(t.column("embedding"), dim) for t in (given, asked))
+        seat = np.full(int(max(given.column("place").to_numpy().max(), 0)) + 1, -1, dtype=np.int64)
+        seat[given.column("place").to_numpy()] = np.arange(given.num_rows)
+        places = asked.column("_places").combine_chunks()
+        query = np.repeat(np.arange(asked.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
+        # A file may be in a probed bucket of several tables.
+        cells = np.unique(query * given.num_rows + seat[places.flatten().to_numpy(zero_copy_only=False)])
+        query, file = cells // given.num_rows, cells % given.num_rows
+        step = max(1, BLOCK_CELLS // dim)
+        sims = [np.einsum("ij,ij->i", asking[query[i : i + step]], vectors[file[i : i + step]]) for i in range(0, len(cells), step)]
+        sims = np.rint(np.concatenate([*sims, np.zeros(0)]) * UNIT) / UNIT
+        rows = given.column("_row").combine_chunks()
+        marks = [rows.field(i).take(pa.array(file)) for i in range(n_scope)]
+        scored = pa.table(
+            [*marks, pa.array(query), rows.field(n_scope).take(pa.array(file)), pa.array(file), pa.array(sims)],
+            names=[*[f"s{i}" for i in range(n_scope)], "query", "idx", "file", "cos_sim"],
+        )
+        best = still_best(scored, k, [*[f"s{i}" for i in range(n_scope)], "query"])
+        query, file = best.column("query").combine_chunks(), best.column("file").combine_chunks()
+        parts = [rows.take(file), asked.column("_ask").combine_chunks().take(query), asked.column("_q").combine_chunks().take(query)]
+        return pa.table([*parts, best.column("cos_sim").combine_chunks()], schema=empty.schema)
+
+    on = ["block", "_group"]
+    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(task, inner)
+    columns = [F.col("_row")[n].alias(c) for c, n in zip([*scope, "idx", *keep], names)]
+    flat = found.select(*columns, *[F.col("_ask")[n].alias(c) for c, n in zip(by, own)], "cos_sim")
+    order = Window.partitionBy(*scope, *by).orderBy(F.col("cos_sim").desc(), "idx")
+    ranked = flat.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
+    return ranked.withColumn("distance", angular_distance(F.col("cos_sim")))
 
 
 def nearest_lsh(
@@ -58,70 +337,35 @@ def nearest_lsh(
     scope: list[str] | None = None,
     by: list[str] | None = None,
     keep: list[str] | None = None,
-    tables: int = 32,
+    plan: ProbePlan | None = None,
+    recall: float = RECALL,
     hashes: int | None = None,
-    bucket_length: float = 0.5,
+    most_share: float = MOST_SHARE,
     seed: int = 42,
-    block_rows: int | None = None,
+    block_rows: int = BLOCK_ROWS,
     complete: bool = True,
 ) -> DataFrame:
-    """The ``k`` nearest among files that share a bucket with the query.
-
-    Vectors of a table meet in their bucket and are scored there as blocks;
-    pairs never become rows. A bucket of many vectors is cut into even blocks
-    on either side, so copies that fall into one bucket do not meet in one
-    task. More ``tables`` find more neighbours; more ``hashes`` make smaller
-    buckets, by default about ``LEAF`` files each. Queries whose buckets held fewer than ``k`` files are searched
-    exactly when ``complete``. Both inputs are read several times and should be
-    written tables.
+    """The ``k`` nearest files of every query and scope, of which at least ``recall`` are found.
+
+    Without a ``plan`` one is measured (``choose_plan``), for the given number
+    of ``hashes`` or one that follows from the size of the index; it may say
+    that the exact search is the better way. Queries for which a scope gave
+    fewer than ``k`` files are searched exactly when ``complete``. ``by`` must
+    tell queries apart. Both inputs are read several times and should be
+    written tables. For many searches of one index see ``build_buckets``.
     """
     scope = ["repo_id"] if scope is None else scope
     by = ["section_name"] if by is None else by
     keep = ["path"] if keep is None else keep
-    rows = block_rows or max(1, BLOCK_CELLS // dim)
-    files = index.where(F.col("embedding").isNotNull()).select(*scope, "idx", *keep, "embedding")
-    asks = queries.where(F.col("embedding").isNotNull()).select(*by, "embedding")
-    if hashes is None:
-        # A projection splits unit vectors about in two.
-        hashes = max(1, round(math.log2(max(1, files.count()) / LEAF)))
-    left = _hashed(files, [*scope, "idx", *keep], dim, tables, hashes, bucket_length, seed)
-    right = _hashed(asks, by, dim, tables, hashes, bucket_length, seed)
-    slot = ["table", "bucket"]
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        counted = df.groupBy(*slot).agg(F.count("*").alias("_n"))
-        return counted.select(*slot, F.ceil(F.col("_n") / rows).cast("int").alias(name))
-
-    # Buckets met from both sides, with the number of blocks of each side.
-    sizes = stored(blocks(left, "_fbs").join(blocks(right, "_qbs"), slot), "buckets")
-
-    def placed(df: DataFrame, own: str, own_size: str, other: str, other_size: str, *ids: str) -> DataFrame:
-        sized = df.join(sizes, slot)
-        return (
-            sized.withColumn(own, F.pmod(F.xxhash64(*ids), F.col(own_size)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_size) - 1)))
-            .drop(own_size, other_size)
-        )
-
-    found = nearest_grouped(
-        placed(left, "_fb", "_fbs", "_qb", "_qbs", *scope, "idx"),
-        placed(right, "_qb", "_qbs", "_fb", "_fbs", *by),
-        k,
-        dim,
-        scope,
-        by,
-        keep,
-        [*slot, "_fb", "_qb"],
-    )
-    columns = found.columns
-    # The same pair may be found in several tables.
-    once = found.groupBy(*[c for c in columns if c != "cos_sim"]).agg(F.max("cos_sim").alias("cos_sim"))
-    order = Window.partitionBy(*scope, *by).orderBy(F.col("cos_sim").desc(), "idx")
-    ranked = once.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
-    ranked = ranked.withColumn("distance", angular_distance(F.col("cos_sim")))
+    plan = plan or choose_plan(index, queries, k, dim, scope, by, hashes, recall, most_share=most_share, seed=seed)
+    if plan.exact:
+        return nearest(index, queries, k, dim, scope, by, keep)
+    ranked = search_buckets(build_buckets(index, dim, plan, scope, keep, block_rows), queries, k, scope, by, keep, block_rows)
     if not complete:
         return ranked
-    return _completed(stored(ranked, "candidates"), files, asks, k, dim, scope, by, keep)
+    files = index.where(F.col("embedding").isNotNull()).select(*scope, "idx", *keep, "embedding")
+    asks = queries.where(F.col("embedding").isNotNull()).select(*by, "embedding")
+    return _completed(stored(ranked, "ranked"), files, asks, k, dim, scope, by, keep)
 
 
 def _completed(

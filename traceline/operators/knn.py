@@ -9,12 +9,12 @@ of summation; ties are then settled by ``idx``.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -110,7 +110,7 @@ def score_table(
         yield pa.RecordBatch.from_arrays(data, names=[*scope, "idx", *keep, *names.column_names, "cos_sim"])
 
 
-def _still_best(found: pa.Table, k: int, key: list[str]) -> pa.Table:
+def still_best(found: pa.Table, k: int, key: list[str]) -> pa.Table:
     """The best ``k`` rows of each key."""
     codes = _scope_codes(found, key)
     order = np.lexsort((found.column("idx").to_numpy(), -found.column("cos_sim").to_numpy(), codes))
@@ -132,14 +132,14 @@ def keep_best(parts: Iterable[pa.RecordBatch], k: int, key: list[str], pending:
         waiting.append(part)
         rows += part.num_rows
         if rows > pending:
-            best = _still_best(pa.Table.from_batches(waiting), k, key)
+            best = still_best(pa.Table.from_batches(waiting), k, key)
             if best.num_rows > pending // 2:
                 yield from best.to_batches()
                 waiting, rows = [], 0
             else:
                 waiting, rows = best.to_batches(), best.num_rows
     if waiting:
-        yield from _still_best(pa.Table.from_batches(waiting), k, key).to_batches()
+        yield from still_best(pa.Table.from_batches(waiting), k, key).to_batches()
 
 
 def _out_schema(index: DataFrame, queries: DataFrame, scope: list[str], by: list[str], keep: list[str]) -> T.StructType:
@@ -159,20 +159,17 @@ def _columns(index: DataFrame, scope: list[str], keep: list[str]) -> DataFrame:
     return index.where(F.col("embedding").isNotNull()).select(*scope, "idx", *keep, "embedding")
 
 
-def nearest_broadcast(
-    index: DataFrame,
-    matrix: pa.Table,
-    queries: DataFrame,
-    k: int | None,
-    dim: int,
-    scope: list[str],
-    by: list[str],
-    keep: list[str],
-) -> DataFrame:
-    """One scan of the index with the whole (bounded) query matrix in each task."""
-    shared = index.sparkSession.sparkContext.broadcast(
-        (unit_matrix(matrix.column("embedding"), dim), matrix.select(by).combine_chunks())
-    )
+Task = Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def best_task(
+    spark: SparkSession, matrix: pa.Table, k: int | None, dim: int, scope: list[str], by: list[str], keep: list[str]
+) -> Task:
+    """Function for ``mapInArrow`` that scores index rows against the whole (bounded) query matrix.
+
+    Each task gives its ``k`` best per query and scope, or all for None.
+    """
+    shared = spark.sparkContext.broadcast((unit_matrix(matrix.column("embedding"), dim), matrix.select(by).combine_chunks()))
 
     # Long vectors are widened to doubles a part of the batch at a time.
     step = max(1, BLOCK_CELLS // dim)
@@ -189,6 +186,21 @@ def nearest_broadcast(
         )
         yield from found if k is None else keep_best(found, k, [*scope, *by], max(PENDING, 4 * k * len(rows)))
 
+    return task
+
+
+def nearest_broadcast(
+    index: DataFrame,
+    matrix: pa.Table,
+    queries: DataFrame,
+    k: int | None,
+    dim: int,
+    scope: list[str],
+    by: list[str],
+    keep: list[str],
+) -> DataFrame:
+    """One scan of the index with the whole (bounded) query matrix in each task."""
+    task = best_task(index.sparkSession, matrix, k, dim, scope, by, keep)
     found = _columns(index, scope, keep).mapInArrow(task, _out_schema(index, queries, scope, by, keep))
     return _top(found, k, scope, by)
 

@@ -18,9 +18,10 @@ from traceline.operators.hits import (
 )
 from traceline.operators.knn import nearest
 from traceline.operators.ranking import number_rows
-from traceline.operators.requirements import clean_requirements, section_vectors
+from traceline.operators.requirements import clean_requirements, first_rows, section_vectors
 from traceline.runtime import stored
 
+SECTION_BLOCK = 1024  # sections that travel together to a repository
 RESULT_COLUMNS = ["repo_id", "section_name", "first_row", "kind", "pos", "file_name", "score"]
 DEPTH = 3
 
@@ -33,15 +34,40 @@ def match_single(
     min_distance: float | None = MIN_DISTANCE,
     min_score: float | None = None,
     pairing: str = "aligned",
+    repos: DataFrame | None = None,
 ) -> DataFrame:
     """Every repository against every section with one model.
 
     ``files`` holds ``repo_id, pos, path, content``. All repositories and all
     sections are one job: the files are embedded and scored where they are
-    read, and only the best ``depth`` of each batch are shuffled.
+    read, and only the best ``depth`` of each batch are shuffled. A repository
+    of ``repos`` (by default those with files) and a section of the
+    requirements that have nothing to be matched by get rows without a file.
     """
-    sections = section_vectors(clean_requirements(requirements), model)
-    return match_sections(files, sections, model, depth, min_distance, min_score, pairing)
+    cleaned = clean_requirements(requirements)
+    results = match_sections(files, section_vectors(cleaned, model), model, depth, min_distance, min_score, pairing)
+    return complete_results(results, repos if repos is not None else files, first_rows(cleaned))
+
+
+def complete_results(results: DataFrame, repos: DataFrame, sections: DataFrame) -> DataFrame:
+    """Add a row without a file for every repository and section that have no row.
+
+    ``sections`` holds each ``section_name`` once, with its ``first_row``. The
+    sections travel in blocks, which a repository meets by their numbers and
+    without any file; the pairs are part of the result.
+    """
+    sections = stored(sections.select("section_name", "first_row"), "sections")
+    blocks = max(1, -(-sections.count() // SECTION_BLOCK))
+    packed = sections.groupBy(F.pmod(F.xxhash64("section_name"), F.lit(blocks)).alias("_block")).agg(
+        F.collect_list(F.struct("section_name", "first_row")).alias("_sections")
+    )
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    every = repos.select("repo_id").distinct().withColumn("_block", numbers).join(packed, "_block")
+    pairs = every.select("repo_id", F.explode("_sections").alias("_s")).select(
+        "repo_id", F.col("_s.section_name").alias("section_name"), F.col("_s.first_row").alias("_row")
+    )
+    met = pairs.join(results, ["repo_id", "section_name"], "full")
+    return met.withColumn("first_row", F.coalesce("first_row", "_row")).select(*RESULT_COLUMNS)
 
 
 def match_sections(
@@ -113,8 +139,12 @@ def match_dual(
     first: Model,
     second: Model,
     min_distance: float | None = MIN_DISTANCE,
+    repos: DataFrame | None = None,
 ) -> DataFrame:
-    """Complete rankings of two models, combined into common and single files."""
+    """Complete rankings of two models, combined into common and single files.
+
+    As in ``match_single`` every repository and section has a row.
+    """
     index = stored(
         embed_two_models(files.withColumnRenamed("pos", "idx"), "content", first, second).select(
             "repo_id", "idx", base_name(F.col("path")).alias("path"), "embedding_1", "embedding_2"
@@ -127,7 +157,8 @@ def match_dual(
         one = index.select("repo_id", "idx", "path", F.col(vector).alias("embedding"))
         return nearest(one, section_vectors(cleaned, model), None, model.dim, by=["section_name", "first_row"])
 
-    return dual_results(complete(first, "embedding_1"), complete(second, "embedding_2"), min_distance)
+    results = dual_results(complete(first, "embedding_1"), complete(second, "embedding_2"), min_distance)
+    return complete_results(results, repos if repos is not None else files, first_rows(cleaned))
 
 
 def dual_results(

@@ -12,12 +12,13 @@ BLOB = T.StructType(
 
 REPO_TREE = T.MapType(T.StringType(), BLOB)
 
-# ``part`` numbers the pieces of a repository too large for one object.
+# ``part`` numbers the pieces of a repository too large for one object; ``parts`` is how many there are.
 PAYLOAD = T.StructType(
     [
         T.StructField("id", T.StringType()),
         T.StructField("repository_tree", REPO_TREE),
         T.StructField("part", T.LongType()),
+        T.StructField("parts", T.LongType()),
     ]
 )
 

@@ -44,14 +44,16 @@ def encode_files(files: DataFrame) -> DataFrame:
 
 
 def payloads(tree: DataFrame, per_payload: int = FILES_PER_BLOCK) -> DataFrame:
-    """Encoded files as ``id, repository_tree, part`` of at most ``per_payload``."""
+    """Encoded files as ``id, repository_tree, part, parts`` of at most ``per_payload``."""
     part = F.floor(F.col("pos") / per_payload).alias("part")
+    counted = tree.groupBy(F.col("repo_id").alias("id")).agg(F.count_distinct(part).alias("parts"))
     blob = F.struct(F.lit("blob").alias("type"), F.lit("base64").alias("encode"), "content")
     entries = F.array_sort(F.collect_list(F.struct("pos", F.struct(F.col("path").alias("key"), blob.alias("value")).alias("e"))))
     return (
         tree.groupBy(F.col("repo_id").alias("id"), part)
         .agg(F.map_from_entries(F.transform(entries, lambda x: x["e"])).alias("repository_tree"))
-        .select("id", "repository_tree", "part")
+        .join(counted, "id")
+        .select("id", "repository_tree", "part", "parts")
     )
 
 
