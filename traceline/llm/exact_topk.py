@@ -192,7 +192,7 @@ def search_bucket(given: pa.Table, asks: pa.Table, k: int, steep: float = STEEP)
     # A score that a double cannot hold may have been rounded up.
     least = np.where(known, floor - np.where(np.abs(floor) >= 2**53, np.abs(floor) * _SLACK, 0), -np.inf)
     use = cosine <= 1 + _SLACK
-    steeply = use & (cosine >= steep)
+    steeply = use & (cosine >= steep) & (cosine > 0)
     found = []
     for method, bound, rows in ((by_length, need, np.flatnonzero(use & ~steeply)), (by_coordinate, cosine, np.flatnonzero(steeply))):
         if len(rows):
