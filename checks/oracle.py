@@ -310,6 +310,7 @@ ORACLE: dict[str, str] = {
       from ({_weights('files_a', 'repo_id, path', 64)}) w join files f using (repo_id, path)""",
     "knn_topk": _NEAR,
     "knn_topk_block": _NEAR,
+    "knn_topk_pivot": _NEAR,
     "knn_lsh": "select q, rk, idx, path, round(distance, 6) as distance from lsh_near",
     "knn_full_rank": "select section_name, rk::bigint as rk, idx, round(distance, 6) as distance from full_rank",
     "score": "select q, rk, idx, round(distance, 6) as distance, round(cos(distance), 6) as score from near",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from traceline.functions.codec import encode_blob
 from traceline.functions.text import base_name, is_source_file
-from traceline.operators import approximate, documents, embed, evaluate, hits, index, knn, nest, requirements
+from traceline.operators import approximate, documents, embed, evaluate, hits, index, knn, nest, pivots, requirements
 from traceline.operators.ranking import number_files
 from traceline.plans import evaluation, match, search
 from traceline.runtime import fresh_path, stored
@@ -234,6 +234,14 @@ def knn_topk_block(spark, sf):
     return found.select("q", "rk", "idx", "path", r6("distance"))
 
 
+@query
+def knn_topk_pivot(spark, sf):
+    path = fresh_path(spark, "pivots")
+    pivots.build_pivots(fx.vectors(spark, sf), 64, ["repo_id"], ["path"], count=16, ring_rows=64, path=path)
+    found = pivots.nearest_pivots(pivots.read_pivots(spark, path), fx.vector_queries(spark, sf), 4, 64, by=["q"])
+    return found.select("q", "rk", "idx", "path", r6("distance"))
+
+
 @query
 def knn_full_rank(spark, sf):
     found = knn.nearest(fx.vectors(spark, sf), fx.vector_sections(spark, sf), None, 64)

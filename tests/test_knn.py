@@ -17,6 +17,7 @@ from traceline.operators.approximate import (
     write_buckets,
 )
 from traceline.operators.knn import keep_best, nearest, nearest_blocked, rank_all
+from traceline.operators.pivots import build_pivots, nearest_pivots, read_pivots
 from traceline.runtime import fresh_path
 
 DIM = 8
@@ -66,6 +67,41 @@ def test_large_query_side_is_blocked_with_the_same_result(data, k):
     assert set(map(tuple, found.select("repo_id", "q", "rk", "idx").collect())) == brute(vectors, repos, range(0, 300, 10), k)
 
 
+@pytest.mark.parametrize("k", [1, 4, 250])
+@pytest.mark.parametrize("broadcast_bytes", [2**26, 8 * DIM * 7])
+def test_rings_give_the_exact_neighbours(data, k, broadcast_bytes):
+    """Copies, a zero and a missing vector, several repositories, and more queries than are sent at once."""
+    index, queries, vectors, repos = data
+    path = fresh_path(index.sparkSession, "pivots")
+    build_pivots(index, DIM, ["repo_id"], ["path"], count=6, ring_rows=9, path=path)
+    built = read_pivots(index.sparkSession, path)
+    found = nearest_pivots(built, queries, k, DIM, by=["q"], broadcast_bytes=broadcast_bytes)
+    assert set(map(tuple, found.select("repo_id", "q", "rk", "idx").collect())) == brute(vectors, repos, range(0, 300, 10), k)
+    assert nearest_pivots(build_pivots(index.limit(0), DIM, ["repo_id"], ["path"]), queries, k, DIM, by=["q"]).count() == 0
+
+
+def test_far_rings_are_skipped_and_the_index_is_not_moved(spark):
+    draw = np.random.default_rng(9)
+    centres = draw.normal(size=(12, 16))
+    rows = np.repeat(centres, 100, axis=0) + 0.05 * draw.normal(size=(1200, 16))
+    schema = "repo_id string, idx long, path string, embedding array<float>"
+    index = spark.createDataFrame([("r", i, "p", v) for i, v in enumerate(rows.tolist())], schema)
+    asks = spark.createDataFrame([(i, v) for i, v in enumerate((centres + 0.01).tolist())], "q int, embedding array<float>")
+    counts = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    built = build_pivots(index, 16, ["repo_id"], ["path"], count=12, ring_rows=25)
+    found = nearest_pivots(built, asks, 3, 16, by=["q"], rings=counts)
+    want = nearest(index, asks, 3, 16, by=["q"])
+    assert set(map(tuple, found.select("q", "rk", "idx").collect())) == set(map(tuple, want.select("q", "rk", "idx").collect()))
+    total, skipped = (c.value for c in counts)
+    assert skipped > 0.5 * total > 0
+    # Whatever the number of queries, what is moved are hits: the vectors are in no exchange.
+    for search in (lambda b: nearest(index, asks, 3, 16, by=["q"], broadcast_bytes=b), lambda b: nearest_pivots(built, asks, 3, 16, by=["q"], broadcast_bytes=b)):
+        for broadcast_bytes in (2**26, 8 * 16 * 5):
+            plan = search(broadcast_bytes)._jdf.queryExecution().optimizedPlan().toString()
+            moved = [line for line in plan.splitlines() if "Repartition" in line or "Join" in line]
+            assert not moved and "cos_sim" in plan.split("Window")[1]
+
+
 def test_blocks_cover_everything(data):
     index, queries, vectors, repos = data
     found = nearest_blocked(index, queries, 4, DIM, ["repo_id"], ["q"], ["path"], block_rows=16)

@@ -10,6 +10,7 @@ of summation; ties are then settled by ``idx``.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +64,7 @@ def _members(codes: np.ndarray, usable: np.ndarray) -> list[np.ndarray]:
     return np.split(rows, np.flatnonzero(np.diff(codes[rows])) + 1)
 
 
-def _best(sims: np.ndarray, idx: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+def best_of_scopes(sims: np.ndarray, idx: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
     """(query, column) of the best ``k`` columns of each row; all of them for None."""
     queries, width = sims.shape
     if k is None or width <= k:
@@ -98,7 +99,7 @@ def score_table(
         found = []
         for members in groups:
             sims = np.rint(chunk @ files[members].T * UNIT).astype(np.int64)
-            query, column = _best(sims, idx[members], k)
+            query, column = best_of_scopes(sims, idx[members], k)
             found.append((query, members[column], sims[query, column]))
         if not found:
             continue
@@ -142,7 +143,7 @@ def keep_best(parts: Iterable[pa.RecordBatch], k: int, key: list[str], pending:
         yield from still_best(pa.Table.from_batches(waiting), k, key).to_batches()
 
 
-def _out_schema(index: DataFrame, queries: DataFrame, scope: list[str], by: list[str], keep: list[str]) -> T.StructType:
+def out_schema(index: DataFrame, queries: DataFrame, scope: list[str], by: list[str], keep: list[str]) -> T.StructType:
     fields = [index.schema[c] for c in [*scope, "idx", *keep]] + [queries.schema[c] for c in by]
     return T.StructType([*fields, T.StructField("cos_sim", T.DoubleType())])
 
@@ -189,20 +190,33 @@ def best_task(
     return task
 
 
-def nearest_broadcast(
-    index: DataFrame,
-    matrix: pa.Table,
+def query_parts(
     queries: DataFrame,
     k: int | None,
     dim: int,
     scope: list[str],
     by: list[str],
-    keep: list[str],
+    search: Callable[[pa.Table], DataFrame],
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """One scan of the index with the whole (bounded) query matrix in each task."""
-    task = best_task(index.sparkSession, matrix, k, dim, scope, by, keep)
-    found = _columns(index, scope, keep).mapInArrow(task, _out_schema(index, queries, scope, by, keep))
-    return _top(found, k, scope, by)
+    """Best hits of all queries from ``search``, which takes a matrix of at most about ``broadcast_bytes``.
+
+    Queries that fit are fetched once, and at most one row more than fits to
+    find out. Others are dealt by a hash of their key to even parts; each is
+    one scan of the index, whose few hits are written before the next begins,
+    so that one part at a time is on the executors. The index is not moved.
+    """
+    limit = max(1, broadcast_bytes // (8 * dim))
+    asks = queries.where(F.col("embedding").isNotNull()).select(*by, "embedding")
+    fetched = asks.limit(limit + 1).toArrow()
+    if fetched.num_rows <= limit:
+        return _top(search(fetched), k, scope, by)
+    # Parts by a hash are a little uneven; a tenth is left for that.
+    parts = -(-asks.count() * 10 // (9 * limit)) + 1
+    part = F.pmod(F.xxhash64(*by), F.lit(parts)).alias("_part")
+    dealt = stored(asks.select(*by, "embedding", part).repartition("_part"), "queries")
+    found = [stored(search(dealt.where(F.col("_part") == i).drop("_part").toArrow()), "hits") for i in range(parts)]
+    return _top(reduce(DataFrame.unionByName, found), k, scope, by)
 
 
 def nearest_grouped(
@@ -227,7 +241,7 @@ def nearest_grouped(
         parts = list(score_table(left.combine_chunks(), rows[alive], names, k, scope, keep))
         return pa.Table.from_batches(parts) if parts else empty
 
-    schema = _out_schema(index, queries, scope, by, keep)
+    schema = out_schema(index, queries, scope, by, keep)
     empty = to_arrow_schema(schema).empty_table()
     return index.groupBy(*on).cogroup(queries.groupBy(*on)).applyInArrow(task, schema)
 
@@ -242,7 +256,7 @@ def nearest_blocked(
     keep: list[str],
     block_rows: int | None = None,
 ) -> DataFrame:
-    """Exact search when the queries are too many to broadcast.
+    """Exact search without a broadcast.
 
     Both sides are cut into even blocks by a hash of their identity, which no
     hot repository can unbalance, and every pair of blocks becomes one bounded
@@ -283,18 +297,18 @@ def nearest(
     ``cos_sim``, ``distance`` and the rank ``rk``. ``k=None`` returns every
     file for every query, without a rank (see ``rank_all``).
 
-    The query matrix is broadcast when it fits ``broadcast_bytes``; at most one
-    row more than fits is fetched to find out. Beyond it both sides are blocked.
+    The query matrix goes to every task in parts of ``broadcast_bytes`` (see
+    ``query_parts``); at any number of queries the index is scanned, not moved.
     """
     scope = ["repo_id"] if scope is None else scope
     by = ["section_name"] if by is None else by
     keep = ["path"] if keep is None else keep
-    limit = max(1, broadcast_bytes // (8 * dim))
-    asks = queries.where(F.col("embedding").isNotNull()).select(*by, "embedding")
-    fetched = asks.limit(limit + 1).toArrow()
-    if fetched.num_rows <= limit:
-        return nearest_broadcast(index, fetched, queries, k, dim, scope, by, keep)
-    return nearest_blocked(index, stored(asks, "queries"), k, dim, scope, by, keep)
+    schema = out_schema(index, queries, scope, by, keep)
+
+    def search(matrix: pa.Table) -> DataFrame:
+        return _columns(index, scope, keep).mapInArrow(best_task(index.sparkSession, matrix, k, dim, scope, by, keep), schema)
+
+    return query_parts(queries, k, dim, scope, by, search, broadcast_bytes)
 
 
 def rank_all(hits: DataFrame, scope: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
