@@ -4,9 +4,12 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from traceline.functions.text import base_name
 from traceline.operators.documents import chunks
-from traceline.operators.embed import HashModel
-from traceline.plans.match import match_dual, match_single
+from traceline.operators.embed import HashModel, embed_two_models
+from traceline.operators.knn import nearest, rank_all, score_both
+from traceline.operators.requirements import clean_requirements, section_vectors
+from traceline.plans.match import dual_results, match_dual, match_single
 from traceline.plans.search import document_context, search
 from traceline.sources.readers import decode_files, read_payload
 from traceline.streaming.jobs import match_stream, read_payload_stream, read_runs, run_states
@@ -58,6 +61,34 @@ def test_dual_model_lists_every_file_once(spark, requirements, tmp_path):
     assert {r.kind for r in found} == {"common_files"}
 
 
+def test_short_dual_lists_equal_cut_rankings(spark, requirements, rows, tmp_path):
+    """With a depth each model's list ends there; complete rankings cut at it give the same."""
+    write(tmp_path / "in", REPOS)
+    files = decode_files(read_payload(spark, str(tmp_path / "in")))
+    cleaned = clean_requirements(requirements)
+    index = embed_two_models(files.withColumnRenamed("pos", "idx"), "content", MODEL, OTHER)
+
+    def cut(model, vector):
+        one = index.select("repo_id", "idx", base_name(F.col("path")).alias("path"), F.col(vector).alias("embedding"))
+        every = nearest(one, section_vectors(cleaned, model), None, model.dim, by=["section_name", "first_row"])
+        return rank_all(every, by=["section_name"]).where("rk <= 1")
+
+    want = dual_results(cut(MODEL, "embedding_1"), cut(OTHER, "embedding_2"), None, 1)
+    columns = ["repo_id", "section_name", "kind", "pos", "file_name", F.round("score", 9)]
+    assert rows(match_dual(files, requirements, MODEL, OTHER, None, depth=1), *columns) == rows(want, *columns)
+
+
+def test_one_pass_scores_two_models(spark, rows):
+    """NULL query vectors, unequal dimensions and more queries than are sent at once."""
+    index = spark.createDataFrame([("a", "x", [1.0, 0.0], [1.0]), ("a", "y", [1.0, 1.0], [-1.0])], "repo_id string, path string, embedding_1 array<float>, embedding_2 array<float>")
+    asks = spark.createDataFrame([("p", [1.0, 0.0], [2.0]), ("q", None, [1.0]), ("r", [0.0, 3.0], None)], "s string, embedding_1 array<float>, embedding_2 array<float>")
+    half = round(0.5**0.5, 9)
+    want = [("p", "x", 1.0, 1.0), ("p", "y", half, -1.0), ("q", "x", None, 1.0), ("q", "y", None, -1.0), ("r", "x", 0.0, None), ("r", "y", half, None)]
+    for broadcast_bytes in (2**20, 24):
+        found = score_both(index, asks, (2, 1), ["repo_id"], ["s"], ["path"], broadcast_bytes)
+        assert rows(found, "s", "path", "cos_1", "cos_2") == want
+
+
 def test_stream_equals_batch_and_a_rerun_adds_nothing(spark, requirements, rows, tmp_path):
     inbox = tmp_path / "in"
     write(inbox, {**REPOS, "bad": {"x.php": "text"}}, broken=["bad"])

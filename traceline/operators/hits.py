@@ -123,13 +123,13 @@ def merge_complete(first: DataFrame, second: DataFrame, min_distance: float | No
             (none if one else d).alias("d2"),
         )
 
-    merged = (
-        side(first, True)
-        .unionByName(side(second, False))
-        .groupBy(*KEY, "first_row", "file_name")
-        .agg(
-            F.min("d1").alias("near1"), F.max("d1").alias("far1"), F.min("d2").alias("near2"), F.max("d2").alias("far2")
-        )
+    return merge_distances(side(first, True).unionByName(side(second, False)))
+
+
+def merge_distances(pairs: DataFrame) -> DataFrame:
+    """``merge_complete`` from rows that hold the distances in both models as far as they count, ``d1`` and ``d2``."""
+    merged = pairs.groupBy(*KEY, "first_row", "file_name").agg(
+        F.min("d1").alias("near1"), F.max("d1").alias("far1"), F.min("d2").alias("near2"), F.max("d2").alias("far2")
     )
     both = F.col("far1").isNotNull() & F.col("far2").isNotNull()
     return merged.select(

@@ -311,6 +311,57 @@ def nearest(
     return query_parts(queries, k, dim, scope, by, search, broadcast_bytes)
 
 
+def score_both(
+    index: DataFrame, queries: DataFrame, dims: tuple[int, int], scope: list[str], by: list[str], keep: list[str], broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Every file against every query with two models at once: ``scope, keep, by, cos_1, cos_2``.
+
+    ``index`` holds ``embedding_1`` and ``embedding_2``, and so does
+    ``queries``, where one of them may be NULL; its cosines are NULL then. One
+    pass gives one row per pair where two rankings give two. Queries beyond
+    ``broadcast_bytes`` are worked off in parts.
+    """
+    fields = [index.schema[c] for c in [*scope, *keep]] + [queries.schema[c] for c in by]
+    schema = T.StructType([*fields, T.StructField("cos_1", T.DoubleType()), T.StructField("cos_2", T.DoubleType())])
+    files = index.select(*scope, *keep, "embedding_1", "embedding_2")
+
+    def search(matrix: pa.Table) -> DataFrame:
+        vectors = [_filled(matrix.column(f"embedding_{i}"), dim) for i, dim in enumerate(dims, 1)]
+        shared = files.sparkSession.sparkContext.broadcast((vectors, matrix.select(by).combine_chunks()))
+
+        def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asks, names = shared.value
+            step = max(1, min(CELLS // max(1, names.num_rows), BLOCK_CELLS // max(dims)))
+            for batch in batches:
+                for start in range(0, batch.num_rows, step):
+                    piece = batch.slice(start, step)
+                    sims = [np.rint(q @ unit_matrix(piece.column(f"embedding_{i}"), dim).T * UNIT) / UNIT for i, (q, dim) in enumerate(zip(asks, dims), 1)]
+                    file = pa.array(np.tile(np.arange(piece.num_rows), names.num_rows))
+                    query = pa.array(np.repeat(np.arange(names.num_rows), piece.num_rows))
+                    columns = [piece.column(c).take(file) for c in [*scope, *keep]]
+                    columns += [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in names.take(query).columns]
+                    columns += [pa.array(s.ravel(), mask=np.isnan(s.ravel())) for s in sims]
+                    yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+        return files.mapInArrow(task, schema)
+
+    limit = max(1, broadcast_bytes // (8 * sum(dims)))
+    asks = stored(queries.select(*by, "embedding_1", "embedding_2"), "queries")
+    parts = max(1, -(-asks.count() * 10 // (9 * limit)))
+    part = F.pmod(F.xxhash64(*by), F.lit(parts))
+    return reduce(DataFrame.unionByName, [search(asks.where(part == i).toArrow()) for i in range(parts)])
+
+
+def _filled(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Unit vectors; NaN where the list is NULL."""
+    column = column.combine_chunks()
+    out = np.full((len(column), dim), np.nan)
+    there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    if len(there):
+        out[there] = unit_matrix(column.take(pa.array(there)), dim)
+    return out
+
+
 def rank_all(hits: DataFrame, scope: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """Add ``rk`` to complete rankings, whatever the size of a repository.
 

@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceline.functions.scoring import angular_distance
 from traceline.functions.text import base_name
 from traceline.operators.embed import Model, embed, embed_two_models, embedded_ok
 from traceline.operators.hits import (
     KEY,
     MIN_DISTANCE,
     merge_complete,
+    merge_distances,
     model_file_scores,
     passes,
     threshold_positional,
     with_score,
 )
-from traceline.operators.knn import nearest
+from traceline.operators.knn import nearest, score_both
 from traceline.operators.ranking import number_rows
 from traceline.operators.requirements import clean_requirements, first_rows, section_vectors
 from traceline.runtime import stored
@@ -140,24 +142,39 @@ def match_dual(
     second: Model,
     min_distance: float | None = MIN_DISTANCE,
     repos: DataFrame | None = None,
+    depth: int | None = None,
 ) -> DataFrame:
-    """Complete rankings of two models, combined into common and single files.
+    """Two models' rankings combined into common and single files.
 
-    As in ``match_single`` every repository and section has a row.
+    The rankings are complete, or end after ``depth`` files; then no more than
+    that many files per section leave a task. Both vectors of a file are made
+    and scored in one pass. As in ``match_single`` every repository and section
+    has a row.
     """
-    index = stored(
-        embed_two_models(files.withColumnRenamed("pos", "idx"), "content", first, second).select(
-            "repo_id", "idx", base_name(F.col("path")).alias("path"), "embedding_1", "embedding_2"
-        ),
-        "vectors",
+    embedded = embed_two_models(files.withColumnRenamed("pos", "idx"), "content", first, second).select(
+        "repo_id", "idx", base_name(F.col("path")).alias("path"), "embedding_1", "embedding_2"
     )
     cleaned = clean_requirements(requirements)
+    by = ["section_name", "first_row"]
+    one, two = section_vectors(cleaned, first), section_vectors(cleaned, second)
+    if depth is not None:
+        index = stored(embedded, "vectors")
+
+        def short(vectors: DataFrame, model: Model, vector: str) -> DataFrame:
+            side = index.select("repo_id", "idx", "path", F.col(vector).alias("embedding"))
+            return nearest(side, vectors, depth, model.dim, by=by)
 
-    def complete(model: Model, vector: str) -> DataFrame:
-        one = index.select("repo_id", "idx", "path", F.col(vector).alias("embedding"))
-        return nearest(one, section_vectors(cleaned, model), None, model.dim, by=["section_name", "first_row"])
+        results = dual_results(short(one, first, "embedding_1"), short(two, second, "embedding_2"), min_distance, depth)
+    else:
+        both = one.withColumnRenamed("embedding", "embedding_1").join(two.withColumnRenamed("embedding", "embedding_2"), by, "full")
+        scored = score_both(embedded, both, (first.dim, second.dim), ["repo_id"], by, ["path"])
 
-    results = dual_results(complete(first, "embedding_1"), complete(second, "embedding_2"), min_distance)
+        def counted(cosine: str) -> Column:
+            distance = angular_distance(F.col(cosine))
+            return F.when(distance > min_distance, distance) if min_distance is not None else distance
+
+        pairs = scored.select(*KEY, "first_row", F.col("path").alias("file_name"), counted("cos_1").alias("d1"), counted("cos_2").alias("d2"))
+        results = _listed(merge_distances(pairs))
     return complete_results(results, repos if repos is not None else files, first_rows(cleaned))
 
 
@@ -171,16 +188,22 @@ def dual_results(
     """
     section, key, order = [*KEY, "first_row"], [*KEY, "first_row", "kind"], ["src", "near", "file_name"]
     merged = merge_complete(first, second, min_distance)
-    if depth is not None:
-        by_section = Window.partitionBy(*section)
-        listed = (
-            merged.withColumn("_any", F.max("kept").over(by_section))
-            .withColumn("_n", F.row_number().over(by_section.orderBy(F.col("kept").desc(), "file_name")))
-            .where(F.col("kept") | (~F.col("_any") & (F.col("_n") == 1)))
-            .withColumn("pos", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long"))
-        )
-        values = [F.when(F.col("kept"), F.col(c)).alias(c) for c in ("kind", "pos", "file_name", "score")]
-        return listed.select(*section, *values).select(*RESULT_COLUMNS)
+    if depth is None:
+        return _listed(merged)
+    by_section = Window.partitionBy(*section)
+    listed = (
+        merged.withColumn("_any", F.max("kept").over(by_section))
+        .withColumn("_n", F.row_number().over(by_section.orderBy(F.col("kept").desc(), "file_name")))
+        .where(F.col("kept") | (~F.col("_any") & (F.col("_n") == 1)))
+        .withColumn("pos", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("long"))
+    )
+    values = [F.when(F.col("kept"), F.col(c)).alias(c) for c in ("kind", "pos", "file_name", "score")]
+    return listed.select(*section, *values).select(*RESULT_COLUMNS)
+
+
+def _listed(merged: DataFrame) -> DataFrame:
+    """Numbers for lists that may hold every file of a repository."""
+    section, key, order = [*KEY, "first_row"], [*KEY, "first_row", "kind"], ["src", "near", "file_name"]
     # Read three times below; scoring everything again would cost more.
     merged = stored(merged, "merged")
     listed = number_rows(merged.where("kept").drop("kept"), key, order, "pos")
