@@ -110,21 +110,21 @@ for m in ("a", "b"):
 CTES["lsh_far"] = """
 select idx, j, round(sum(x * s) / sqrt(64) / any_value(size), 9) as far
 from (select idx, unnest(v) as x, generate_subscripts(v, 1) - 1 as d, sqrt(list_sum(list_transform(v, lambda c: c * c))) as size from vec_a)
-join (select j, d, case when md5('42:' || j || ':' || d) >= '8' then 1 else -1 end as s from range(32) a(j), range(64) b(d)) using (d)
+join (select j, d, case when md5('42:' || j || ':' || d) >= '8' then 1 else -1 end as s from range(24) a(j), range(64) b(d)) using (d)
 group by idx, j
 """
 CTES["lsh_codes"] = """
-select idx, j // 4 as tab, sum(case when far >= 0 then 1 << (j % 4)::int else 0 end)::bigint as code from lsh_far group by idx, tab
+select idx, j // 6 as tab, sum(case when far >= 0 then 1 << (j % 6)::int else 0 end)::bigint as code from lsh_far group by idx, tab
 """
 CTES["lsh_probes"] = """
 select c.idx as q, c.tab, xor(c.code, bits) as code from (
   select idx, tab, m, sum(case when (m >> place) & 1 = 1 then 1 << bit else 0 end)::bigint as bits,
     round(sum(case when (m >> place) & 1 = 1 then far * far else 0 end), 9) as cost
-  from (select idx, j // 4 as tab, (j % 4)::int as bit, far,
-          (row_number() over (partition by idx, j // 4 order by abs(far), j) - 1)::bigint as place from lsh_far), range(16) t(m)
+  from (select idx, j // 6 as tab, (j % 6)::int as bit, far,
+          (row_number() over (partition by idx, j // 6 order by abs(far), j) - 1)::bigint as place from lsh_far), range(64) t(m)
   group by idx, tab, m) p
 join lsh_codes c using (idx, tab)
-qualify row_number() over (partition by c.idx, c.tab order by cost, m) <= 4
+qualify row_number() over (partition by c.idx, c.tab order by cost, m) <= 3
 """
 CTES["lsh_near"] = f"""
 select q.idx as q, f.idx, f.path, {_DISTANCE} as distance,

@@ -22,7 +22,7 @@ QUERIES: dict[str, Query] = {}
 
 A, B, PICKY = fx.MODEL_A, fx.MODEL_B, fx.MODEL_PICKY
 DEPTHS = (3, 20)
-LSH = approximate.ProbePlan(hashes=4, tables=8, probes=4)
+LSH = approximate.ProbePlan(hashes=6, tables=4, probes=3)
 
 
 def query(make: Query) -> Query:
@@ -252,8 +252,7 @@ def knn_full_rank(spark, sf):
 def knn_lsh(spark, sf):
     """A given plan, which SQL can repeat, through a written index."""
     path = fresh_path(spark, "buckets")
-    built = approximate.build_buckets(fx.vectors(spark, sf), 64, LSH, ["repo_id"], ["path"])
-    approximate.write_buckets(built, path)
+    approximate.build_buckets(fx.vectors(spark, sf), 64, LSH, ["repo_id"], ["path"], path=path)
     found = approximate.search_buckets(
         approximate.read_buckets(spark, path), fx.vector_queries(spark, sf), 4, ["repo_id"], ["q"], ["path"]
     )

@@ -14,7 +14,6 @@ from traceline.operators.approximate import (
     read_buckets,
     search_buckets,
     solve_plan,
-    write_buckets,
 )
 from traceline.operators.knn import keep_best, nearest, nearest_blocked, rank_all
 from traceline.operators.pivots import build_pivots, nearest_pivots, read_pivots
@@ -180,7 +179,7 @@ def test_approximate_search_scores_the_probed_buckets_exactly(data, scope):
     index = index.select("repo_id", "idx", "path", "embedding").unionByName(copies.select("repo_id", "idx", "path", "embedding"))
     plan = ProbePlan(3, 2, 3, seed=5)
     path = fresh_path(spark, "buckets")
-    write_buckets(build_buckets(index, DIM, plan, scope, ["path"] + (["repo_id"] if not scope else []), 16), path)
+    build_buckets(index, DIM, plan, scope, ["path"] + (["repo_id"] if not scope else []), 16, path)
     again = read_buckets(spark, path)
     assert again.plan == plan
     found = search_buckets(again, queries, 4, scope, ["q"], ["path"], 8)

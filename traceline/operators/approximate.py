@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from traceline.functions.scoring import angular_distance
-from traceline.operators.knn import BLOCK_CELLS, UNIT, nearest, still_best, unit_matrix
+from traceline.operators.knn import BLOCK_CELLS, CELLS, UNIT, nearest, still_best, unit_matrix
 from traceline.operators.ranking import number_rows
 from traceline.runtime import stored
 
@@ -40,6 +40,7 @@ RECALL = 0.9
 SAMPLE = 256  # queries whose exact neighbours are found to choose a plan
 SAMPLE_PAIRS = 20_000  # neighbours of the sample that are looked at
 MOST_SHARE = 0.5  # share of the index from which looking at all of it is as good
+DENSE = 16  # one pair in so many is enough to multiply all of a block
 BLOCK_ROWS = 4096  # files of a block, and queries of a group
 _DECIMALS = 9  # distances to lines are compared as multiples of 1e-9
 
@@ -184,9 +185,25 @@ def choose_plan(
     return solve_plan(np.array(found, dtype=np.int64).reshape(len(found), max_tables), hashes, recall, most_share, seed)
 
 
-def build_buckets(index: DataFrame, dim: int, plan: ProbePlan, scope: list[str], keep: list[str], block_rows: int = BLOCK_ROWS) -> BucketIndex:
+def _written(df: DataFrame, path: str | None, name: str) -> DataFrame:
+    if path is None:
+        return stored(df, name)
+    df.write.parquet(f"{path}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+
+
+def build_buckets(
+    index: DataFrame,
+    dim: int,
+    plan: ProbePlan,
+    scope: list[str],
+    keep: list[str],
+    block_rows: int = BLOCK_ROWS,
+    path: str | None = None,
+) -> BucketIndex:
     """Write the files in blocks, those of a bucket of the first table together, and the bucket table.
 
+    With a ``path`` they are kept there together with the plan, for ``read_buckets``.
     A bucket that holds any share of the files, as copies do, is spread over
     blocks and over rows of the bucket table.
     """
@@ -204,13 +221,14 @@ def build_buckets(index: DataFrame, dim: int, plan: ProbePlan, scope: list[str],
     schema = T.StructType([*files.schema, T.StructField("_code", T.LongType())])
     coded = stored(files.mapInArrow(first_code, schema), "coded")
     seated = number_rows(coded, [], ["_code", *scope, "idx"], "_seat", start=0)
-    laid = stored(
+    laid = _written(
         seated.select(
             *files.columns,
             F.floor(F.col("_seat") / block_rows).alias("block"),
             (F.col("_seat") % block_rows).cast("int").alias("place"),
         ),
-        "blocks",
+        path,
+        "files",
     )
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,18 +247,13 @@ def build_buckets(index: DataFrame, dim: int, plan: ProbePlan, scope: list[str],
 
     hashed = laid.select("embedding", "block", "place").mapInArrow(codes, "table int, code long, block long, place int")
     # A block bounds what comes together in one row.
-    buckets = stored(hashed.groupBy("table", "code", "block").agg(F.collect_list("place").alias("places")), "buckets")
+    buckets = _written(hashed.groupBy("table", "code", "block").agg(F.collect_list("place").alias("places")), path, "buckets")
+    if path is not None:
+        rows = [(*asdict(plan).values(), dim)]
+        index.sparkSession.createDataFrame(rows, _PLAN).coalesce(1).write.parquet(f"{path}/plan")
     return BucketIndex(laid, buckets, plan, dim)
 
 
-def write_buckets(found: BucketIndex, path: str) -> None:
-    """The index under ``path``: files, bucket table and plan."""
-    found.files.write.parquet(f"{path}/files")
-    found.buckets.write.parquet(f"{path}/buckets")
-    plan = [tuple(asdict(found.plan).values()) + (found.dim,)]
-    found.files.sparkSession.createDataFrame(plan, _PLAN).coalesce(1).write.parquet(f"{path}/plan")
-
-
 _PLAN = "hashes int, tables int, probes int, seed long, recall double, exact boolean, dim int"
 
 
@@ -249,6 +262,26 @@ def read_buckets(spark: SparkSession, path: str) -> BucketIndex:
     return BucketIndex(spark.read.parquet(f"{path}/files"), spark.read.parquet(f"{path}/buckets"), ProbePlan(*plan), dim)
 
 
+def _products(left: np.ndarray, right: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs ``row * len(right) + column`` in rising ``cells``.
+
+    Many pairs are taken from whole products, which cost less than as many
+    pairs of gathered rows.
+    """
+    out = np.empty(len(cells))
+    if len(cells) * DENSE > len(left) * len(right):
+        step = max(1, CELLS // len(right))
+        for a in range(0, len(left), step):
+            first, last = np.searchsorted(cells, [a * len(right), (a + step) * len(right)])
+            out[first:last] = (left[a : a + step] @ right.T).ravel()[cells[first:last] - a * len(right)]
+        return out
+    step = max(1, BLOCK_CELLS // max(1, left.shape[1]))
+    for i in range(0, len(cells), step):
+        row, column = cells[i : i + step] // len(right), cells[i : i + step] % len(right)
+        out[i : i + step] = np.einsum("ij,ij->i", left[row], right[column])
+    return out
+
+
 def search_buckets(
     index: BucketIndex, queries: DataFrame, k: int, scope: list[str], by: list[str], keep: list[str], block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
@@ -306,9 +339,7 @@ def search_buckets(
         # A file may be in a probed bucket of several tables.
         cells = np.unique(query * given.num_rows + seat[places.flatten().to_numpy(zero_copy_only=False)])
         query, file = cells // given.num_rows, cells % given.num_rows
-        step = max(1, BLOCK_CELLS // dim)
-        sims = [np.einsum("ij,ij->i", asking[query[i : i + step]], vectors[file[i : i + step]]) for i in range(0, len(cells), step)]
-        sims = np.rint(np.concatenate([*sims, np.zeros(0)]) * UNIT) / UNIT
+        sims = np.rint(_products(asking, vectors, cells) * UNIT) / UNIT
         rows = given.column("_row").combine_chunks()
         marks = [rows.field(i).take(pa.array(file)) for i in range(n_scope)]
         scored = pa.table(
