@@ -1,5 +1,9 @@
+import os
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Row
@@ -99,6 +103,34 @@ def test_toxicity_learns_and_holds_out(taught):
     assert held and all(r.predicted == int(r.doc_id >= 120) for r in held)
 
 
+def test_counting_and_scoring_cut_texts_alike(spark):
+    text = "Don't well-known 2024 x1y Über\u00a0all"
+    assert toxicity.words_of(text) == ["dont", "wellknown", "", "xy", "über", "all"]
+    counts = toxicity.count_ngrams(spark.createDataFrame([(text, 1, False)], "text string, toxic int, late boolean")).toArrow()
+    model = toxicity.estimate(counts)
+    # Every word was counted, so each is likelier under the toxic class than one that was not.
+    known, other = model.words([w for w in toxicity.words_of(text) if w]), model.words(["qqqq"])
+    assert min(known) > other[0]
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """Python workers that cannot import the package score all the same."""
+    program = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[2])!r})
+from checks.compare import session
+from traceline.llm import toxicity
+spark = session("2")
+docs = spark.createDataFrame([(i, "bad evil words" if i % 3 else "calm plain talk") for i in range(40)], "doc_id long, text string")
+labels = docs.selectExpr("doc_id", "cast(doc_id % 3 > 0 as int) as toxic")
+print("scored", toxicity.score_documents(docs, toxicity.train(docs, labels)).where("score is not null").count())
+"""
+    (tmp_path / "run.py").write_text(program)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "run.py"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "scored 40" in run.stdout, run.stderr[-2000:]
+
+
 def test_toxicity_of_odd_rows(taught, odd):
     docs, labels = taught
     model = toxicity.train(docs, labels)

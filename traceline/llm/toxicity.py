@@ -44,6 +44,18 @@ _COUNTS = ["toxic", "ordinary", "late_toxic", "late_ordinary"]
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+def words_of(text: str) -> list[str]:
+    """The letters of each blank-separated piece of a text; a piece without letters is an empty word.
+
+    Counting and scoring both cut texts by this.
+    """
+    return [word_of(piece) for piece in text.lower().split()]
+
+
+def word_of(piece: str) -> str:
+    return "".join(_LETTERS.findall(piece))
+
+
 def _slots(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Slots of the n-grams that end at each letter, per order, and the words' bounds.
 
@@ -80,8 +92,9 @@ def count_ngrams(labelled: DataFrame) -> DataFrame:
         for part in slices(batches):
             for text, toxic, late in zip(strings(part.column(0)), part.column(1).to_pylist(), part.column(2).to_pylist()):
                 column = (0 if toxic else 1) + 2 * late
-                for word, n in Counter(_LETTERS.findall(text.lower())).items():
-                    found.setdefault(word, [0, 0, 0, 0])[column] += n
+                for word, n in Counter(words_of(text)).items():
+                    if word:
+                        found.setdefault(word, [0, 0, 0, 0])[column] += n
             if len(found) > 300_000:
                 yield from _counted(found)
                 found = {}
@@ -192,10 +205,11 @@ def features(gains: list[float]) -> tuple[float, float, float, float]:
 
 def _features(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``FEATURES``; one narrow pass."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Arrays only: a broadcast is unpickled without the code that travels with a task.
+    shared, curve = docs.sparkSession.sparkContext.broadcast((model.shares, model.passed)), model.curve
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(lambda pieces: shared.value.words(["".join(_LETTERS.findall(p)) for p in pieces]))
+        memo = Memo(lambda pieces: Model(*shared.value, curve).words([word_of(p) for p in pieces]))
         for part in slices(batches):
             words = [text.lower().split() for text in strings(part.column(0))]
             found = np.array([features(gains) for gains in memo.of(words)]).reshape(-1, len(FEATURES))
