@@ -274,11 +274,14 @@ _ENCODED = f"select repo_id, idx, path, to_base64(encode(content)) as content fr
 
 ORACLE: dict[str, str] = {
     "src_repo_tree": _ENCODED,
+    "src_repo_tree_ranges": _ENCODED,
     "src_payload": _ENCODED,
     "src_files": "select repo_id, path, content from files",
     "src_requirements": "select row_number() over (order by row_idx) - 1 as row_idx, section_name, req_description from reqs",
     "src_directory": """select repo_id as folder, sum(length(content) + 1)::bigint as n_chars,
-      sum(length(content) - length(replace(content, chr(10), '')) + 1)::bigint as n_lines from files group by repo_id""",
+      sum(length(content) - length(replace(content, chr(10), '')) + 1)::bigint as n_lines,
+      sum(list_sum(list_transform(list_filter(string_split(content, chr(10)), lambda x: x <> ''), lambda x: ('0x' || substr(md5(x), 1, 8))::bigint)))::bigint as digest
+      from files group by repo_id""",
     "src_results": "select model, section_name, kind, pos, file_name, round(score, 6) as score from written",
     "src_metrics": _METRICS,
     "file_contents": """select s.query_id, s.rk, s.path, length(coalesce(d.content, '')) as n_chars, md5(coalesce(d.content, '')) as digest
@@ -301,6 +304,8 @@ ORACLE: dict[str, str] = {
     "failed_files": """select repo_id, 'hash_picky' as model, path,
       case when contains(content, '@') then 'refused text' else 'no words' end as error
       from files where (repo_id, path) not in (select (repo_id, path) from files_picky)""",
+    "run_totals": """select count(*) as files_found, count(s.path) as files_indexed, count(*) - count(s.path) as files_failed
+      from files f left join files_picky s using (repo_id, path)""",
     "run_counts": """select f.repo_id, 'hash_picky' as model, count(*) as files_found, count(s.path) as files_indexed,
       count(*) - count(s.path) as files_failed from files f left join files_picky s using (repo_id, path) group by f.repo_id""",
     "index_roundtrip": f"select *, 'hash_picky' as model, 64 as dim from ({_weights(_ranked('files_picky'), 'repo_id, idx, path', 64)})",
@@ -332,9 +337,11 @@ ORACLE: dict[str, str] = {
     "match_dual": f"select {_RESULT} from dual",
     "section_result": "select repo_id, section_name, 0 as n_only, pos, file_name, round(score, 6) as score from single",
     "result_json_roundtrip": f"select 3 as depth, {_RESULT} from single",
-    "combined_payload": """select repo_id, n_sections, n_pairs, n_files, n_bytes from
-      (select repo_id, count(distinct section_name) as n_sections, count(file_name) as n_pairs from single group by repo_id)
-      full join (select repo_id, count(*) as n_files, sum(strlen(content))::bigint as n_bytes from files group by repo_id) using (repo_id)""",
+    "combined_payload": """select repo_id, n_sections, n_pairs, n_files, n_bytes, files_digest, pairs_digest from
+      (select repo_id, count(distinct section_name) as n_sections, count(file_name) as n_pairs,
+         sum(coalesce(('0x' || substr(md5(section_name || file_name), 1, 8))::bigint, 0))::bigint as pairs_digest from single group by repo_id)
+      full join (select repo_id, count(*) as n_files, sum(strlen(content))::bigint as n_bytes,
+         sum(('0x' || substr(md5(path || content), 1, 8))::bigint)::bigint as files_digest from files group by repo_id) using (repo_id)""",
     "prompt_table": f"""select query_id, rk, path, case when trim(content, ' ' || chr(9) || chr(10) || chr(13)) = '' then {_literal(EMPTY_FILE_MESSAGE)}
       else {_filled(TASK_PROMPT, path='path', query='query', content='content')} end as prompt
       from search join query_texts using (query_id) join files using (repo_id, path)""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
@@ -39,6 +39,15 @@ def weights(df: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
     return exploded.select(*keys, "bucket", F.round(F.col("weight").cast("double"), 6).alias("weight"))
 
 
+def digest(text: F.Column) -> F.Column:
+    """A number of 32 bits that sums well."""
+    return F.conv(F.substr(F.md5(text), F.lit(1), F.lit(8)), 16, 10).cast("long")
+
+
+def _sum_of(values: F.Column, number) -> F.Column:
+    return F.aggregate(F.transform(values, number), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 # Sources
 
 
@@ -49,6 +58,15 @@ def src_repo_tree(spark, sf):
     return number_files(readers.read_repo_tree(spark, path)).select("repo_id", "idx", "path", "content")
 
 
+@query
+def src_repo_tree_ranges(spark, sf):
+    """The same objects in ranges of 16 KiB, most of which begin inside an entry."""
+    path = fresh_path(spark, "tree")
+    writers.write_repo_tree(fx.files(spark, sf), path)
+    rows = stored(readers.read_repo_tree(spark, path, range_bytes=16_384), "entries")
+    return number_files(rows).select("repo_id", "idx", "path", "content")
+
+
 @query
 def src_payload(spark, sf):
     path = fresh_path(spark, "payload")
@@ -75,8 +93,11 @@ def src_directory(spark, sf):
     fx.files(spark, sf).select("repo_id", F.col("content").alias("value")).write.partitionBy("repo_id").text(path)
     texts = readers.read_directory(spark, path, recursive=True)
     folder = F.regexp_extract("path", "^repo_id=([^/]*)/", 1)
+    lines = F.filter(F.split("content", "\n"), lambda x: x != "")
     return texts.groupBy(folder.alias("folder")).agg(
-        F.sum(F.length("content")).alias("n_chars"), F.sum(F.regexp_count(F.col("content"), F.lit("\n"))).alias("n_lines")
+        F.sum(F.length("content")).alias("n_chars"),
+        F.sum(F.regexp_count(F.col("content"), F.lit("\n"))).alias("n_lines"),
+        F.sum(_sum_of(lines, digest)).alias("digest"),
     )
 
 
@@ -186,6 +207,15 @@ def run_counts(spark, sf):
     return embed.run_counts(_embedded(spark, sf, PICKY))
 
 
+@query
+def run_totals(spark, sf):
+    """Counts that the embedding pass itself gives."""
+    counts = Observation("run")
+    index.write_index(index.build_index(fx.files(spark, sf), PICKY, counts), fresh_path(spark, "index"))
+    found = counts.get
+    return spark.createDataFrame([tuple(found[c] for c in RUN_COLUMNS)], ", ".join(f"{c} long" for c in RUN_COLUMNS))
+
+
 @query
 def index_roundtrip(spark, sf):
     return weights(_written_index(spark, sf), "repo_id", "model", "idx", "path", "dim")
@@ -356,11 +386,20 @@ def combined_payload(spark, sf):
     def total(values):
         return F.sum(F.aggregate(values, F.lit(0), lambda a, x: a + x))
 
+    contents = F.map_entries("p.repo_files")
+    named = _sum_of(contents, lambda f: digest(F.concat(f["key"], F.unbase64(f["value"]["content"]).cast("string"))))
+    pairs = _sum_of(
+        F.flatten(F.transform(F.map_entries("p.rag_output"), lambda s: F.transform(s["value"]["common_files"], lambda f: F.concat(s["key"], f[0])))),
+        digest,
+    )
+
     return parsed.groupBy("repo_id").agg(
         F.sum(F.size("p.rag_output")).alias("n_sections"),
         total(lists).alias("n_pairs"),
         F.sum(F.size("p.repo_files")).alias("n_files"),
         total(sizes).alias("n_bytes"),
+        F.sum(named).alias("files_digest"),
+        F.sum(pairs).alias("pairs_digest"),
     )
 
 
@@ -453,6 +492,7 @@ def stream_runs(spark, sf):
 
 # Parts shared by the queries
 
+RUN_COLUMNS = ["files_found", "files_indexed", "files_failed"]
 METRIC_NAMES = ["precision", "recall", "f1_score", "specificity", "balanced_accuracy"]
 RESULT = ["repo_id", "section_name", "kind", "pos", "file_name"]
 

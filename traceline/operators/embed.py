@@ -151,13 +151,17 @@ def failed_files(embedded: DataFrame) -> DataFrame:
     return embedded.where(F.col("embedding").isNull()).select("repo_id", "model", "path", "error")
 
 
-def run_counts(embedded: DataFrame) -> DataFrame:
-    """Files found, indexed and failed per repository and model."""
-    return embedded.groupBy("repo_id", "model").agg(
+def count_columns() -> list[Column]:
+    return [
         F.count("*").alias("files_found"),
         F.count("embedding").alias("files_indexed"),
         F.count_if(F.col("embedding").isNull()).alias("files_failed"),
-    )
+    ]
+
+
+def run_counts(embedded: DataFrame) -> DataFrame:
+    """Files found, indexed and failed per repository and model."""
+    return embedded.groupBy("repo_id", "model").agg(*count_columns())
 
 
 def embed_two_models(files: DataFrame, text: str, first: Model, second: Model) -> DataFrame:

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from traceline.operators.embed import Model, embed, embedded_ok
+from traceline.operators.embed import Model, count_columns, embed, embedded_ok
 from traceline.operators.ranking import number_files
 from traceline.runtime import stored
 
 INDEX_COLUMNS = ["repo_id", "model", "idx", "path", "embedding", "dim"]
 
 
-def build_index(files: DataFrame, model: Model) -> DataFrame:
+def build_index(files: DataFrame, model: Model, counts: Observation | None = None) -> DataFrame:
     """Embed files and number those that worked, densely from 0 in input order.
 
+    ``counts`` is told ``files_found``, ``files_indexed`` and ``files_failed``
+    by the pass that embeds.
+
     The vectors are written before they are numbered, because sorting by range
     reads its input twice and embedding is the costly part.
     """
-    vectors = embedded_ok(embed(files, "content", model)).select("repo_id", "model", "pos", "path", "embedding", "dim")
+    embedded = embed(files, "content", model)
+    if counts is not None:
+        embedded = embedded.observe(counts, *count_columns())
+    vectors = embedded_ok(embedded).select("repo_id", "model", "pos", "path", "embedding", "dim")
     return number_files(stored(vectors, "vectors")).select(*INDEX_COLUMNS)
 
 

@@ -19,5 +19,6 @@ def accuracy_by_model(spark: SparkSession, path: str | list[str], suffix: str =
     return retrieve_accuracy(eval_retrieved(read_results(spark, path, layout), suffix), ["model"])
 
 
-def confusion_report(retrieved: DataFrame, relevant: DataFrame, universe: DataFrame) -> DataFrame:
-    return with_metrics(confusion_counts(retrieved, relevant, universe))
+def confusion_report(retrieved: DataFrame, relevant: DataFrame, universe: DataFrame, sections: DataFrame | None = None) -> DataFrame:
+    """Counts and metrics per section; ``sections`` names those that are in the report whatever was found."""
+    return with_metrics(confusion_counts(retrieved, relevant, universe, sections=sections))

@@ -13,9 +13,11 @@ from traceline import schemas
 from traceline.functions.codec import with_decoded
 from traceline.functions.text import is_source_file
 from traceline.operators.ranking import number_rows
+from traceline.sources.json_object import read_json_entries
 
 # Positions of one piece of a repository stay below this.
 _PIECE = 2**31
+_FILE_BYTES = 2**44  # bytes of one file stay below this
 
 
 def _unescaped(text: Column) -> Column:
@@ -55,12 +57,16 @@ def _entries(df: DataFrame, map_column: str, *ids: str) -> DataFrame:
     return df.select(*ids, F.posexplode(entries).alias("pos", "_entry")).select(*ids, "pos", "_entry.key", "_entry.value")
 
 
-def read_repo_tree(spark: SparkSession, path: str, repo_id: str | None = None) -> DataFrame:
+def read_repo_tree(spark: SparkSession, path: str, repo_id: str | None = None, range_bytes: int | None = None) -> DataFrame:
     """Files holding one JSON object each, name to blob.
 
     Without ``repo_id`` the repository is the ``repo_id=`` folder of the file,
-    and a ``part=`` folder places the pieces of a large one.
+    and a ``part=`` folder places the pieces of a large one. A file is one row
+    to a task, unless ``range_bytes`` has it read in ranges of that size, which
+    objects beyond 2 GB need; ``pos`` is then the place in the file in bytes.
     """
+    if range_bytes is not None:
+        return _tree_ranges(spark, path, repo_id, range_bytes)
     text = _with_path(spark.read.text(path, wholetext=True))
     folder = _unescaped(F.regexp_extract("file_path", "/repo_id=([^/]*)/", 1))
     part = F.coalesce(F.try_to_number(F.regexp_extract("file_path", "/part=([0-9]+)/", 1), F.lit("9999999999")), F.lit(0))
@@ -72,6 +78,17 @@ def read_repo_tree(spark: SparkSession, path: str, repo_id: str | None = None) -
     return _tree_rows(parsed)
 
 
+def _tree_ranges(spark: SparkSession, path: str, repo_id: str | None, range_bytes: int) -> DataFrame:
+    file = _unescaped(F.col("file"))
+    folder = F.regexp_extract(file, "/repo_id=([^/]*)/", 1) if repo_id is None else F.lit(repo_id)
+    part = F.coalesce(F.try_to_number(F.regexp_extract(file, "/part=([0-9]+)/", 1), F.lit("9999999999")), F.lit(0)).cast("long")
+    entries = read_json_entries(spark, path, range_bytes)
+    # A repeated name keeps its first place and its last value.
+    last = entries.groupBy("file", "key").agg(F.min("at").alias("at"), F.max_by("value", "at").alias("value"))
+    blob = F.from_json("value", schemas.BLOB)
+    return last.select(folder.alias("repo_id"), (part * _FILE_BYTES + F.col("at")).alias("pos"), F.col("key").alias("path"), blob["content"].alias("content"))
+
+
 def _tree_rows(parsed: DataFrame) -> DataFrame:
     return _entries(parsed, "tree", "repo_id", "part").select(
         "repo_id", (F.col("part") * _PIECE + F.col("pos")).alias("pos"), F.col("key").alias("path"), "value.content"
@@ -113,11 +130,8 @@ def decode_files(tree: DataFrame, on_error: str = "fail", spread: bool = False)
     return decoded.withColumn("_text", checked).select(*columns)
 
 
-def read_requirements(spark: SparkSession, path: str, dense: bool = True) -> DataFrame:
-    """Requirements CSV with quoted fields, numbered 0, 1, 2 ... in file order.
-
-    Without ``dense`` the ``row_idx`` only rises, which saves a sort.
-    """
+def read_requirements(spark: SparkSession, path: str) -> DataFrame:
+    """Requirements CSV with quoted fields, numbered 0, 1, 2 ... in file order."""
     rows = (
         spark.read.option("header", True)
         .option("quote", '"')
@@ -125,11 +139,9 @@ def read_requirements(spark: SparkSession, path: str, dense: bool = True) -> Dat
         .option("multiLine", True)
         .csv(path)
         .select("section_name", "req_description", "_metadata.file_path")
-        .withColumn("row_idx", F.monotonically_increasing_id())
+        .withColumn("_at", F.monotonically_increasing_id())
     )
-    if dense:
-        rows = number_rows(rows.withColumnRenamed("row_idx", "_at"), [], ["file_path", "_at"], "row_idx", start=0)
-    return rows.select("row_idx", "section_name", "req_description")
+    return number_rows(rows, [], ["file_path", "_at"], "row_idx", start=0).select("row_idx", "section_name", "req_description")
 
 
 def read_directory(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
