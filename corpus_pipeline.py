@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from traceline.llm import near_copies, packing, quality_rules, suffix_dedup, toxicity
+from traceline.llm import packing, quality_rules, simhash_dedup, suffix_dedup, toxicity
 from traceline.runtime import stored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -32,8 +32,8 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near copies."""
-    return near_copies.keep_one(docs)
+    """One document, the one with the smallest id, of each group that three-word fingerprints within 3 bits link."""
+    return simhash_dedup.keep_one(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("quality rules", drop_poor),
-    ("near-dedup", drop_near_copies),
+    ("SimHash near-dedup", drop_near_copies),
     ("suffix-array dedup", drop_repeats),
     ("packing", pack),
 ]
