@@ -3,11 +3,14 @@ import random
 import re
 
 import numpy as np
+import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from traceline.llm import components, fingerprints, html_extract, induced_sort, near_copies, simhash_dedup, suffix_dedup
+from traceline.llm import components, fingerprints, html_extract, induced_sort, quality_rules, simhash_dedup, suffix_dedup, toxicity
+from traceline.runtime import stored
 
 
 def brute_removal(rows, length=50):
@@ -202,52 +205,60 @@ def brute_shingles(text):
     return frozenset(" ".join(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([" ".join(words)] if words else [])
 
 
-def test_near_dedup_stage_finds_every_edited_copy(odd, frame):
-    draw = random.Random(7)
-    words = [f"w{i}" for i in range(3000)]
-    rows = []
-    for base in range(12):
-        text = [draw.choice(words) for _ in range(draw.choice([30, 100, 230]))]
-        for _ in range(6):
-            copy = list(text)
-            # Each edited word changes up to five shingles, so similarities lie on both sides of 0.8.
-            for _ in range(draw.randrange(1, 2 + len(text) // 40)):
-                copy[draw.randrange(len(text))] = draw.choice(words)
-            rows.append((100 + len(rows), " ".join(copy)))
-    hot = [draw.choice(words) for _ in range(100)]
-    rows += [(500 + i, " ".join([*hot[: 85 + i // 2], *[f"own{i}x{j}" for j in range(15 - i // 2)]])) for i in range(30)]
-    docs = odd.unionAll(frame(rows)).repartition(3)
-    texts = [(r.doc_id, brute_shingles(r.text)) for r in docs.collect()]
-    root = list(range(len(texts)))
-    links = 0
-    for i in range(len(texts)):
-        for j in range(i):
-            one, two = texts[i][1], texts[j][1]
-            if one == two or 5 * len(one & two) >= 4 * len(one | two):
-                links += one != two
-                low, high = sorted((root[i], root[j]))
-                root = [low if r == high else r for r in root]
-    least = {}
-    for (key, _), r in zip(texts, root):
-        least[r] = min((k for k in (least.get(r), key) if k is not None), default=None)
-    want = sorted(((key, least[r]) for (key, _), r in zip(texts, root)), key=repr)
-    assert links > 50
-    got = near_copies.near_components(docs)
-    assert sorted(((r.doc_id, r.component_id) for r in got.collect()), key=repr) == want
-    kept = near_copies.keep_one(docs)
+def test_near_dedup_stage_keeps_the_least_of_each_group(spark, odd):
+    """The pipeline's stage is the operator with its contract; columns of any name stay."""
+    rows = odd.collect()
+    more = [(20 + i, "word " * 40 + f"tail{i} of the text") for i in range(6)] + [(40, "something else entirely " * 9)]
+    table = [(r.doc_id, r.text, "k", 1, "m") for r in rows] + [(i, t, "k", 1, "m") for i, t in more]
+    docs = spark.createDataFrame(table, "doc_id long, text string, _key string, key int, fp string")
+    found = simhash_dedup.near_components(docs).collect()
+    want = sorted((r.doc_id for r in found if r.doc_id == r.component_id), key=repr)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
     assert kept.columns == docs.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted((k for k, c in want if k == c), key=repr)
-    assert near_copies.keep_one(docs.limit(0)).count() == 0
-
-
-def test_pipeline_drops_copies_at_the_similarity_of_the_task(spark, frame):
-    draw = random.Random(3)
-    text = [f"t{draw.randrange(5000)}" for _ in range(230)]
-    rows = [(1, " ".join(text))]
-    for i, edits in enumerate((1, 2, 3, 4)):
-        copy = list(text)
-        for e in range(edits):
-            copy[20 + 50 * e] = f"edit{i}{e}"
-        rows.append((2 + i, " ".join(copy)))
-    kept = corpus_pipeline.drop_near_copies(spark, frame(rows), "")
-    assert [r.doc_id for r in kept.collect()] == [1]
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == want
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), "").count() == 0
+
+
+def test_text_dedup_keeps_columns_of_any_name(spark):
+    shared = "this passage is well over fifty bytes long and is found twice here"
+    docs = spark.createDataFrame([(1, shared, "a", 5, 6), (2, "x" + shared, "b", 7, 8)], "doc_id long, text string, _one string, c0 int, _rest int")
+    assert sorted(map(tuple, suffix_dedup.dedup_texts(docs).collect())) == [(1, shared, "a", 5, 6), (2, "x", "b", 7, 8)]
+
+
+def test_pipeline_stage_by_stage(spark):
+    """``run`` on given tables: every stage's rows follow from those of the one before, by brute force where that is possible."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    given = {r.doc_id: r.text for r in docs.collect()}
+    after, now = [], docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stored(stage(spark, now, sf), "stage")
+        assert now.columns == docs.columns
+        after.append({r.doc_id: r.text for r in now.collect()})
+    ordinary, good, single, cut = after
+    scores = toxicity.score_documents(docs, toxicity.train(docs, labels)).collect()
+    assert set(ordinary) == {r.doc_id for r in scores if not r.predicted}
+    left = docs.where(F.col("doc_id").isin(list(ordinary)))
+    rules = quality_rules.train(left, labels)
+    assert set(good) == {r.doc_id for r in quality_rules.judge(left.select("doc_id", "text"), rules).collect() if r.kept}
+    prints = {r.doc_id: r for r in simhash_dedup.near_components(left.where(F.col("doc_id").isin(list(good)))).collect()}
+    assert set(single) == {i for i, r in prints.items() if r.component_id == i}
+    kept = {i: data for i, _, _, _, data in brute_removal(list(single.items()))}
+    assert {i: t for i, t in cut.items()} == {i: data.decode("utf-8", "ignore") for i, data in kept.items()}
+    assert all(single[i] == given[i] for i in single)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+    assert set(pieces) == set(cut)
+    for i, rows in pieces.items():
+        ids = [*tokenizer.encode(cut[i], add_special_tokens=False).ids, 1]
+        rows.sort(key=lambda r: r.start)
+        assert np.frombuffer(b"".join(bytes(r.ids) for r in rows), "<u4").tolist() == ids and sum(r.length for r in rows) == len(ids)
+    places = {}
+    for r in (r for rows in pieces.values() for r in rows):
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in places.values():
+        spans.sort()
+        assert [o for o, _ in spans] == [sum(n for _, n in spans[:j]) for j in range(len(spans))] and sum(n for _, n in spans) <= 2048

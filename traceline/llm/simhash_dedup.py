@@ -186,12 +186,21 @@ def near_components(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id",
     return prints.join(named, "fp").select(key, "fp", "component_id")
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of their component.
 
-    Rows that repeat that key stay together; of rows without a key the first
+    Any other columns stay as they are, whatever their names. Rows that repeat that key stay together; of rows without a key the first
     of a component without any key stays.
     """
-    found = near_components(docs, radius, key).where(F.col(key).eqNullSafe(F.col("component_id")))
-    kept = found.select(F.col(key).alias("_key")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
+    found = near_components(docs.select(key, "text"), radius, key).where(F.col(key).eqNullSafe(F.col("component_id")))
+    mark = unused("key", docs)
+    kept = found.select(F.col(key).alias(mark)).distinct()
+    return docs.join(kept, F.col(key).eqNullSafe(F.col(mark)), "left_semi")

@@ -430,11 +430,13 @@ def dedup_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     text stay, with an empty one.
     """
     others = [c for c in docs.columns if c not in (key, "text")]
-    packed = docs.select(key, "text", F.struct(F.lit(0).alias("_one"), *others).alias("_rest"))
+    # Under numbers, so that no name of a column can meet one of this module.
+    values = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others, 1)]
+    packed = docs.select(key, "text", F.struct(F.lit(0).alias("c0"), *values).alias("_rest"))
     found = remove_repeats(packed, key, carry=["_rest"])
     text = F.replace(F.expr("make_valid_utf8(cast(kept as string))"), F.lit("\ufffd"), F.lit(""))
     whole = F.when(F.col("n_removed") > 0, text).otherwise(F.col("kept").cast("string"))
-    columns = {c: F.col("_rest")[c] for c in others} | {key: F.col(key), "text": whole}
+    columns = {c: F.col("_rest")[f"c{i}"] for i, c in enumerate(others, 1)} | {key: F.col(key), "text": whole}
     if "n_chars" in others:
         columns["n_chars"] = F.length(whole).cast(docs.schema["n_chars"].dataType)
     return found.select(*[columns[c].alias(c) for c in docs.columns])
