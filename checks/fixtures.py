@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceline.operators.embed import HashModel
+from traceline.operators.embed import HashModel, LoadedModel
 from traceline.sources.readers import read_table
 
 MODEL_A = HashModel("hash_a", 64)
@@ -13,6 +13,15 @@ MODEL_B = HashModel("hash_b", 32, first_digit=8)
 # Fails on texts with an address, whatever their length.
 MODEL_PICKY = HashModel("hash_picky", 64, refuse="@")
 
+
+
+def _load_letters():
+    """Length and two letter counts, in thousands."""
+    return lambda texts: [[len(t) / 1000, t.count("e") / 1000, t.count("\n") / 1000] for t in texts]
+
+
+MODEL_LETTERS = LoadedModel("letters", 3, _load_letters, batch=50)
+
 VECTOR_DIMS = {"vec_a": 64, "vec_b": 128}
 
 

@@ -304,6 +304,9 @@ ORACLE: dict[str, str] = {
     "failed_files": """select repo_id, 'hash_picky' as model, path,
       case when contains(content, '@') then 'refused text' else 'no words' end as error
       from files where (repo_id, path) not in (select (repo_id, path) from files_picky)""",
+    "embed_loaded": """select repo_id, path, unnest([0, 1, 2]) as bucket, round(unnest([length(content) / 1000,
+      (length(content) - length(replace(content, 'e', ''))) / 1000, (length(content) - length(replace(content, chr(10), ''))) / 1000])::float::double, 6) as weight
+      from files""",
     "run_totals": """select count(*) as files_found, count(s.path) as files_indexed, count(*) - count(s.path) as files_failed
       from files f left join files_picky s using (repo_id, path)""",
     "run_counts": """select f.repo_id, 'hash_picky' as model, count(*) as files_found, count(s.path) as files_indexed,

@@ -179,6 +179,12 @@ def embed_hash(spark, sf):
     return weights(embed.embed(fx.files(spark, sf), "content", A), "repo_id", "path")
 
 
+@query
+def embed_loaded(spark, sf):
+    """A model of one's own, loaded in the workers."""
+    return weights(embed.embed(fx.files(spark, sf), "content", fx.MODEL_LETTERS), "repo_id", "path")
+
+
 @query
 def embed_two_models(spark, sf):
     both = stored(embed.embed_two_models(fx.files(spark, sf), "content", PICKY, B), "both")

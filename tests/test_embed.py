@@ -1,10 +1,14 @@
 import hashlib
+import json
 import math
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from traceline.operators.embed import HashModel, LoadedModel, embed, embed_two_models, embedded_ok, failed_files, run_counts
+from traceline.operators.index import build_index
+from traceline.operators.nest import byte_blocks, tree_documents
 from traceline.operators.requirements import clean_requirements, dropped_requirements, section_queries, section_vectors
 
 MODEL = HashModel("m", 16)
@@ -92,3 +96,50 @@ def test_section_vectors_equal_those_of_the_joined_text(spark):
     summed = {r.section_name: r.embedding for r in section_vectors(cleaned, MODEL).collect()}
     joined = {r.section_name: r.embedding for r in embed(section_queries(cleaned), "query_text", MODEL).collect()}
     assert summed == joined
+
+
+def test_long_vectors_are_made_in_slices(spark, monkeypatch):
+    """Slices give what whole batches give, and a model never gets more texts than it asked for."""
+    texts = [f"word{i} other{i % 7}" if i % 5 else "..." for i in range(40)] + [None]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string").coalesce(1)
+    whole = embed(table, "content", MODEL).orderBy("i").collect()
+    monkeypatch.setattr("traceline.operators.embed.CELLS", 3 * MODEL.dim)
+    assert embed(table, "content", MODEL).orderBy("i").collect() == whole
+
+    def load():
+        def vectors(given):
+            assert len(given) <= 4
+            return [[float(len(given)), float(len(t))] for t in given]
+
+        return vectors
+
+    found = embed(table.where("content is not null"), "content", LoadedModel("own", 2, load, batch=4)).orderBy("i").collect()
+    assert [r.embedding[1] for r in found] == [len(t) for t in texts[:-1]] and all(r.error is None for r in found)
+
+
+def test_parts_of_a_payload_are_bounded_by_bytes(spark):
+    sizes = [10, 400, 30, 2000, 5, 5, 900, 100, 100, 100] * 130
+    rows = [("r", i, f"f{i}", "x" * n) for i, n in enumerate(sizes)] + [("s", 0, "only", "y")]
+    tree = spark.createDataFrame(rows, "repo_id string, pos long, path string, content string").repartition(5)
+    found = byte_blocks(tree, 2000).orderBy("repo_id", "pos").collect()
+    assert [(r.repo_id, r.pos) for r in found] == [(r[0], r[1]) for r in rows]
+    total, count = {}, {}
+    for r in found:
+        at = r.repo_id, r.block
+        total[at] = total.get(at, 0) + len(r.content) + len(r.path) + 64
+        count[at] = count.get(at, 0) + 1
+    assert all(n <= 2000 or count[at] == 1 for at, n in total.items())
+    assert len(total) < 0.5 * len(rows)
+    documents = tree_documents(tree, max_bytes=2000).collect()
+    assert sorted(k for d in documents for k in json.loads(d.tree)) == sorted(r[2] for r in rows)
+    assert all(len(d.tree) <= 2000 or len(json.loads(d.tree)) == 1 for d in documents)
+
+
+def test_counts_come_with_the_pass_that_embeds(spark):
+    """One scan: the observed numbers are there once the vectors are written."""
+    files = spark.createDataFrame([("r", i, f"f{i}", "word" if i % 4 else "...") for i in range(20)], "repo_id string, pos long, path string, content string")
+    counts = Observation("run")
+    index = build_index(files, MODEL, counts)
+    assert counts.get == {"files_found": 20, "files_indexed": 15, "files_failed": 5} and index.count() == 15
+    plan = embed(files, "content", MODEL).observe(Observation("again"), F.count("*"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CollectMetrics" in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 EMBEDDED = "struct<embedding: array<float>, error: string>"
 
 _WORD_BREAK = "[^A-Za-z0-9]+"
+CELLS = 2**21  # counts held at once by a hash model
 
 
 def _vectors(rows: np.ndarray, missing: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -66,7 +67,8 @@ class HashModel:
         @F.arrow_udf(EMBEDDED)
         def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             seen: dict[str, int] = {}
-            for texts in batches:
+
+            def vectors(texts: pa.Array) -> pa.StructArray:
                 row, bucket = _words(texts, dim, first_digit, seen)
                 counts = np.bincount(row * dim + bucket, minlength=len(texts) * dim).reshape(len(texts), dim)
                 words = counts.sum(axis=1)
@@ -77,24 +79,35 @@ class HashModel:
                 length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
                 rows = (counts / np.where(length == 0, 1, length)).astype(np.float32)
                 error = np.where(refused, "refused text", np.where(empty, "no words", None))
-                yield pa.StructArray.from_arrays(
+                return pa.StructArray.from_arrays(
                     [_vectors(rows, empty | refused, pa.float32()), pa.array(error.tolist(), type=pa.string())],
                     names=["embedding", "error"],
                 )
 
+            for texts in batches:
+                yield _in_slices(texts, max(1, CELLS // dim), vectors)
+
         return embed.asNondeterministic()(text)
 
 
+def _in_slices(texts: pa.Array, rows: int, vectors: Callable[[pa.Array], pa.StructArray]) -> pa.StructArray:
+    """``vectors`` of ``rows`` texts at a time, so that long vectors do not fill the memory of a worker."""
+    if len(texts) <= rows:
+        return vectors(texts)
+    return pa.concat_arrays([vectors(texts.slice(start, rows)) for start in range(0, len(texts), rows)])
+
+
 @dataclass(frozen=True)
 class LoadedModel:
-    """Any other model: ``load()`` gives a function from texts to vectors."""
+    """Any other model: ``load()`` gives a function from texts to vectors, which gets at most ``batch`` texts at once."""
 
     name: str
     dim: int
     load: Callable[[], Callable[[Sequence[str]], Sequence[Sequence[float]]]]
+    batch: int = 256
 
     def column(self, text: Column) -> Column:
-        dim, load = self.dim, self.load
+        dim, load, batch = self.dim, self.load, max(1, self.batch)
 
         @F.arrow_udf(EMBEDDED)
         def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -106,7 +119,7 @@ class LoadedModel:
                 except Exception as e:
                     return None, str(e) or type(e).__name__
 
-            for column in batches:
+            def vectors(column: pa.Array) -> pa.StructArray:
                 texts = column.to_pylist()
                 try:
                     found = [(v, None) for v in model(texts)]
@@ -120,11 +133,14 @@ class LoadedModel:
                 for i, (v, _) in enumerate(found):
                     if v is not None:
                         rows[i] = v
-                yield pa.StructArray.from_arrays(
+                return pa.StructArray.from_arrays(
                     [_vectors(rows, missing, pa.float32()), pa.array([e for _, e in found], type=pa.string())],
                     names=["embedding", "error"],
                 )
 
+            for column in batches:
+                yield _in_slices(column, batch, vectors)
+
         return embed.asNondeterministic()(text)
 
 

@@ -9,12 +9,14 @@ object of the same form.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIRS_PER_PIECE = 4096  # files of one list in one nested row
 ROWS_PER_BLOCK = 1024  # requirement rows whose sections share an object
 FILES_PER_BLOCK = 1024  # files of a repository in one object
+PAYLOAD_BYTES = 64 * 2**20  # encoded files of one part of a combined payload
+ENTRY_BYTES = 64  # what a file has in its object besides name and content
 _PARTS = 2**31  # pieces of a block stay below this
 
 
@@ -105,32 +107,52 @@ def result_documents(results: DataFrame, pairs: int = PAIRS_PER_PIECE, rows: int
     )
 
 
-def tree_documents(tree: DataFrame, files: int = FILES_PER_BLOCK) -> DataFrame:
-    """``repo_id, block, tree``: encoded files as a JSON object by name."""
+def byte_blocks(tree: DataFrame, max_bytes: int) -> DataFrame:
+    """Add ``block``: runs of a repository's files, in order, whose encoded sizes add up to at most ``max_bytes``.
+
+    A file larger than half of that has a block of its own. Sizes are added up
+    over runs of ``FILES_PER_BLOCK`` positions first, so no task sees more of a
+    repository than such a run, or one number per run.
+    """
+    size = F.octet_length("content") + F.octet_length("path") + ENTRY_BYTES
+    sized = tree.withColumn("_size", F.coalesce(size, F.lit(ENTRY_BYTES)).cast("long")).withColumn("_run", F.floor(F.col("pos") / FILES_PER_BLOCK))
+    earlier = Window.partitionBy("repo_id").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sized.groupBy("repo_id", "_run").agg(F.sum("_size").alias("_sum"))
+    offsets = sums.select("repo_id", "_run", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("repo_id", "_run").orderBy("pos", "path").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("_before", F.coalesce(F.sum("_size").over(inside), F.lit(0))).join(offsets, ["repo_id", "_run"])
+    half = max(1, max_bytes // 2)
+    # What begins in one half fits into the whole; at most one large file begins there.
+    block = F.floor((F.col("_offset") + F.col("_before")) / half) * 2 + F.when(F.col("_size") > half, 1).otherwise(0)
+    return placed.withColumn("block", block.cast("long")).select(*tree.columns, "block")
+
+
+def tree_documents(tree: DataFrame, files: int = FILES_PER_BLOCK, max_bytes: int | None = None) -> DataFrame:
+    """``repo_id, block, tree``: encoded files as a JSON object by name, of ``files`` positions or of at most ``max_bytes``."""
     blob = F.struct(F.lit("blob").alias("type"), F.lit("base64").alias("encode"), "content")
+    if max_bytes is None:
+        blocked = tree.withColumn("block", F.floor(F.col("pos") / files))
+    else:
+        blocked = byte_blocks(tree, max_bytes)
     return (
-        tree.select(
-            "repo_id",
-            F.floor(F.col("pos") / files).alias("block"),
-            "pos",
-            F.concat(_quoted(F.col("path")), F.lit(":"), F.to_json(blob)).alias("text"),
-        )
+        blocked.select("repo_id", "block", "pos", F.concat(_quoted(F.col("path")), F.lit(":"), F.to_json(blob)).alias("text"))
         .groupBy("repo_id", "block")
         .agg(_object(F.collect_list(F.struct("pos", "text"))).alias("tree"))
     )
 
 
-def combined_payload(results: DataFrame, tree: DataFrame, files: int = FILES_PER_BLOCK) -> DataFrame:
+def combined_payload(results: DataFrame, tree: DataFrame, max_bytes: int = PAYLOAD_BYTES) -> DataFrame:
     """``repo_id, part, payload``: ``{"rag_output": ..., "repo_files": ...}``.
 
     The first result object of a repository travels with its first files, and
-    so on while both last; the rest goes with an empty object. The parts are
-    computed from the blocks, so nothing of a repository comes together in one
-    task.
+    so on while both last; the rest goes with an empty object. The files of a
+    part have at most ``max_bytes``, unless one file alone has more. The parts
+    are computed from the blocks, so nothing of a repository comes together in
+    one task.
     """
     empty = F.lit("{}")
     documents = result_documents(results).withColumn("part", F.col("block") * _PARTS + F.col("piece"))
-    trees = tree_documents(tree, files).withColumn("part", F.col("block"))
+    trees = tree_documents(tree, max_bytes=max_bytes).withColumn("part", F.col("block"))
     return (
         documents.select("repo_id", "part", "document")
         .join(trees.select("repo_id", "part", "tree"), ["repo_id", "part"], "full")
