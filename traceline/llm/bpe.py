@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from traceline.llm.texts import Memo, cut_at_spaces, slices, strings
+from traceline.llm.texts import WORD_ROWS, Memo, cut_at_spaces, has_two_blanks, joined_words, slices, strings, taken_bytes
 
 _FAN = 8  # a bitmap word stands for 256 buckets; Python integers may be that wide
 _LOW = (1 << _FAN) - 1
@@ -39,9 +39,10 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.tokens = [b""] * (max(ranks.values()) + 1)
+        tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
-            self.tokens[rank] = token
+            tokens[rank] = token
+        self.tokens = pa.array(tokens, pa.large_binary())
         self.words = Memo(self._words, 800_000)
         self.memo = Memo(self._pieces)
 
@@ -129,10 +130,18 @@ class ByteBpe:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        return [b"".join(parts) for parts in self.memo.of([cut_at_spaces(text) for text in texts])]
+        spaced = [i for i, text in enumerate(texts) if has_two_blanks(text)]
+        found = dict(zip(spaced, (b"".join(parts) for parts in self.memo.of([cut_at_spaces(texts[i]) for i in spaced]))))
+        rest = iter(joined_words([text for i, text in enumerate(texts) if i not in found], self.memo, " "))
+        return [found[i] if i in found else next(rest) for i in range(len(texts))]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        places = np.frombuffer(ids, "<u4").astype(np.int64)
+        data, ends = taken_bytes(self.tokens, places)
+        # A token has at least a byte, so what takes none is no token.
+        if (np.diff(ends) == 0).any():
+            raise KeyError(f"no such token: {int(places[np.diff(ends) == 0][0])}")
+        return data
 
 
 _coders: dict[tuple[str, str], ByteBpe] = {}
@@ -154,7 +163,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
-        for part in slices(batches):
+        for part in slices(batches, WORD_ROWS):
             ids = bpe.encode_batch(strings(part.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(ids, pa.binary()), pa.array([len(i) // 4 for i in ids], pa.int64())],
@@ -170,7 +179,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, key: str = "do
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
-        for part in slices(batches):
+        for part in slices(batches, WORD_ROWS):
             data = [bpe.decode(ids or b"") for ids in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(data, pa.binary())], names=[key, "data"])
 
@@ -186,7 +195,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
-        for part in slices(batches):
+        for part in slices(batches, WORD_ROWS):
             ids = bpe.encode_batch(strings(part.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [

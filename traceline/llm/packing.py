@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceline.llm.texts import slices, strings
+from traceline.llm.texts import WORD_ROWS, slices, strings
 from traceline.llm.tokens import tokenizer
 from traceline.operators.ranking import number_rows
 from traceline.runtime import stored
@@ -51,7 +51,7 @@ def cut_documents(
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, last = tokenizer(path), end.to_bytes(4, "little")
-        for part in slices(batches):
+        for part in slices(batches, WORD_ROWS):
             rows, starts, pieces, sizes = [], [], [], []
             for row, ids in enumerate(coder.encode_batch(strings(part.column(1)))):
                 ids += last

@@ -6,9 +6,12 @@ import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 ROWS = 1000  # documents handled at once inside an Arrow batch
+WORD_ROWS = 5000  # the same where each distinct word of them is looked up once
 
 _TWO_BLANKS = re.compile(r"\s\s")
 _BEFORE_WORD = re.compile(r"(?= \S)")
@@ -25,19 +28,53 @@ def strings(column: pa.Array) -> list[str]:
     return [text or "" for text in column.to_pylist()]
 
 
+def has_two_blanks(text: str) -> bool:
+    """Then a cut at every space would part blanks that belong together."""
+    return _TWO_BLANKS.search(text) is not None
+
+
 def cut_at_spaces(text: str) -> list[str]:
     """Cut before each space that a word follows.
 
     Byte-level pre-tokenizers put such a space in front of the next word, so no
     pre-token crosses a cut, and a run of blanks stays in one piece.
     """
-    if _TWO_BLANKS.search(text):
+    if has_two_blanks(text):
         return [piece for piece in _BEFORE_WORD.split(text) if piece]
     first, *rest = text.split(" ")
     pieces = [" " + piece for piece in rest]
     return [first, *pieces] if first else pieces
 
 
+def joined_words(texts: list[str], memo: Memo, lead: str) -> list[bytes]:
+    """The values (bytes) of the words of each text, joined.
+
+    Words are what lies between spaces; all but the first of a text are asked
+    for with ``lead`` before them. Each distinct word of the batch is looked up
+    once, and the texts are put together by place.
+    """
+    words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = words.flatten().dictionary_encode()
+    vocabulary, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))])
+    pieces = vocabulary
+    if lead:
+        firsts = starts[:-1]
+        pieces = [lead + word for word in vocabulary] + [vocabulary[i] for i in index[firsts].tolist()]
+        index[firsts] = len(vocabulary) + np.arange(len(texts))
+    data, ends = taken_bytes(pa.array(memo.of([pieces])[0], pa.large_binary()), index)
+    bounds = ends[starts].tolist()
+    return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def taken_bytes(values: pa.Array, index: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """``values[index]`` as one run of bytes, and where each begins in it, the end included."""
+    taken = values.take(pa.array(index))
+    _, offsets, data = taken.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+    return b"" if data is None else data.to_pybytes(), ends
+
+
 class Memo:
     """Values of pieces of text, each worked out once while it is remembered.
 

@@ -8,7 +8,7 @@ from struct import pack
 
 import regex
 
-from traceline.llm.texts import Memo, cut_at_spaces
+from traceline.llm.texts import Memo, cut_at_spaces, has_two_blanks, joined_words
 
 # Latin texts without rare blanks or combining marks: there the steps before
 # the merges are the patterns below; anything else takes the library's whole path.
@@ -26,10 +26,6 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(moved)}
 
 
-def _at_blanks(text: str) -> list[str]:
-    return [piece for piece in text.split(" ") if piece]
-
-
 def _packed(ids: list[int]) -> bytes:
     return pack(_FORMATS[len(ids)], *ids) if len(ids) < 64 else pack(f"<{len(ids)}I", *ids)
 
@@ -83,9 +79,10 @@ class FileTokenizer:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         marked = {i: self._full(t) for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        cut = _at_blanks if self.words else cut_at_spaces
-        found = self.memo.of([[] if i in marked else cut(t) for i, t in enumerate(texts)])
-        return [marked[i] if i in marked else b"".join(parts) for i, parts in enumerate(found)]
+        spaced = [] if self.words else [i for i, t in enumerate(texts) if i not in marked and has_two_blanks(t)]
+        marked |= zip(spaced, (b"".join(parts) for parts in self.memo.of([cut_at_spaces(texts[i]) for i in spaced])))
+        rest = iter(joined_words([t for i, t in enumerate(texts) if i not in marked], self.memo, "" if self.words else " "))
+        return [marked[i] if i in marked else next(rest) for i in range(len(texts))]
 
 
 _loaded: dict[str, FileTokenizer] = {}
