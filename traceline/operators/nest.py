@@ -141,18 +141,20 @@ def tree_documents(tree: DataFrame, files: int = FILES_PER_BLOCK, max_bytes: int
     )
 
 
-def combined_payload(results: DataFrame, tree: DataFrame, max_bytes: int = PAYLOAD_BYTES) -> DataFrame:
+def combined_payload(results: DataFrame, tree: DataFrame, files: int | None = None, max_bytes: int = PAYLOAD_BYTES) -> DataFrame:
     """``repo_id, part, payload``: ``{"rag_output": ..., "repo_files": ...}``.
 
     The first result object of a repository travels with its first files, and
     so on while both last; the rest goes with an empty object. The files of a
-    part have at most ``max_bytes``, unless one file alone has more. The parts
+    part have at most ``max_bytes``, unless one file alone has more; with
+    ``files`` they are cut by that many positions instead. The parts
     are computed from the blocks, so nothing of a repository comes together in
     one task.
     """
     empty = F.lit("{}")
     documents = result_documents(results).withColumn("part", F.col("block") * _PARTS + F.col("piece"))
-    trees = tree_documents(tree, max_bytes=max_bytes).withColumn("part", F.col("block"))
+    blocks = tree_documents(tree, max_bytes=max_bytes) if files is None else tree_documents(tree, files)
+    trees = blocks.withColumn("part", F.col("block"))
     return (
         documents.select("repo_id", "part", "document")
         .join(trees.select("repo_id", "part", "tree"), ["repo_id", "part"], "full")
