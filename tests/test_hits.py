@@ -18,30 +18,24 @@ def ranking(spark, *lists):
     return spark.createDataFrame(out, SCHEMA)
 
 
-def reference_list(files, positional):
-    """The behaviour to match, one list at a time."""
-    kept = [math.cos(d) for _, d in files if d > 0.5]
-    if positional:
-        pairs = list(zip([p for p, _ in files], kept))
-    else:
-        pairs = [(p, math.cos(d)) for p, d in files if d > 0.5]
-    names = {}
-    for path, s in pairs:
-        names[path.split("/")[-1]] = s
-    return names
+FILES = [("x/a.php", 0.1), ("y/b.php", 0.4), ("x/c.php", 0.6), ("z/a.php", 0.9), ("q/d.php", 1.2), ("w/c.php", 1.3)]
 
 
-FILES = [("x/a.php", 0.1), ("y/b.php", 0.4), ("x/c.php", 0.6), ("z/a.php", 0.9), ("q/d.php", 1.2), ("w/c.php", 1.3)]
+# Worked out by hand. Four hits are farther than 0.5; their scores are 0.825 0.622 0.362 0.267.
+EXPECTED = {
+    # Each kept hit has its own score: c 0.825, a 0.622, d 0.362, c 0.267; the second c replaces the first one's score.
+    "aligned": [("c.php", 0.26749883), ("a.php", 0.62160997), ("d.php", 0.36235775)],
+    # The scores go to the first four files: a, b, c and again a.
+    "positional": [("a.php", 0.26749883), ("b.php", 0.62160997), ("c.php", 0.36235775)],
+}
 
 
 @pytest.mark.parametrize("pairing", ["aligned", "positional"])
 def test_single_model_lists(spark, pairing):
     found = single_results(ranking(spark, ("S", FILES), ("T", [("a.php", 0.2)])), pairing=pairing).collect()
     section = sorted((r.pos, r.file_name, r.score) for r in found if r.section_name == "S")
-    expected = reference_list(FILES, pairing == "positional")
-    assert [name for _, name, _ in section] == list(expected)
-    assert [pos for pos, _, _ in section] == list(range(1, len(expected) + 1))
-    assert [s for _, _, s in section] == pytest.approx(list(expected.values()))
+    assert [(pos, name) for pos, name, _ in section] == [(i, name) for i, (name, _) in enumerate(EXPECTED[pairing], 1)]
+    assert [s for _, _, s in section] == pytest.approx([s for _, s in EXPECTED[pairing]], abs=1e-7)
     # A section without results is kept as one row without a file.
     assert [tuple(r)[3:] for r in found if r.section_name == "T"] == [(None, None, None, None)]
 
