@@ -337,6 +337,7 @@ ORACLE: dict[str, str] = {
       select section_name, 2, pos, file_name, round(score, 6) from vlist_b20
         where (section_name, file_name) not in (select (section_name, file_name) from vlist_a20)""",
     "match_single": f"select {_RESULT} from single",
+    "match_kept": f"select {_RESULT} from single",
     "match_dual": f"select {_RESULT} from dual",
     "section_result": "select repo_id, section_name, 0 as n_only, pos, file_name, round(score, 6) as score from single",
     "result_json_roundtrip": f"select 3 as depth, {_RESULT} from single",

@@ -12,7 +12,7 @@ from traceline.functions.codec import encode_blob
 from traceline.functions.text import base_name, is_source_file
 from traceline.operators import approximate, documents, embed, evaluate, hits, index, knn, nest, pivots, requirements
 from traceline.operators.ranking import number_files
-from traceline.plans import evaluation, match, search
+from traceline.plans import evaluation, kept_match, match, search
 from traceline.runtime import fresh_path, stored
 from traceline.sources import readers, writers
 from traceline.streaming import jobs
@@ -350,6 +350,19 @@ def match_single(spark, sf):
     return _match_single(spark, sf).select(*RESULT, r6("score"))
 
 
+@query
+def match_kept(spark, sf):
+    """A store without the web repository, the French files outdated, brought up to date."""
+    path = fresh_path(spark, "kept")
+    files, asked = stored(_decoded(spark, sf), "decoded"), fx.requirements(spark, sf)
+    french = F.col("path").endswith(".py")
+    old = files.where(F.col("repo_id") != "web").withColumn(
+        "content", F.when(french, F.concat("content", F.lit(" old"))).otherwise(F.col("content"))
+    )
+    kept_match.refresh(spark, path, old, asked, A)
+    return kept_match.match_kept(spark, path, files, asked, A).select(*RESULT, r6("score"))
+
+
 @query
 def match_dual(spark, sf):
     found = match.match_dual(_decoded(spark, sf), fx.requirements(spark, sf), A, B)
