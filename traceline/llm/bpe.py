@@ -44,7 +44,7 @@ class ByteBpe:
             tokens[rank] = token
         self.tokens = pa.array(tokens, pa.large_binary())
         self.words = Memo(self._words, 800_000)
-        self.memo = Memo(self._pieces)
+        self.memo = Memo(self._pieces, 800_000)
 
     def pre_token(self, data: bytes) -> list[int]:
         """The ids of one pre-token.
