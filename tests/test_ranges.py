@@ -85,3 +85,11 @@ def test_repeated_names_and_broken_files(spark, rows, tmp_path):
         (tmp_path / "twice.json").write_text(text)
         with pytest.raises(Exception, match="JSON object"):
             read_json_entries(spark, str(tmp_path), 4).collect()
+
+
+def test_ranges_are_dealt_to_many_tasks_and_read_little_beyond_them(spark, tmp_path, monkeypatch):
+    """The rows of ranges are tiny, so that by their size alone one task would get them all."""
+    tree = {f"f{i}": {"content": "QUJD" * 20} for i in range(400)}
+    (tmp_path / "t.json").write_text(json.dumps(tree))
+    found = read_json_entries(spark, str(tmp_path), 256).selectExpr("key", "spark_partition_id() as task").collect()
+    assert sorted(r.key for r in found) == sorted(tree) and len({r.task for r in found}) > 4

@@ -19,8 +19,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from traceline.runtime import stored
+
 RANGE_BYTES = 64 * 2**20
-READ_ON = 2**20  # bytes read at once beyond the end of a range
+READ_ON = 2**20  # bytes read at once beyond the end of a range, or its own size if that is less
+TASKS_A_CORE = 4
 OUTSIDE, INSIDE, ESCAPED = range(3)  # ESCAPED: inside, and the next byte is escaped
 
 _QUOTE, _BACKSLASH, _COMMA, _COLON = (ord(c) for c in '"\\,:')
@@ -125,16 +128,23 @@ def read_json_entries(spark: SparkSession, path: str, range_bytes: int = RANGE_B
 
     _ENDS = [f"{kind}{s}" for s in range(3) for kind in ("state", "depth")]
     schema = "file string, start long, size long, " + ", ".join(f"{c} long" for c in _ENDS)
-    # Seven numbers a range: 64 MiB of input are one row here.
-    known, state, depth, file = [], OUTSIDE, 0, None
-    for r in ranges.repartition("file", "start").mapInArrow(states, schema).orderBy("file", "start").collect():
-        if r.file != file:
-            _complete(file, state, depth)
-            file, state, depth = r.file, OUTSIDE, 0
-        known.append((r.file, r.start, r.size, state, depth))
-        state, depth = r[f"state{state}"], depth + r[f"depth{state}"]
-    _complete(file, state, depth)
-    begun = spark.createDataFrame(known, "file string, start long, size long, state int, depth long")
+    # A row stands for much to read, so the number of tasks is told, not left to the size of the rows.
+    tasks = _tasks(ranges)
+    scanned = ranges.repartition(tasks, "file", "start").mapInArrow(states, schema)
+
+    def chained(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("start")
+        ends = [list(zip(rows.column(f"state{s}").to_pylist(), rows.column(f"depth{s}").to_pylist())) for s in range(3)]
+        state, depth, begun = OUTSIDE, 0, []
+        for i in range(rows.num_rows):
+            begun.append((state, depth))
+            state, depth = ends[state][i][0], depth + ends[state][i][1]
+        _complete(rows.column("file")[0].as_py(), state, depth)
+        columns = [pa.array([b[0] for b in begun], pa.int32()), pa.array([b[1] for b in begun], pa.int64())]
+        return pa.table([*rows.select(["file", "start", "size"]).columns, *columns], names=["file", "start", "size", "state", "depth"])
+
+    # Seven numbers a range come together for a file: 64 MiB of input are one row here.
+    begun = stored(scanned.groupBy("file").applyInArrow(chained, "file string, start long, size long, state int, depth long"), "ranges")
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +152,7 @@ def read_json_entries(spark: SparkSession, path: str, range_bytes: int = RANGE_B
                 fs, name = _opened(r["file"])
                 with fs.open_input_file(name) as f:
                     length, size = f.size(), r["size"]
-                    data, found, more = f.read_at(size, r["start"]), None, READ_ON
+                    data, found, more = f.read_at(size, r["start"]), None, min(READ_ON, size)
                     while found is None:
                         final = r["start"] + len(data) >= length
                         found = cut_entries(data, size, r["state"], r["depth"], final)
@@ -159,7 +169,13 @@ def read_json_entries(spark: SparkSession, path: str, range_bytes: int = RANGE_B
                     names=["file", "at", "key", "value"],
                 )
 
-    return begun.repartition("file", "start").mapInArrow(entries, "file string, at long, key string, value string")
+    return begun.repartition(tasks, "file", "start").mapInArrow(entries, "file string, at long, key string, value string")
+
+
+def _tasks(ranges: DataFrame) -> int:
+    """A few tasks a core and at least one for each ``RANGE_BYTES``, but no more than there are ranges."""
+    n, size = ranges.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return max(1, min(n, max(TASKS_A_CORE * ranges.sparkSession.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))))
 
 
 def _complete(file: str | None, state: int, depth: int) -> None:
