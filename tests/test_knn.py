@@ -1,8 +1,11 @@
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from traceline.operators import approximate, knn
 from traceline.operators.approximate import (
     ProbePlan,
     build_buckets,
@@ -219,3 +222,77 @@ def test_running_best_of_a_task(pending):
     best = lambda frame: frame.sort_values(["g", "cos_sim", "idx"], ascending=[True, False, True]).groupby("g").head(3)
     assert best(found).values.tolist() == best(table.to_pandas()).values.tolist()
     assert pending < 50 or len(found) <= 12 + pending
+
+
+def test_copies_of_a_row_do_not_grow_with_small_blocks(data, monkeypatch):
+    """Blocks of two rows would copy every file 15 times and every query 150 times."""
+    index, queries, vectors, repos = data
+    moved, grouped = [], knn.nearest_grouped
+    monkeypatch.setattr(knn, "nearest_grouped", lambda left, right, *a: moved.append((left.count(), right.count())) or grouped(left, right, *a))
+    found = nearest_blocked(index, queries, 4, DIM, ["repo_id"], ["q"], ["path"], block_rows=2)
+    assert set(map(tuple, found.select("repo_id", "q", "rk", "idx").collect())) == brute(vectors, repos, range(0, 300, 10), 4)
+    assert moved[0][0] <= knn.SIDE_BLOCKS * 300 and moved[0][1] <= knn.SIDE_BLOCKS * 30
+
+
+def test_the_index_is_made_once_for_all_parts_of_the_queries(data):
+    index, queries, vectors, repos = data
+    made = index.sparkSession.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    found = nearest(index.mapInArrow(count, index.schema), queries, 3, DIM, by=["q"], broadcast_bytes=8 * DIM * 10)
+    assert set(map(tuple, found.select("repo_id", "q", "rk", "idx").collect())) == brute(vectors, repos, range(0, 300, 10), 3)
+    assert made.value == 300
+
+
+@pytest.mark.parametrize("kind", ["spread", "copies", "near ties"])
+def test_single_precision_loses_no_neighbour(kind, monkeypatch):
+    """Against all products in double, over several rounds and tables; few of the pairs become finds."""
+    draw = np.random.default_rng(3)
+    files = draw.normal(size=(3000, DIM))
+    if kind == "copies":
+        files[draw.random(3000) < 0.5] = files[0]
+    elif kind == "near ties":
+        files[1000:] = files[0] + 3e-8 * draw.normal(size=(2000, DIM))
+    asks = np.concatenate([files[:40], draw.normal(size=(40, DIM))])
+    unit, rows = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (files, asks))
+    monkeypatch.setattr(knn, "ROUND_CELLS", 2**14)
+    bars, got = knn.Bars(5, len(rows)), []
+    for start in range(0, 3000, 1100):
+        part = pa.table({"idx": np.arange(start, min(3000, start + 1100)), "embedding": pa.array(files[start : start + 1100].tolist())})
+        got += knn.score_table(part, rows, pa.table({"q": np.arange(len(rows))}), 5, [], [], bars)
+    best = knn.still_best(pa.Table.from_batches(got), 5, ["q"])
+    sims = np.rint(rows @ unit.T * knn.UNIT) / knn.UNIT
+    want = {(q, i) for q in range(len(rows)) for i in np.lexsort((np.arange(3000), -sims[q]))[:5].tolist()}
+    assert set(zip(best.column("q").to_pylist(), best.column("idx").to_pylist())) == want
+    assert sum(p.num_rows for p in got) < 0.1 * sims.size
+
+
+def test_small_batches_of_finds_do_not_pile_up():
+    """What waits is held in few batches, however small the ones that come."""
+    held = []
+
+    def parts():
+        for i in range(3 * knn.LOOSE_BATCHES):
+            held.append(sys.getrefcount(first))
+            yield first if i % 2 else pa.record_batch({"g": [0], "idx": [i], "cos_sim": [0.5]})
+
+    first = pa.record_batch({"g": [1], "idx": [1], "cos_sim": [0.5]})
+    out = list(keep_best(parts(), 2, ["g"], 10**6))
+    assert sum(b.num_rows for b in out) == 4 and max(held) < knn.LOOSE_BATCHES
+
+
+@pytest.mark.parametrize("scope", [["repo_id"], []])
+@pytest.mark.parametrize("rows", [7, None])
+def test_files_and_queries_that_meet_by_bucket_give_the_same(data, scope, rows, monkeypatch):
+    """Buckets of more than a task takes, copies, and files that are found in two tables."""
+    index, queries, *_ = data
+    built = build_buckets(index, DIM, ProbePlan(3, 2, 3, seed=5), scope, ["path"], 16)
+    columns = [*scope, "q", "rk", "idx", "path", "distance"]
+    by_bucket = approximate._search_by_bucket(built, queries, 4, scope, ["q"], ["path"], rows).select(*columns).collect()
+    monkeypatch.setattr(approximate, "PLACE_BYTES", 0)
+    by_place = search_buckets(built, queries, 4, scope, ["q"], ["path"], 8).select(*columns).collect()
+    assert sorted(by_bucket) == sorted(by_place) and len(by_place) > 100

@@ -140,9 +140,10 @@ def nearest_pivots(
     pivots, files = index.pivots, index.files
     schema = out_schema(files, queries, scope, by, keep)
 
-    def search(matrix: pa.Table) -> DataFrame:
+    def search(files: DataFrame, matrix: pa.Table) -> DataFrame:
         units = unit_matrix(matrix.column("embedding"), dim)
         alive = np.flatnonzero(~np.isnan(units[:, 0]))
+        # One part of the queries at a time: angles to the pivots and the best so far are held for all of it.
         shared = files.sparkSession.sparkContext.broadcast((units[alive], matrix.select(by).combine_chunks().take(pa.array(alive)), pivots))
 
         def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +187,7 @@ def nearest_pivots(
                     columns = [rows.column(c) for c in [*scope, "idx", *keep]] + [c.combine_chunks() for c in asked.columns]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(found[good])], names=schema.names)
 
-    return query_parts(queries, k, dim, scope, by, search, broadcast_bytes)
+    return query_parts(files, queries, k, dim, scope, by, search, broadcast_bytes, written=True)
 
 
 BLOCK_QUERIES = 4096  # queries scored against a ring at once
