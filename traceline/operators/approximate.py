@@ -9,9 +9,11 @@ neighbours are found, and the cheapest setting that reaches the wanted recall
 on them is taken. Where none does, or where it would look at most of the index
 anyway, the search is exact.
 
-Buckets hold places, not vectors. Candidates are collected as places; the
-vectors of a block are moved once for each group of queries, and pairs never
-become rows.
+Buckets hold places, not vectors, and pairs never become rows. Where buckets
+are small, candidates are collected as places, and the vectors of a block are
+moved once for each group of queries. Where a bucket's places would take more
+room than a vector, files and queries meet by bucket instead: a file is moved
+once a table and a query once a probe, however many files there are.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from traceline.functions.scoring import angular_distance
-from traceline.operators.knn import BLOCK_CELLS, CELLS, UNIT, nearest, still_best, unit_matrix
+from traceline.operators.knn import BLOCK_CELLS, CELLS, UNIT, nearest, nearest_grouped, still_best, unit_matrix
 from traceline.operators.ranking import number_rows
 from traceline.runtime import stored
 
@@ -42,6 +44,7 @@ SAMPLE_PAIRS = 20_000  # neighbours of the sample that are looked at
 MOST_SHARE = 0.5  # share of the index from which looking at all of it is as good
 DENSE = 16  # one pair in so many is enough to multiply all of a block
 BLOCK_ROWS = 4096  # files of a block, and queries of a group
+PLACE_BYTES, CELL_BYTES = 4, 8  # of a place, of a vector's component
 _DECIMALS = 9  # distances to lines are compared as multiples of 1e-9
 
 
@@ -289,6 +292,8 @@ def search_buckets(
     plan, dim = index.plan, index.dim
     if plan.exact:
         return nearest(index.files, queries, k, dim, scope, by, keep)
+    if index.files.count() * PLACE_BYTES > 2**plan.hashes * dim * CELL_BYTES:
+        return _search_by_bucket(index, queries, k, scope, by, keep)
     usable = queries.where(F.col("embedding").isNotNull()).select(*by, "embedding")
     asks = stored(usable.withColumn("_q", F.monotonically_increasing_id()), "asks")
     signs = lines(dim, plan.tables * plan.hashes, plan.seed)
@@ -360,6 +365,78 @@ def search_buckets(
     return ranked.withColumn("distance", angular_distance(F.col("cos_sim")))
 
 
+def _search_by_bucket(
+    index: BucketIndex, queries: DataFrame, k: int, scope: list[str], by: list[str], keep: list[str], bucket_rows: int | None = None
+) -> DataFrame:
+    """As ``search_buckets``, for buckets that hold many files: each bucket is searched exactly by the queries that probe it.
+
+    A bucket of more than ``bucket_rows`` files or queries is dealt to several
+    tasks, and the copies of the other side grow with that only.
+    """
+    plan, dim = index.plan, index.dim
+    hashes, probes = plan.hashes, plan.probes
+    signs = lines(dim, plan.tables * hashes, plan.seed)
+    rows = bucket_rows or max(1, BLOCK_CELLS // dim)
+    usable = queries.where(F.col("embedding").isNotNull()).select(*by, "embedding")
+    asks = stored(usable.withColumn("_q", F.monotonically_increasing_id()), "asks")
+    # Whatever the columns are called, they do not clash with those added here.
+    own = [f"c{i}" for i in range(len(scope) + len(keep))]
+    asked = [f"q{i}" for i in range(len(by))]
+
+    def coded(df: DataFrame, codes) -> DataFrame:
+        """``codes`` of every vector as ``_codes``: for each table the buckets it is in or looks into."""
+
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for start in range(0, batch.num_rows, 64):
+                    piece = batch.slice(start, 64)
+                    vectors = unit_matrix(piece.column("embedding"), dim)
+                    alive = np.flatnonzero(~np.isnan(vectors[:, 0]))
+                    found = codes(_sides(vectors[alive], signs, hashes))
+                    kept = piece.take(pa.array(alive))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found.tolist(), _CODES)], names=[*kept.schema.names, "_codes"])
+
+        schema = T.StructType([*df.schema, T.StructField("_codes", T.ArrayType(T.ArrayType(T.LongType())))])
+        out = df.mapInArrow(task, schema).select("*", F.posexplode("_codes").alias("_table", "_each"))
+        return out.select(*df.columns, "_table", F.explode("_each").alias("_code"))
+
+    left = index.files.select(
+        *[F.col(c).alias(n) for c, n in zip([*scope, *keep], own)], "idx", "embedding", "block", "place"
+    )
+    right = asks.select(*[F.col(c).alias(n) for c, n in zip(by, asked)], "_q", "embedding")
+    left, right = coded(left, lambda s: _codes(s)[:, :, None]), coded(right, lambda s: probe_codes(s, probes))
+
+    def tiles(df: DataFrame, name: str) -> DataFrame:
+        counts = df.groupBy("_table", "_code").agg(F.count("*").alias("_n"))
+        return counts.select("_table", "_code", F.ceil(F.col("_n") / rows).cast("int").alias(name))
+
+    # Two numbers a bucket.
+    sizes = stored(tiles(left, "_lt").join(tiles(right, "_rt"), ["_table", "_code"]), "buckets")
+
+    def dealt(df: DataFrame, mine: str, other: str, *key: str) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(f"{other}_at")
+        tile = F.pmod(F.xxhash64(*key), F.col(mine)).cast("int").alias(f"{mine}_at")
+        columns = [c for c in df.columns if c not in ("_table", "_code")]
+        return df.join(sizes, ["_table", "_code"]).select(*columns, "_table", "_code", tile, every)
+
+    on = ["_table", "_code", "_lt_at", "_rt_at"]
+    scopes, kept = own[: len(scope)], own[len(scope) :]
+    found = nearest_grouped(
+        dealt(left, "_lt", "_rt", "block", "place"), dealt(right, "_rt", "_lt", "_q"),
+        k, dim, scopes, ["_q", *asked], [*kept, "block", "place"], on, same=["_q"],
+    )
+    # A file may be in a probed bucket of several tables.
+    single = found.repartition(*asked).dropDuplicates([*asked, "_q", "block", "place"])
+    order = Window.partitionBy(*scopes, *asked).orderBy(F.col("cos_sim").desc(), "idx")
+    ranked = single.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
+    names = [F.col(n).alias(c) for c, n in zip(scope, scopes)] + ["idx"] + [F.col(n).alias(c) for c, n in zip(keep, kept)]
+    flat = ranked.select(*names, *[F.col(n).alias(c) for c, n in zip(by, asked)], "cos_sim", "rk")
+    return flat.withColumn("distance", angular_distance(F.col("cos_sim")))
+
+
+_CODES = pa.list_(pa.list_(pa.int64()))
+
+
 def nearest_lsh(
     index: DataFrame,
     queries: DataFrame,
