@@ -2,10 +2,12 @@ import hashlib
 import json
 import math
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+import traceline.operators.embed as embedding
 from traceline.operators.embed import HashModel, LoadedModel, embed, embed_two_models, embedded_ok, failed_files, run_counts
 from traceline.operators.index import build_index
 from traceline.operators.nest import byte_blocks, tree_documents
@@ -143,3 +145,18 @@ def test_counts_come_with_the_pass_that_embeds(spark):
     assert counts.get == {"files_found": 20, "files_indexed": 15, "files_failed": 5} and index.count() == 15
     plan = embed(files, "content", MODEL).observe(Observation("again"), F.count("*"))._jdf.queryExecution().optimizedPlan().toString()
     assert "CollectMetrics" in plan and plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+
+
+def test_words_of_long_texts_are_held_a_run_at_a_time(spark, monkeypatch):
+    """Runs of few bytes give what whole batches give; a text longer than a run stays whole."""
+    texts = ["one two " * n for n in (1, 50, 0, 3, 400, 2, 2)] + [None]
+    column, seen = pa.array(texts), {}
+    monkeypatch.setattr("traceline.operators.embed.SLICE_BYTES", 420)
+    runs = [column[part].to_pylist() for part in embedding._slices(column, 100)]
+    assert [t for run in runs for t in run] == texts
+    assert all(len(run) == 1 or sum(len(t or "") for t in run) <= 420 for run in runs) and len(runs) == 4
+    monkeypatch.setattr("traceline.operators.embed.SEEN_WORDS", 2)
+    for words in ("a b c", "d e f", "g"):
+        embedding._words(pa.array([words]), 8, 0, seen)
+        assert len(seen) <= 5
+    assert embedding._words(pa.array(["a b a"]), 8, 0, seen)[1].tolist() == embedding._words(pa.array(["a b a"]), 8, 0, {})[1].tolist()
