@@ -200,6 +200,56 @@ def test_runs_are_counted_over_the_whole_host(spark):
         assert got == {i: own(i) for i in range(80)} | {100 + i: f"{own(0)} {banner}" for i in range(12)}
 
 
+def test_blocks_of_pages_are_moved_once(spark):
+    """Hosts in many chunks give what one suffix array gives, with copies, and pages with and without an article."""
+    draw = random.Random(11)
+    shared = [" ".join(draw.choice("abcdefghij") * 3 for _ in range(14)) for _ in range(6)]
+
+    def page(i, marked):
+        parts = [f"<p>{' '.join(f'w{i}x{j}' for j in range(12))}</p>"] + [f"<p>{draw.choice(shared)}</p>" for _ in range(3)]
+        end = f"<p>{shared[0]}</p>" if i % 12 else ""
+        return f"<body><nav>{shared[1]}</nav>{'<article>' if marked else ''}{''.join(parts)}{end}{'</article>' if marked else ''}</body>"
+
+    rows = [(i, f"http://{host}/{i}", page(i, host == "marked" or host == "mixed" and i % 3)) for host in ("marked", "mixed", "open") for i in range(70)]
+    rows += draw.choices(rows, k=60) + [(None, "http://open/", None), (None, "http://marked/", "")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    want = []
+    for host in ("marked", "mixed", "open"):
+        mine = [r for r in rows if f"//{host}/" in r[1]]
+        want += zip(mine, html_extract.main_texts([html_extract.page_blocks(r[2] or "") for r in mine]))
+    want = sorted(((r[0], r[1], text, len(text)) for r, text in want), key=repr)
+    for chunk in (700, 6000, 10**9):
+        found = html_extract.extract(table, chunk=chunk)
+        assert sorted(map(tuple, found.collect()), key=repr) == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan[plan.index("Initial Plan") :].splitlines() if "Exchange hashpartitioning" in line]
+    # The pages (twice the same exchange), the runs and the totals; nothing is joined back.
+    assert len(moved) == 4 and "SortMergeJoin" not in plan, plan
+
+
+def test_pages_of_runs_by_brute_force():
+    draw = np.random.default_rng(8)
+    for size, letters in ((0, 1), (5, 2), (60, 1), (400, 2), (400, 5)):
+        tokens, page = draw.integers(0, letters, size), np.sort(draw.integers(0, 12, size))
+        found = {}
+        for i in range(size - 3):
+            if page[i] == page[i + 3]:
+                found.setdefault(tuple(tokens[i : i + 4]), set()).add(page[i])
+        want = [len(found.get(tuple(tokens[i : i + 4]), ())) if i + 3 < size and page[i] == page[i + 3] else 0 for i in range(size)]
+        assert html_extract.run_pages(tokens, page, 4).tolist() == want
+        for least in (3, 8.5):
+            some = html_extract.run_pages(tokens, page, 4, least)
+            assert all(a == b if b >= least else a in (0, b) for a, b in zip(some.tolist(), want))
+
+
+def test_packed_runs_come_back():
+    draw = np.random.default_rng(2)
+    for size in (0, 1, 1000):
+        numbers = np.unique(draw.integers(0, 2**64, size, np.uint64, endpoint=False))
+        assert (html_extract.unpacked(html_extract.packed(numbers)) == numbers).all()
+        assert (html_extract.unpacked_counts(html_extract.packed_counts(numbers >> np.uint64(40))) == numbers >> np.uint64(40)).all()
+
+
 def brute_shingles(text):
     words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
     return frozenset(" ".join(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([" ".join(words)] if words else [])
