@@ -160,3 +160,13 @@ def test_words_of_long_texts_are_held_a_run_at_a_time(spark, monkeypatch):
         embedding._words(pa.array([words]), 8, 0, seen)
         assert len(seen) <= 5
     assert embedding._words(pa.array(["a b a"]), 8, 0, seen)[1].tolist() == embedding._words(pa.array(["a b a"]), 8, 0, {})[1].tolist()
+
+
+def test_remembered_words_stay_few_in_one_long_run(monkeypatch):
+    monkeypatch.setattr("traceline.operators.embed.SEEN_WORDS", 50)
+    seen = {}
+    text = pa.array([" ".join(f"w{i}" for i in range(1000))])
+    found = embedding._words(text, 64, 0, seen)
+    assert len(seen) <= 50
+    again = embedding._words(text, 64, 0, {})
+    assert all((a == b).all() for a, b in zip(found, again)) and len(found[1]) == 1000

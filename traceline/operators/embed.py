@@ -21,8 +21,8 @@ EMBEDDED = "struct<embedding: array<float>, error: string>"
 
 _WORD_BREAK = "[^A-Za-z0-9]+"
 CELLS = 2**21  # counts held at once by a hash model
-SLICE_BYTES = 4 * 2**20  # bytes of texts whose words are held at once
-SEEN_WORDS = 200_000  # words whose buckets are remembered
+SLICE_BYTES = 2**20  # bytes of texts whose words are held at once
+SEEN_WORDS = 100_000  # words whose buckets are remembered
 
 
 def _vectors(rows: np.ndarray, missing: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -34,20 +34,32 @@ def _vectors(rows: np.ndarray, missing: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.ListArray.from_arrays(offsets, pa.array(rows[~missing].ravel(), type=kind))
 
 
+def _release() -> None:
+    """Give back what a batch took; a worker lives on, and waits, with all it once had."""
+    pa.default_memory_pool().release_unused()
+
+
 def _words(texts: pa.Array, dim: int, first_digit: int, seen: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """Text number and bucket of every word of a batch; each word is hashed once, as long as ``seen`` is kept."""
-    if len(seen) > SEEN_WORDS:
+    if len(seen) >= SEEN_WORDS:
         seen.clear()
     words = pc.split_pattern_regex(pc.fill_null(texts, ""), _WORD_BREAK)
     row = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
     coded = pc.ascii_lower(words.flatten()).dictionary_encode()
     vocabulary = coded.dictionary.to_pylist()
-    for word in vocabulary:
-        if word not in seen:
-            digest = hashlib.md5(word.encode()).hexdigest()
-            seen[word] = int(digest[first_digit : first_digit + 8], 16) % dim if word else -1
-    bucket = np.array([seen[w] for w in vocabulary], dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
-    return row[bucket >= 0], bucket[bucket >= 0]
+
+    def number(word: str) -> int:
+        if word in seen:
+            return seen[word]
+        digest = hashlib.md5(word.encode()).hexdigest()
+        found = int(digest[first_digit : first_digit + 8], 16) % dim if word else -1
+        if len(seen) < SEEN_WORDS:
+            seen[word] = found
+        return found
+
+    bucket = np.array([number(w) for w in vocabulary], dtype=np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+    kept = bucket >= 0
+    return row[kept], bucket[kept]
 
 
 @dataclass(frozen=True)
@@ -90,6 +102,8 @@ class HashModel:
 
             for texts in batches:
                 yield _in_slices(texts, max(1, CELLS // dim), vectors)
+                del texts  # else it stays while the next batch is read
+                _release()
 
         return embed.asNondeterministic()(text)
 
@@ -229,6 +243,8 @@ def sum_counts(texts: DataFrame, text: str, group: str, model: HashModel) -> Dat
                 cell, n = np.unique(codes[part][row] * dim + bucket, return_counts=True)
                 names = groups.dictionary.take(pa.array(cell // dim))
                 yield pa.RecordBatch.from_arrays([names, pa.array(cell % dim), pa.array(n)], names=[group, "bucket", "n"])
+            del batch, groups  # else they stay while the next batch is read
+            _release()
 
     kind = texts.schema[group].dataType.simpleString()
     summed = (
