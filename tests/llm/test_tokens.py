@@ -4,11 +4,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from traceline.llm import bpe, packing, range_coder, token_files, tokens
+from traceline.llm import bpe, packing, range_coder, texts, token_files, tokens
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 ODD = [
@@ -121,3 +122,14 @@ def test_token_files_give_back_every_document(odd, spark, tmp_path):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (want.doc_id, start, len(ids), zlib.crc32(ids.tobytes()))
         assert bytes(r.ids) == ids.tobytes()
         start += len(ids)
+
+
+def test_texts_are_sliced_by_their_bytes():
+    rows = ["ab"] * 2000 + [None, "x" * 90, "é" * 30, "y" * 500, "", "z"]
+    batch = pa.record_batch([pa.array(range(len(rows))), pa.array(rows)], names=["doc_id", "text"])
+    parts = [part.column(1).to_pylist() for part in texts.text_slices([batch, batch.slice(0, 0)], 1, 100)]
+    assert [text for part in parts for text in part] == rows
+    assert all(len(part) == 1 or sum(len((text or "").encode()) for text in part) <= 100 for part in parts)
+    assert len(parts) == 44
+    # Short rows share a slice, whatever their number, so a word they share is looked up once.
+    assert [part.num_rows for part in texts.text_slices([batch], 1)] == [len(rows)]

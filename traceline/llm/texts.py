@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 
 ROWS = 1000  # documents handled at once inside an Arrow batch
 WORD_ROWS = 5000  # the same where each distinct word of them is looked up once
+SLICE_BYTES = 4 * 2**20  # bytes of texts handled at once where rows may be long
 
 _TWO_BLANKS = re.compile(r"\s\s")
 _BEFORE_WORD = re.compile(r"(?= \S)")
@@ -23,6 +24,18 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
             yield batch.slice(start, rows)
 
 
+def text_slices(batches: Iterable[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows whose texts have about ``size`` bytes; a longer text is a slice of its own."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        before = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(before, before[start] + size, side="right")) - 1)
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def strings(column: pa.Array) -> list[str]:
     """The texts of a column; a NULL is an empty text."""
     return [text or "" for text in column.to_pylist()]
