@@ -110,6 +110,41 @@ def test_range_coder_gains_and_notices_damage():
         range_coder.decode(frame[:-2])
 
 
+def test_blocks_of_a_frame_are_of_one_length(monkeypatch):
+    monkeypatch.setattr(range_coder, "LANES", 3)
+    for size in (1, 7, 16, 17, 100, 1000):
+        ids = np.random.default_rng(size).integers(0, 2**18, size)
+        frame = range_coder.encode(ids, 16)
+        blocks = -(-size // 16)
+        counts = np.frombuffer(frame, "<u4", 3 * blocks, 16).reshape(-1, 3)[:, 0]
+        assert counts.sum() == size and counts.max() - counts.min() <= 1
+        assert (range_coder.decode(frame) == ids).all()
+
+
+def test_words_of_letters_and_marks_are_looked_up_without_case_and_marks():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, whole = tokens.FileTokenizer(path), Tokenizer.from_file(path)
+    chars = [*"aAbzZàÀÖØßÿÞ×÷ªµºſİ日😀''.,;<|>&~^_019 \n\t\r\v\f\x85\xa0", "é", "'s", "'LL"]
+    draw = np.random.default_rng(4)
+    said = ["".join(draw.choice(chars, n)) for n in draw.integers(0, 40, 2000)] + ["x" * 70 + "!", "!" * 70]
+    for _ in range(2):
+        for text, ids in zip(said, coder.encode_batch(said)):
+            assert list(np.frombuffer(ids, "<u4")) == whole.encode(text, add_special_tokens=False).ids, text
+    coder = tokens.FileTokenizer(path)
+    coder.encode_batch(["Word, word WORD.\nword...\tÉté été!"])
+    assert coder.known.words.to_pylist() == ["word", "été"] and not coder.memo.young
+
+
+def test_word_table_begins_anew_when_it_is_full():
+    asked = []
+    table = texts.WordTable(lambda words: asked.append(words) or [[len(w), 7] for w in words], 4)
+    for words in (["a", "bb", "ccc"], ["bb", "a"], ["ccc", "dddd", "eeeee"], [], ["a", "ccc"]):
+        values = table.of(pa.array(words, pa.large_string()))
+        assert [np.frombuffer(v, "<u4").tolist() for v in values.to_pylist()] == [[len(w), 7] for w in words]
+        assert len(table.words) <= 4
+    assert asked == [["a", "bb", "ccc"], ["dddd", "eeeee"], ["a"]]
+
+
 def test_token_files_give_back_every_document(odd, spark, tmp_path):
     name = public_tokenizers.path("word_bpe_49k.json")
     token_files.write_token_files(odd, f"{tmp_path}/files", name, frame=5000)

@@ -4,12 +4,15 @@ Ids are cut into blocks that start from nothing, so each can be read alone. In
 a block, tables over the last id (order 1) and the last two (order 2) predict
 the next one; how often such predictions have come true, by the confidence of
 either table and by the latest outcomes (order 0), gives three probabilities
-that are mixed in the logistic domain with weights that learn. One arithmetic
-decision codes the prediction's outcome together with, after a miss, the id's
-magnitude under an adaptive order-0 distribution; the bits below follow.
+that are mixed in the logistic domain with weights that learn. An arithmetic
+decision codes the prediction's outcome; after a miss follow the id's magnitude
+under an adaptive order-0 distribution and the bits below it.
 
 Blocks are coded side by side: each step handles one id of every block with
-array operations. All arithmetic is on integers, so any machine decodes alike.
+array operations. Predictions follow every id; counts, weights and magnitudes
+are learned from several ids at once, after fixed numbers of ids. All model
+arithmetic is on integers, and the coder's floats hold whole numbers below
+2**53, so any machine decodes alike.
 
 File format of a frame, little-endian: ``TLID``, version (u16), 0 (u16), ids per
 block (u32), blocks (u32); per block ids (u32), words (u32), CRC-32 of its ids
@@ -24,234 +27,347 @@ import zlib
 import numpy as np
 
 BLOCK = 1024  # ids
-SLOTS = 1024  # contexts per table
+LANES = 4096  # blocks coded side by side; their tables should stay near the processor
+SLOT_BITS = 8  # contexts per table
 CLASSES = 19  # magnitudes: ids below 2**18
-_VERSION = 1
+EVERY = 64  # ids after which is learned, and more often at the start
+_VERSION = 2
 _HEADER = "<4sHHII"
 _HEADER_SIZE = struct.calcsize(_HEADER)
-_TOP, _LOW = np.uint64(48), np.uint64(32)
-_U16, _U24 = np.uint64(16), np.uint64(24)
+_TOP, _LOW, _WORD = 2.0**48, 2.0**32, 2.0**16
+_UNITS = 256  # of a distribution of magnitudes
+_HIT = CLASSES  # the class of a hit: the whole distribution, no bits below
+_ROOM = 32  # places per lane for classes
+_CONTEXTS = 16  # per table and lane
+_SURE = 7  # highest confidence
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """ln(p / (1 - p)) of a 12-bit probability in 1/256, and its inverse."""
-    squash = np.array([round(4096 / (1 + 2.718281828459045 ** (-x / 256))) for x in range(-2047, 2048)]).clip(1, 4095)
-    stretch = np.searchsorted(squash, np.arange(4096)).clip(0, 4094) - 2047
-    return stretch.astype(np.int32), squash.astype(np.int32)
+def _stretched() -> tuple[np.ndarray, np.ndarray]:
+    """ln(p / (1 - p)) in 1/64 of p in 1/4096, and its inverse for sums of three of at most 1023, which leaves a miss 1/64."""
+    squash = np.array([round(4096 / (1 + 2.718281828459045 ** (-x / 64))) for x in range(-511, 512)]).clip(1, 4095)
+    stretch = np.searchsorted(squash, np.arange(4096)).clip(0, 1022) - 511
+    return stretch.astype(np.int32), np.pad(squash, 3 * _MOST - 511, mode="edge").clip(1, 4032).astype(np.int32)
 
 
-_STRETCH, _SQUASH = _tables()
+_MOST = 1023  # what a table may say
+_STRETCH, _SQUASH = _stretched()
+_SHARE = _SQUASH / 4096
+_LEAD = np.array([0] + [1 << c for c in range(CLASSES - 1)] + [0], np.float64)
+_SHRINK = 1 / np.maximum(_LEAD, 1)
+# Of 32 outcomes that count as seen before the first one: the hits, by history and by confidence, when the tables differ and when they agree.
+_SURELY = [1, 4, 10, 16, 20, 22, 24, 26, 1, 10, 16, 20, 22, 24, 26, 28]
+_SEEN = np.array([[2] * _CONTEXTS, _SURELY, _SURELY])
 
 
-class Predictor:
+class Model:
     """The adaptive state of every block (lane)."""
 
     def __init__(self, lanes: int):
-        self.base = np.arange(lanes) * SLOTS
-        self.rows = np.arange(lanes) * 32
-        self.tables = [np.zeros(lanes * SLOTS, np.uint32) for _ in range(2)]  # id above, confidence in 4 bits below
-        self.rates = [np.full(lanes * 32, 1 << 15, np.int32) for _ in range(3)]
-        self.weights = np.full((3, lanes), 1 << 15, np.int32)
-        self.last = np.zeros((2, lanes), np.uint32)
-        self.history = np.zeros(lanes, np.int64)
-        ladder = np.arange(CLASSES + 1) * 4096 // CLASSES
-        self.magnitudes = np.repeat(ladder[None, :], lanes, axis=0).astype(np.int16)
-        self.steps = np.arange(1, CLASSES, dtype=np.int16)
+        self.lanes = lanes
+        self.slots = np.arange(lanes, dtype=np.uint32) << np.uint32(SLOT_BITS)
+        self.rows = np.arange(lanes, dtype=np.uint32) * np.uint32(_CONTEXTS)
+        self.classes = np.arange(lanes) * _ROOM
+        self.tables = [np.zeros(lanes << SLOT_BITS, np.uint32) for _ in range(2)]  # id above, confidence in 3 bits below
+        self.last = [np.zeros(lanes, np.uint32) for _ in range(2)]  # hashes of the last ids
+        self.history = np.zeros(lanes, np.uint32)
+        self.weights = np.full((3, lanes), 3 << 14, np.int32)
+        self.seen = np.full((3, lanes * _CONTEXTS), 32, np.int32)
+        self.hits = np.concatenate([np.tile(s, lanes) for s in _SEEN]).reshape(3, -1).astype(np.int32)
+        self.met = np.ones((lanes, _ROOM), np.int32)
+        self.steps = self.note = 0
+        self.places = np.zeros((3, EVERY, lanes), np.uint32)  # of what the tables said
+        self.parts = np.zeros((3, EVERY, lanes), np.int32)  # what they said
+        self.mixed = np.zeros((EVERY, lanes), np.int32)
+        self.outcomes = np.zeros((EVERY, lanes), np.uint32)
+        self.kinds = np.zeros((EVERY, lanes), np.int64)
+        self._prepare()
 
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Predicted id and 12-bit probability that it is right, of the first ``n`` lanes."""
-        one, two = self.last[0, :n], self.last[1, :n]
-        hashed = (one * np.uint32(0x9E3779B1), (one * np.uint32(0x85EBCA6B)) ^ (two * np.uint32(0xC2B2AE35)))
-        self.at = [self.base[:n] + (h >> np.uint32(22)) for h in hashed]
-        self.found = [table[at] for table, at in zip(self.tables, self.at)]
-        ids = [f >> np.uint32(4) for f in self.found]
-        sure = [(f & np.uint32(15)).astype(np.int64) for f in self.found]
-        same = (ids[0] == ids[1]).astype(np.int64)
-        self.guess = np.where(sure[1] > 0, ids[1], ids[0])
-        contexts = (self.history[:n], 2 * sure[0] + same, 2 * sure[1] + same)
-        self.places = [self.rows[:n] + c for c in contexts]
-        self.inputs = [_STRETCH[rate[place] >> 4] for rate, place in zip(self.rates, self.places)]
-        mixed = sum(w[:n].astype(np.int64) * s for w, s in zip(self.weights, self.inputs)) >> 16
-        self.chance = _SQUASH[np.clip(mixed, -2047, 2047) + 2047]
-        return self.guess, self.chance
-
-    def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        n = len(ids)
-        error = ((hit.astype(np.int32) << 12) - self.chance) * 6
-        goal = hit.astype(np.int32) * 65535
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """Predicted id and the probability that it is right, in whole 1/4096."""
+        k = self.note
+        one, two = self.last
+        second = two * np.uint32(0x9E3779B1)
+        second += one
+        self.at, self.found, self.sure = [], [], []
+        for hashed, table in ((one, self.tables[0]), (second, self.tables[1])):
+            at = hashed >> np.uint32(32 - SLOT_BITS)
+            at += self.slots
+            at = at.astype(np.int64)
+            found = table.take(at)
+            self.at.append(at)
+            self.found.append(found)
+            self.sure.append(found & np.uint32(7))
+        first, second = self.found
+        same = ((first ^ second) < 8).astype(np.uint32)
+        same <<= np.uint32(3)
+        same += self.rows
+        np.add(self.rows, self.history, out=self.places[0, k])
+        np.add(same, self.sure[0], out=self.places[1, k])
+        np.add(same, self.sure[1], out=self.places[2, k])
+        guess = (second == 0).astype(np.uint32)  # an entry in use is never 0
+        guess *= first
+        guess |= second
+        guess >>= np.uint32(3)
         for i in range(3):
-            self.weights[i, :n] += (self.inputs[i] * error + (1 << 9)) >> 10
-            rate = self.rates[i]
-            rate[self.places[i]] += (goal - rate[self.places[i]]) >> 4
-        for table, at, found in zip(self.tables, self.at, self.found):
-            sure = found & np.uint32(15)
-            fresh = (ids << np.uint32(4)) | np.uint32(1)
-            kept = np.where(sure <= 1, fresh, (found & np.uint32(0xFFFFFFF0)) | (sure >> np.uint32(1)))
-            again = found + (sure < 15)
-            table[at] = np.where((found >> np.uint32(4) == ids) & (sure > 0), again, kept)
-        self.last[1, :n] = self.last[0, :n]
-        self.last[0, :n] = ids
-        self.history[:n] = (self.history[:n] * 2 + hit) & 15
+            self.parts[i, k] = self.said[i].take(self.places[i, k].astype(np.int64))
+        mixed = self.mixed[k]
+        np.add(self.parts[0, k], self.parts[1, k], out=mixed)
+        mixed += self.parts[2, k]
+        mixed += 3 * _MOST
+        return guess, _SHARE.take(mixed)
+
+    def update(self, ids: np.ndarray, hit: np.ndarray, place: np.ndarray) -> None:
+        """Learn the next ids, whether they were predicted (1 or 0) and the places of their classes."""
+        k = self.note
+        self.outcomes[k] = hit
+        self.kinds[k] = place
+        self.history <<= np.uint32(1)
+        self.history += hit
+        self.history &= np.uint32(15)
+        fresh = ids << np.uint32(3)
+        fresh += np.uint32(1)
+        for table, at, found, sure in zip(self.tables, self.at, self.found, self.sure):
+            found >>= np.uint32(3)
+            np.minimum(sure, np.uint32(_SURE - 1), out=sure)
+            sure *= (found == ids).astype(np.uint32)
+            sure += fresh
+            table[at] = sure
+        older = self.last[1]
+        np.add(ids, np.uint32(1), out=older)
+        older *= np.uint32(0x85EBCA6B)
+        self.last = [older, self.last[0]]
+        self.steps += 1
+        self.note += 1
+        if self.steps in (8, 16, 32) or self.steps % EVERY == 0:
+            self._learn()
 
-    def learn_magnitude(self, lanes: np.ndarray, magnitude: np.ndarray) -> None:
-        """Move the distributions of some lanes towards what they met; every class keeps a share."""
-        now = self.magnitudes[lanes, 1:CLASSES]
-        up = self.steps[None, :] > magnitude.astype(np.int16)[:, None]
-        change = self.steps[None, :] + up * np.int16(4096 - CLASSES) - now
-        change += (change >> 15) & 31  # rounds towards zero, so that every class keeps a share
-        change >>= 5
-        self.magnitudes[lanes, 1:CLASSES] = now + change
+    def _learn(self) -> None:
+        k, self.note = self.note, 0
+        hit, places = self.outcomes[:k], self.places[:, :k]
+        errors = (hit << np.uint32(12)).astype(np.int32)
+        errors -= _SQUASH.take(self.mixed[:k])
+        errors >>= 2
+        places <<= np.uint32(1)
+        places += hit
+        for i in range(3):
+            both = np.bincount(places[i].ravel(), minlength=self.lanes * 2 * _CONTEXTS).astype(np.int32)
+            self.seen[i] += both[::2]
+            self.seen[i] += both[1::2]
+            self.hits[i] += both[1::2]
+            gain = (self.parts[i, :k] * errors).sum(0, dtype=np.int32) >> 6
+            self.weights[i] += (self.weights[i] >> 8) * np.clip(gain, -1024, 1024) >> 4
+        np.clip(self.weights, 1 << 13, 1 << 17, out=self.weights)
+        self.met += np.bincount(self.kinds[:k].ravel(), minlength=self.met.size).astype(np.int32).reshape(self.met.shape)
+        self._prepare()
 
+    def _prepare(self) -> None:
+        """What each table says, weighted, and the distributions of magnitudes."""
+        rates = self.hits * 4096.0
+        rates /= self.seen
+        said = _STRETCH.take(rates.astype(np.int64)).reshape(3, self.lanes, _CONTEXTS)
+        said *= self.weights[:, :, None]
+        said >>= 16
+        self.said = np.clip(said, -_MOST, _MOST, out=said).reshape(3, -1)
+        met = self.met[:, :CLASSES].astype(np.float64)
+        sizes = np.floor(met * (_UNITS - CLASSES) / met.sum(1, keepdims=True)) + 1
+        sizes[np.arange(self.lanes), sizes.argmax(1)] += _UNITS - sizes.sum(1)
+        begins = np.zeros((self.lanes, _ROOM))
+        np.cumsum(sizes[:, :-1], axis=1, out=begins[:, 1:CLASSES])
+        shares = np.zeros((self.lanes, _ROOM))
+        np.multiply(sizes, _SHRINK[:CLASSES], out=shares[:, :CLASSES])
+        shares[:, _HIT] = _UNITS
+        #: Units before a class, and its units divided among the ids of the class.
+        self.begins, self.shares = begins.ravel(), shares.ravel()
+        self.sizes, self.units = sizes, None
 
-def _magnitude(ids: np.ndarray) -> np.ndarray:
-    """Number of bits of each id."""
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
+    def unit_classes(self) -> np.ndarray:
+        """The class of every unit of every lane's distribution."""
+        if self.units is None:
+            every = np.tile(np.arange(CLASSES, dtype=np.uint8), self.lanes)
+            self.units = np.repeat(every, self.sizes.astype(np.int64).ravel())
+        return self.units
 
 
-class Encoder:
-    """Range coders of all lanes; carries are settled at the end."""
+def _encode_lanes(steps: np.ndarray) -> list[bytes]:
+    """The words of each column of ids."""
+    count, lanes = steps.shape
+    model, room = Model(lanes), count + 64
+    low, width = np.zeros(lanes), np.full(lanes, _TOP)
+    out, at = np.zeros(lanes * room, np.int32), np.arange(lanes) * room
+    starts = at.copy()
 
-    def __init__(self, lanes: int, room: int):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 1 << 48, np.uint64)
-        self.out = np.zeros((lanes, room), np.int32)
-        self.at = np.zeros(lanes, np.int64)
+    def word(small: np.ndarray) -> None:
+        part, spot = low.take(small), at.take(small)
+        high = np.floor(part * (1 / _LOW))
+        out[spot] = high
+        at[small] = spot + 1
+        part -= high * _LOW
+        part *= _WORD
+        low[small] = part
 
-    def narrow(self, n: int, step: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        """Keep ``size`` units of ``step`` from ``start`` on."""
-        low = self.low[:n] + step * start
-        self.range[:n] = step * size
-        over = np.flatnonzero(low >> _TOP)
+    for t in range(count):
+        if t % 16 == 0 and (most := int((at - starts).max())) + 64 > room:
+            wider = np.zeros((lanes, room + room // 2), np.int32)
+            wider[:, :room] = out.reshape(lanes, room)
+            at -= starts
+            out, room = wider.ravel(), wider.shape[1]
+            starts = np.arange(lanes) * room
+            at += starts
+        now = steps[t]
+        guess, share = model.predict()
+        hit = guess == now
+        kind = np.frexp(now.astype(np.float64))[1].astype(np.uint8)
+        np.maximum(kind, hit.view(np.uint8) * np.uint8(2 * _HIT), out=kind)
+        np.minimum(kind, np.uint8(_HIT), out=kind)
+        kind = kind.astype(np.int64)
+        miss = (~hit).astype(np.float64)
+        share *= width
+        bound = np.floor(share, out=share)
+        low += bound * miss
+        width *= miss
+        width -= bound
+        np.abs(width, out=width)
+        place = model.classes + kind
+        width *= 1 / _UNITS
+        np.floor(width, out=width)
+        low += width * model.begins.take(place)
+        width *= model.shares.take(place)
+        np.floor(width, out=width)
+        rest = now - _LEAD.take(kind)
+        rest *= miss
+        rest *= width
+        low += rest
+        over = np.flatnonzero(low >= _TOP)
         if len(over):
-            self.out[over, self.at[over] - 1] += 1
-            low[over] &= np.uint64((1 << 48) - 1)
-        self.low[:n] = low
-        small = np.flatnonzero(self.range[:n] < np.uint64(1 << 32))
+            out[at[over] - 1] += 1
+            low[over] -= _TOP
+        small = np.flatnonzero(width < _LOW)
+        while len(small):
+            word(small)
+            wide = width.take(small)
+            wide *= _WORD
+            width[small] = wide
+            small = small[wide < _LOW]
+        model.update(now, hit.astype(np.uint32), place)
+    every = np.arange(lanes)
+    for _ in range(3):
+        word(every)
+    grid = out.reshape(lanes, room)
+    for column in range(int((at - starts).max()), 0, -1):
+        carry = grid[:, column] >> 16
+        if carry.any():
+            grid[:, column] &= 0xFFFF
+            grid[:, column - 1] += carry
+    words = out.astype("<u2")
+    return [words[a:b].tobytes() for a, b in zip(starts.tolist(), at.tolist())]
+
+
+def _decode_lanes(count: int, body: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Columns of ``count`` ids from the words of each."""
+    lanes = len(words)
+    model = Model(lanes)
+    code = np.zeros(len(body) + 1, np.float64)
+    code[:-1] = body
+    at = np.cumsum(words) - words
+    value = np.zeros(lanes)
+    for _ in range(3):
+        value = value * _WORD + code.take(at)
+        at += 1
+    width, out = np.full(lanes, _TOP), np.zeros((count, lanes), np.uint32)
+    units = np.arange(lanes) * _UNITS
+    for t in range(count):
+        guess, share = model.predict()
+        share *= width
+        bound = np.floor(share, out=share)
+        hit = value < bound
+        miss = (~hit).astype(np.float64)
+        value -= bound * miss
+        width *= miss
+        width -= bound
+        np.abs(width, out=width)
+        width *= 1 / _UNITS
+        np.floor(width, out=width)
+        unit = (value / width).astype(np.int64)
+        np.minimum(unit, _UNITS - 1, out=unit)
+        unit += units
+        kind = model.unit_classes().take(unit)
+        np.maximum(kind, hit.view(np.uint8) * np.uint8(_HIT), out=kind)
+        kind = kind.astype(np.int64)
+        place = model.classes + kind
+        value -= width * model.begins.take(place)
+        width *= model.shares.take(place)
+        np.floor(width, out=width)
+        rest = value / width
+        np.floor(rest, out=rest)
+        value -= width * rest
+        rest += _LEAD.take(kind)
+        hit = hit.astype(np.uint32)
+        now = rest.astype(np.uint32)
+        guess *= hit
+        now += guess
+        out[t] = now
+        small = np.flatnonzero(width < _LOW)
         while len(small):
-            self._word(small)
-            self.range[small] <<= _U16
-            small = small[self.range[small] < np.uint64(1 << 32)]
+            spot, part = at.take(small), value.take(small)
+            part *= _WORD
+            part += code.take(spot, mode="clip")
+            value[small] = part
+            spot += 1
+            at[small] = spot
+            wide = width.take(small)
+            wide *= _WORD
+            width[small] = wide
+            small = small[wide < _LOW]
+        np.minimum(value, width - 1, out=value)  # of use for damaged words only
+        model.update(now, hit, place)
+    return out
 
-    def _word(self, lanes: np.ndarray) -> None:
-        if self.at[lanes].max(initial=0) >= self.out.shape[1]:
-            self.out = np.pad(self.out, ((0, 0), (0, self.out.shape[1] // 2 + 8)))
-        self.out[lanes, self.at[lanes]] = (self.low[lanes] >> _LOW).astype(np.int32)
-        self.low[lanes] = (self.low[lanes] & np.uint64((1 << 32) - 1)) << _U16
-        self.at[lanes] += 1
 
-    def finish(self) -> list[bytes]:
-        every = np.arange(len(self.low))
-        for _ in range(3):
-            self._word(every)
-        for column in range(self.out.shape[1] - 1, 0, -1):
-            carry = self.out[:, column] >> 16
-            if carry.any():
-                self.out[:, column] &= 0xFFFF
-                self.out[:, column - 1] += carry
-        words = self.out.astype("<u2")
-        return [words[lane, : self.at[lane]].tobytes() for lane in range(len(words))]
+def _groups(lanes: int) -> list[tuple[int, int]]:
+    """Even ranges of blocks that are coded side by side."""
+    groups = -(-lanes // LANES)
+    cuts = [i * lanes // groups for i in range(groups)] + [lanes]
+    return list(zip(cuts, cuts[1:]))
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """One frame of ids below ``2**18``; no ids give a frame without blocks."""
+    """One frame of ids below ``2**18`` in blocks of about one length, ``block`` at most; no ids give a frame without blocks."""
     ids = ids.astype(np.uint32)
     if len(ids) and int(ids.max()) >> (CLASSES - 1):
         raise ValueError(f"ids must be below 2**{CLASSES - 1}")
     lanes = -(-len(ids) // block)
-    counts = np.full(lanes, block)
-    if lanes:
-        counts[-1] = len(ids) - (lanes - 1) * block
-    filled = np.zeros(lanes * block, np.uint32)
-    filled[: len(ids)] = ids
-    steps = np.ascontiguousarray(filled.reshape(lanes, block).T) if lanes else filled.reshape(block, 0)
-    model, coder = Predictor(lanes), Encoder(lanes, block + 16)
-    for t in range(block if lanes > 1 else int(counts.sum())):
-        n = lanes if t < counts[-1] else lanes - 1
-        now = steps[t, :n]
-        guess, chance = model.predict(n)
-        hit = guess == now
-        size = _magnitude(now)
-        miss = np.flatnonzero(~hit)
-        first = np.zeros(n, np.int64)
-        share = chance.astype(np.int64) << 12
-        left, ladder = 4096 - chance[miss].astype(np.int64), model.magnitudes
-        begin, end = (ladder[miss, size[miss] + i].astype(np.int64) for i in (0, 1))
-        first[miss] = share[miss] + left * begin
-        share[miss] = left * (end - begin)
-        coder.narrow(n, coder.range[:n] >> _U24, first.astype(np.uint64), share.astype(np.uint64))
-        model.learn_magnitude(miss, size[miss])
-        below = np.where(hit, 0, np.maximum(size - 1, 0)).astype(np.uint64)
-        rest = now.astype(np.uint64) & ((np.uint64(1) << below) - np.uint64(1))
-        coder.narrow(n, coder.range[:n] >> below, rest, np.ones(n, np.uint64))
-        model.update(now, hit)
-    bodies = coder.finish() if lanes else []
-    raw = ids.astype("<u4").tobytes()
-    table = [
-        struct.pack("<III", int(count), len(body) // 2, zlib.crc32(raw[4 * block * i : 4 * block * i + 4 * int(count)]))
-        for i, (count, body) in enumerate(zip(counts, bodies))
-    ]
-    return b"".join([struct.pack(_HEADER, b"TLID", _VERSION, 0, block, lanes), *table, *bodies])
+    count = -(-len(ids) // lanes) if lanes else 0
+    counts = np.full(lanes, count)
+    counts[len(ids) - lanes * (count - 1) :] -= 1
+    # A shorter block is coded with one id 0 behind it.
+    filled = np.zeros((lanes, count), np.uint32)
+    filled[np.arange(count) < counts[:, None]] = ids
+    bodies: list[bytes] = []
+    for first, until in _groups(lanes):
+        bodies += _encode_lanes(np.ascontiguousarray(filled[first:until].T))
+    table = [struct.pack("<III", n, len(body) // 2, zlib.crc32(row[:n].astype("<u4").tobytes())) for n, body, row in zip(counts.tolist(), bodies, filled)]
+    return b"".join([struct.pack(_HEADER, b"TLID", _VERSION, 0, count, lanes), *table, *bodies])
 
 
 def decode(frame: bytes) -> np.ndarray:
     """The ids of a frame; a damaged frame raises ``ValueError``."""
     if len(frame) < _HEADER_SIZE:
         raise ValueError("not a frame of ids")
-    mark, version, _, block, lanes = struct.unpack_from(_HEADER, frame)
+    mark, version, _, count, lanes = struct.unpack_from(_HEADER, frame)
     if mark != b"TLID" or version != _VERSION:
         raise ValueError("not a frame of ids")
+    if len(frame) < _HEADER_SIZE + 12 * lanes or len(frame) % 2:
+        raise ValueError("a frame of ids is cut off or damaged")
     table = np.frombuffer(frame, "<u4", 3 * lanes, _HEADER_SIZE).reshape(lanes, 3).astype(np.int64)
     counts, words, checks = table.T if lanes else (np.zeros(0, np.int64),) * 3
-    body = np.frombuffer(frame, "<u2", -1, _HEADER_SIZE + 12 * lanes)
-    if len(body) != words.sum() or (counts[:-1] != block).any() or (counts[-1:] > block).any() or (counts[-1:] < 1).any():
+    body = np.frombuffer(frame[_HEADER_SIZE + 12 * lanes :], "<u2")
+    if len(body) != words.sum() or (words < 3).any() or ((counts != count) & (counts != count - 1)).any() or (counts < 1).any():
         raise ValueError("a frame of ids is cut off or damaged")
-    code = np.zeros((lanes, int(words.max(initial=0)) + 4), np.uint64)
-    starts = np.cumsum(words) - words
-    code[np.repeat(np.arange(lanes), words), np.arange(len(body)) - np.repeat(starts, words)] = body
-    value = np.zeros(lanes, np.uint64)
-    for i in range(3):
-        value = (value << _U16) | code[:, i]
-    at, width = np.full(lanes, 3), np.full(lanes, 1 << 48, np.uint64)
-    model, out = Predictor(lanes), np.zeros((block, lanes), np.uint32)
-
-    def narrow(n: int, step: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        value[:n] -= step * start
-        width[:n] = step * size
-        small = np.flatnonzero(width[:n] < np.uint64(1 << 32))
-        while len(small):
-            value[small] = (value[small] << _U16) | code[small, np.minimum(at[small], code.shape[1] - 1)]
-            at[small] += 1
-            width[small] <<= _U16
-            small = small[(width[small] < np.uint64(1 << 32)) & (width[small] > 0)]
-
-    for t in range(block if lanes > 1 else int(counts.sum())):
-        n = lanes if t < counts[-1] else lanes - 1
-        guess, chance = model.predict(n)
-        step = width[:n] >> _U24
-        place = np.minimum(value[:n] // step, np.uint64((1 << 24) - 1)).astype(np.int64)
-        share = chance.astype(np.int64) << 12
-        hit = place < share
-        miss = np.flatnonzero(~hit)
-        first = np.zeros(n, np.int64)
-        left, ladder = 4096 - chance[miss].astype(np.int64), model.magnitudes
-        inside = np.minimum((place[miss] - share[miss]) // left, 4095)
-        size = np.zeros(n, np.int64)
-        size[miss] = (ladder[miss, 1:] <= inside[:, None]).sum(axis=1)
-        begin, end = (ladder[miss, size[miss] + i].astype(np.int64) for i in (0, 1))
-        first[miss] = share[miss] + left * begin
-        share[miss] = left * (end - begin)
-        narrow(n, step, first.astype(np.uint64), share.astype(np.uint64))
-        model.learn_magnitude(miss, size[miss])
-        below = np.maximum(size - 1, 0).astype(np.uint64)
-        step = width[:n] >> below
-        rest = np.minimum(value[:n] // step, (np.uint64(1) << below) - np.uint64(1))
-        narrow(n, step, rest, np.ones(n, np.uint64))
-        leading = np.where(size > 0, np.uint64(1) << below, np.uint64(0))
-        now = np.where(hit, guess, (leading | rest).astype(np.uint32))
-        out[t, :n] = now
-        model.update(now, hit)
-    ids = np.ascontiguousarray(out.T)
-    parts = [ids[i, : int(count)] for i, count in enumerate(counts)]
+    starts = np.concatenate([[0], np.cumsum(words)])
+    parts: list[np.ndarray] = []
+    for first, until in _groups(lanes):
+        ids = _decode_lanes(count, body[starts[first] : starts[until]], words[first:until])
+        parts += [row[:n] for row, n in zip(np.ascontiguousarray(ids.T), counts[first:until].tolist())]
     for i, (part, check) in enumerate(zip(parts, checks)):
         if zlib.crc32(part.astype("<u4").tobytes()) != check:
             raise ValueError(f"block {i} of a frame of ids is damaged")

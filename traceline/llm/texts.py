@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 
 ROWS = 1000  # documents handled at once inside an Arrow batch
 WORD_ROWS = 5000  # the same where each distinct word of them is looked up once
-SLICE_BYTES = 4 * 2**20  # bytes of texts handled at once where rows may be long
+SLICE_BYTES = 16 * 2**20  # bytes of texts handled at once where rows may be long
 
 _TWO_BLANKS = re.compile(r"\s\s")
 _BEFORE_WORD = re.compile(r"(?= \S)")
@@ -25,7 +26,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.R
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Rows whose texts have about ``size`` bytes; a longer text is a slice of its own."""
+    """Rows whose texts have at most ``size`` bytes; a longer text is a slice of its own."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         before = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
@@ -69,14 +70,20 @@ def joined_words(texts: list[str], memo: Memo, lead: str) -> list[bytes]:
     words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
     coded = words.flatten().dictionary_encode()
     vocabulary, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False))])
+    counts = words.value_lengths()
     pieces = vocabulary
     if lead:
-        firsts = starts[:-1]
+        numbers = counts.to_numpy(zero_copy_only=False)
+        firsts = np.cumsum(numbers) - numbers
         pieces = [lead + word for word in vocabulary] + [vocabulary[i] for i in index[firsts].tolist()]
         index[firsts] = len(vocabulary) + np.arange(len(texts))
-    data, ends = taken_bytes(pa.array(memo.of([pieces])[0], pa.large_binary()), index)
-    bounds = ends[starts].tolist()
+    return joined_values(pa.array(memo.of([pieces])[0], pa.large_binary()), index, counts)
+
+
+def joined_values(values: pa.Array, index: np.ndarray, counts: pa.Array) -> list[bytes]:
+    """``values[index]`` joined, the first of ``counts`` of them, the next and so on."""
+    data, ends = taken_bytes(values, index)
+    bounds = ends[np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False))])].tolist()
     return [data[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
@@ -88,6 +95,37 @@ def taken_bytes(values: pa.Array, index: np.ndarray) -> tuple[bytes, np.ndarray]
     return b"" if data is None else data.to_pybytes(), ends
 
 
+class WordTable:
+    """Ids of words, each worked out once while the table has room for it.
+
+    Words and ids are Arrow columns. A table that would grow beyond ``size``
+    words begins anew with those asked for last.
+    """
+
+    def __init__(self, make: Callable[[list[str]], list[list[int]]], size: int):
+        self.make, self.size = make, size
+        self.words, self.values = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def of(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words as little-endian unsigned 32-bit integers."""
+        place = pc.index_in(words, value_set=self.words)
+        unknown = words.filter(place.is_null())
+        if len(unknown):
+            if len(self.words) + len(unknown) > self.size:
+                kept = place.drop_null()
+                self.words, self.values = self.words.take(kept), self.values.take(kept)
+                place = pc.index_in(words, value_set=self.words)
+            made = self.make(unknown.to_pylist())
+            offsets = np.zeros(len(made) + 1, np.int64)
+            np.cumsum([4 * len(ids) for ids in made], out=offsets[1:])
+            data = np.fromiter(chain.from_iterable(made), "<u4", int(offsets[-1]) // 4)
+            values = pa.Array.from_buffers(pa.large_binary(), len(made), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            fresh = np.arange(len(self.words), len(self.words) + len(made))
+            self.words, self.values = pa.concat_arrays([self.words, unknown]), pa.concat_arrays([self.values, values])
+            place = pc.replace_with_mask(place, place.is_null(), pa.array(fresh, place.type))
+        return self.values.take(place)
+
+
 class Memo:
     """Values of pieces of text, each worked out once while it is remembered.
 
