@@ -27,36 +27,35 @@ import zlib
 import numpy as np
 
 BLOCK = 1024  # ids
-LANES = 4096  # blocks coded side by side; their tables should stay near the processor
-SLOT_BITS = 8  # contexts per table
+LANES = 6144  # blocks coded side by side; their tables should stay near the processor
+SLOT_BITS = 9  # contexts per order
 CLASSES = 19  # magnitudes: ids below 2**18
-EVERY = 64  # ids after which is learned, and more often at the start
+EVERY = 128  # ids after which is learned, and more often at the start
 _VERSION = 2
 _HEADER = "<4sHHII"
 _HEADER_SIZE = struct.calcsize(_HEADER)
 _TOP, _LOW, _WORD = 2.0**48, 2.0**32, 2.0**16
 _UNITS = 256  # of a distribution of magnitudes
 _HIT = CLASSES  # the class of a hit: the whole distribution, no bits below
-_ROOM = 32  # places per lane for classes
+_ROOM = 20  # places per lane for classes
 _CONTEXTS = 16  # per table and lane
-_SURE = 7  # highest confidence
+_ONE, _THREE, _SIX, _SEVEN, _EIGHT, _FIFTEEN = (np.uint32(n) for n in (1, 3, 6, 7, 8, 15))
+_SHIFT, _SHIFT_3, _LINE = np.uint32(32 - SLOT_BITS), np.uint32(29), np.uint32((1 << SLOT_BITS) - 8)
+_MIX, _MIX_ONE = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
-def _stretched() -> tuple[np.ndarray, np.ndarray]:
-    """ln(p / (1 - p)) in 1/64 of p in 1/4096, and its inverse for sums of three of at most 1023, which leaves a miss 1/64."""
-    squash = np.array([round(4096 / (1 + 2.718281828459045 ** (-x / 64))) for x in range(-511, 512)]).clip(1, 4095)
-    stretch = np.searchsorted(squash, np.arange(4096)).clip(0, 1022) - 511
-    return stretch.astype(np.int32), np.pad(squash, 3 * _MOST - 511, mode="edge").clip(1, 4032).astype(np.int32)
+def _squashed() -> np.ndarray:
+    """1 / (1 + e^-x) in 1/4096, for x in 1/64 from -8 to 8; a miss is left 1/64."""
+    return np.array([round(4096 / (1 + 2.718281828459045 ** (-x / 64))) for x in range(-_MOST, _MOST + 1)]).clip(1, 4032).astype(np.int32)
 
 
-_MOST = 1023  # what a table may say
-_STRETCH, _SQUASH = _stretched()
-_SHARE = _SQUASH / 4096
+_MOST = 511
+_SQUASH = _squashed()
 _LEAD = np.array([0] + [1 << c for c in range(CLASSES - 1)] + [0], np.float64)
 _SHRINK = 1 / np.maximum(_LEAD, 1)
-# Of 32 outcomes that count as seen before the first one: the hits, by history and by confidence, when the tables differ and when they agree.
-_SURELY = [1, 4, 10, 16, 20, 22, 24, 26, 1, 10, 16, 20, 22, 24, 26, 28]
-_SEEN = np.array([[2] * _CONTEXTS, _SURELY, _SURELY])
+# What the tables say at first, in 1/1024: by history and by confidence, when the tables differ and when they agree.
+_SURELY = [-2400, -1200, -400, 0, 300, 500, 700, 900, -2400, -400, 300, 700, 1000, 1200, 1400, 1600]
+_FIRST = np.array([[0] * _CONTEXTS, _SURELY, _SURELY], np.int32)
 
 
 class Model:
@@ -64,149 +63,150 @@ class Model:
 
     def __init__(self, lanes: int):
         self.lanes = lanes
-        self.slots = np.arange(lanes, dtype=np.uint32) << np.uint32(SLOT_BITS)
-        self.rows = np.arange(lanes, dtype=np.uint32) * np.uint32(_CONTEXTS)
-        self.classes = np.arange(lanes) * _ROOM
-        self.tables = [np.zeros(lanes << SLOT_BITS, np.uint32) for _ in range(2)]  # id above, confidence in 3 bits below
-        self.last = [np.zeros(lanes, np.uint32) for _ in range(2)]  # hashes of the last ids
+        self.slots = np.arange(lanes, dtype=np.uint32) << np.uint32(SLOT_BITS + 1)
+        self.table = np.zeros(lanes << (SLOT_BITS + 1), np.uint32)  # id above, confidence in 3 bits below
+        self.last = np.zeros((2, lanes), np.uint32)  # hashes of the last ids
+        self.rows = np.arange(3 * lanes, dtype=np.uint32).reshape(3, -1) * np.uint32(_CONTEXTS)
         self.history = np.zeros(lanes, np.uint32)
-        self.weights = np.full((3, lanes), 3 << 14, np.int32)
-        self.seen = np.full((3, lanes * _CONTEXTS), 32, np.int32)
-        self.hits = np.concatenate([np.tile(s, lanes) for s in _SEEN]).reshape(3, -1).astype(np.int32)
+        self.said = np.concatenate([np.tile(first, lanes) for first in _FIRST])
+        self.weights = np.full((3, lanes), 1 << 8, np.int32)
+        self.gains = np.zeros((3, lanes), np.int32)
+        self.classes = np.arange(lanes) * _ROOM
         self.met = np.ones((lanes, _ROOM), np.int32)
-        self.steps = self.note = 0
-        self.places = np.zeros((3, EVERY, lanes), np.uint32)  # of what the tables said
-        self.parts = np.zeros((3, EVERY, lanes), np.int32)  # what they said
-        self.mixed = np.zeros((EVERY, lanes), np.int32)
-        self.outcomes = np.zeros((EVERY, lanes), np.uint32)
         self.kinds = np.zeros((EVERY, lanes), np.int64)
-        self._prepare()
+        self.steps = self.note = 0
+        self._share_out()
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """Predicted id and the probability that it is right, in whole 1/4096."""
-        k = self.note
+        # Eight contexts of order 1 and eight of order 2 that end in the same ids lie side by side.
         one, two = self.last
-        second = two * np.uint32(0x9E3779B1)
+        both = np.empty((2, self.lanes), np.uint32)
+        first, second = both
+        np.right_shift(one, _SHIFT, out=first)
+        line = first & _LINE
+        line += self.slots
+        first += line
+        np.multiply(two, _MIX, out=second)
         second += one
-        self.at, self.found, self.sure = [], [], []
-        for hashed, table in ((one, self.tables[0]), (second, self.tables[1])):
-            at = hashed >> np.uint32(32 - SLOT_BITS)
-            at += self.slots
-            at = at.astype(np.int64)
-            found = table.take(at)
-            self.at.append(at)
-            self.found.append(found)
-            self.sure.append(found & np.uint32(7))
+        second >>= _SHIFT_3
+        line += line
+        line -= self.slots
+        second += line
+        second += _EIGHT
+        self.at = both.astype(np.int64)
+        self.found = self.table.take(self.at)
+        self.sure = self.found & _SEVEN
         first, second = self.found
-        same = ((first ^ second) < 8).astype(np.uint32)
-        same <<= np.uint32(3)
-        same += self.rows
-        np.add(self.rows, self.history, out=self.places[0, k])
-        np.add(same, self.sure[0], out=self.places[1, k])
-        np.add(same, self.sure[1], out=self.places[2, k])
-        guess = (second == 0).astype(np.uint32)  # an entry in use is never 0
-        guess *= first
-        guess |= second
-        guess >>= np.uint32(3)
-        for i in range(3):
-            self.parts[i, k] = self.said[i].take(self.places[i, k].astype(np.int64))
-        mixed = self.mixed[k]
-        np.add(self.parts[0, k], self.parts[1, k], out=mixed)
-        mixed += self.parts[2, k]
-        mixed += 3 * _MOST
-        return guess, _SHARE.take(mixed)
+        differ = first ^ second
+        same = (differ < _EIGHT).astype(np.uint32)
+        same <<= _THREE
+        places = self.rows.copy()
+        places[0] += self.history
+        places[1:] += same
+        places[1:] += self.sure
+        self.places = places.astype(np.int64)
+        differ *= self.sure[1] < self.sure[0]
+        differ ^= second
+        guess = differ >> _THREE
+        self.parts = self.said.take(self.places)
+        weighted = self.parts * self.weights
+        mixed = weighted[0]
+        mixed += weighted[1]
+        mixed += weighted[2]
+        mixed >>= 12
+        np.maximum(mixed, -_MOST, out=mixed)
+        np.minimum(mixed, _MOST, out=mixed)
+        mixed += _MOST
+        self.chance = _SQUASH.take(mixed)
+        return guess, self.chance
 
     def update(self, ids: np.ndarray, hit: np.ndarray, place: np.ndarray) -> None:
         """Learn the next ids, whether they were predicted (1 or 0) and the places of their classes."""
-        k = self.note
-        self.outcomes[k] = hit
-        self.kinds[k] = place
-        self.history <<= np.uint32(1)
+        self.kinds[self.note] = place
+        self.history <<= _ONE
         self.history += hit
-        self.history &= np.uint32(15)
-        fresh = ids << np.uint32(3)
-        fresh += np.uint32(1)
-        for table, at, found, sure in zip(self.tables, self.at, self.found, self.sure):
-            found >>= np.uint32(3)
-            np.minimum(sure, np.uint32(_SURE - 1), out=sure)
-            sure *= (found == ids).astype(np.uint32)
-            sure += fresh
-            table[at] = sure
-        older = self.last[1]
-        np.add(ids, np.uint32(1), out=older)
-        older *= np.uint32(0x85EBCA6B)
-        self.last = [older, self.last[0]]
+        self.history &= _FIFTEEN
+        error = hit.astype(np.int32)
+        error <<= 12
+        error -= self.chance
+        error >>= 4
+        if not self.steps & 3:
+            self.gains += self.parts * error >> 10
+        self.parts += error
+        self.said[self.places] = self.parts
+        fresh = ids << _THREE
+        fresh += _ONE
+        self.found >>= _THREE
+        entry = (self.found == ids).astype(np.uint32)
+        np.minimum(self.sure, _SIX, out=self.sure)
+        entry *= self.sure
+        entry += fresh
+        self.table[self.at] = entry
+        self.last[1] = self.last[0]
+        fresh *= _MIX_ONE
+        self.last[0] = fresh
         self.steps += 1
         self.note += 1
-        if self.steps in (8, 16, 32) or self.steps % EVERY == 0:
+        if self.steps in (8, 16, 32, 64) or self.steps % EVERY == 0:
             self._learn()
 
     def _learn(self) -> None:
-        k, self.note = self.note, 0
-        hit, places = self.outcomes[:k], self.places[:, :k]
-        errors = (hit << np.uint32(12)).astype(np.int32)
-        errors -= _SQUASH.take(self.mixed[:k])
-        errors >>= 2
-        places <<= np.uint32(1)
-        places += hit
-        for i in range(3):
-            both = np.bincount(places[i].ravel(), minlength=self.lanes * 2 * _CONTEXTS).astype(np.int32)
-            self.seen[i] += both[::2]
-            self.seen[i] += both[1::2]
-            self.hits[i] += both[1::2]
-            gain = (self.parts[i, :k] * errors).sum(0, dtype=np.int32) >> 6
-            self.weights[i] += (self.weights[i] >> 8) * np.clip(gain, -1024, 1024) >> 4
-        np.clip(self.weights, 1 << 13, 1 << 17, out=self.weights)
-        self.met += np.bincount(self.kinds[:k].ravel(), minlength=self.met.size).astype(np.int32).reshape(self.met.shape)
-        self._prepare()
-
-    def _prepare(self) -> None:
-        """What each table says, weighted, and the distributions of magnitudes."""
-        rates = self.hits * 4096.0
-        rates /= self.seen
-        said = _STRETCH.take(rates.astype(np.int64)).reshape(3, self.lanes, _CONTEXTS)
-        said *= self.weights[:, :, None]
-        said >>= 16
-        self.said = np.clip(said, -_MOST, _MOST, out=said).reshape(3, -1)
+        """Weights and magnitudes learn from the last ids."""
+        self.weights += np.clip(self.gains >> 4, -64, 64)
+        np.clip(self.weights, 1 << 6, 1 << 10, out=self.weights)
+        self.gains[:] = 0
+        self.met += np.bincount(self.kinds[: self.note].ravel(), minlength=self.met.size).astype(np.int32).reshape(self.met.shape)
+        self.note = 0
+        self._share_out()
+
+    def _share_out(self) -> None:
+        """Deal the units of every lane's distribution to the magnitudes met, one at least."""
         met = self.met[:, :CLASSES].astype(np.float64)
         sizes = np.floor(met * (_UNITS - CLASSES) / met.sum(1, keepdims=True)) + 1
         sizes[np.arange(self.lanes), sizes.argmax(1)] += _UNITS - sizes.sum(1)
-        begins = np.zeros((self.lanes, _ROOM))
-        np.cumsum(sizes[:, :-1], axis=1, out=begins[:, 1:CLASSES])
-        shares = np.zeros((self.lanes, _ROOM))
-        np.multiply(sizes, _SHRINK[:CLASSES], out=shares[:, :CLASSES])
-        shares[:, _HIT] = _UNITS
-        #: Units before a class, and its units divided among the ids of the class.
-        self.begins, self.shares = begins.ravel(), shares.ravel()
-        self.sizes, self.units = sizes, None
+        self.sizes = sizes.astype(np.int32)
+        ends = self.sizes.cumsum(1, dtype=np.int32)
+        shares = np.full((self.lanes, _ROOM), _UNITS << 8, np.int32)
+        shares[:, :CLASSES] = (self.sizes << 8) + ends - self.sizes
+        #: The units of a class above the units before it.
+        self.shares, self.units = shares.ravel(), None
 
     def unit_classes(self) -> np.ndarray:
         """The class of every unit of every lane's distribution."""
         if self.units is None:
             every = np.tile(np.arange(CLASSES, dtype=np.uint8), self.lanes)
-            self.units = np.repeat(every, self.sizes.astype(np.int64).ravel())
+            self.units = np.repeat(every, self.sizes.ravel())
         return self.units
 
 
+def _narrowed(width: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Where a hit ends."""
+    bound = width * (1 / 4096)
+    np.floor(bound, out=bound)
+    bound *= chance
+    return bound
+
+
+def _tiled(grid: np.ndarray) -> np.ndarray:
+    """Rows as columns."""
+    out = np.empty(grid.shape[::-1], grid.dtype)
+    for a in range(0, grid.shape[0], 64):
+        for b in range(0, grid.shape[1], 64):
+            out[b : b + 64, a : a + 64] = grid[a : a + 64, b : b + 64].T
+    return out
+
+
 def _encode_lanes(steps: np.ndarray) -> list[bytes]:
     """The words of each column of ids."""
     count, lanes = steps.shape
     model, room = Model(lanes), count + 64
     low, width = np.zeros(lanes), np.full(lanes, _TOP)
+    # A carry stays above the 16 bits of the next word until the end.
     out, at = np.zeros(lanes * room, np.int32), np.arange(lanes) * room
     starts = at.copy()
-
-    def word(small: np.ndarray) -> None:
-        part, spot = low.take(small), at.take(small)
-        high = np.floor(part * (1 / _LOW))
-        out[spot] = high
-        at[small] = spot + 1
-        part -= high * _LOW
-        part *= _WORD
-        low[small] = part
-
     for t in range(count):
-        if t % 16 == 0 and (most := int((at - starts).max())) + 64 > room:
+        if t % 16 == 0 and int((at - starts).max()) + 64 > room:
             wider = np.zeros((lanes, room + room // 2), np.int32)
             wider[:, :room] = out.reshape(lanes, room)
             at -= starts
@@ -214,60 +214,78 @@ def _encode_lanes(steps: np.ndarray) -> list[bytes]:
             starts = np.arange(lanes) * room
             at += starts
         now = steps[t]
-        guess, share = model.predict()
+        guess, chance = model.predict()
         hit = guess == now
-        kind = np.frexp(now.astype(np.float64))[1].astype(np.uint8)
-        np.maximum(kind, hit.view(np.uint8) * np.uint8(2 * _HIT), out=kind)
-        np.minimum(kind, np.uint8(_HIT), out=kind)
-        kind = kind.astype(np.int64)
         miss = (~hit).astype(np.float64)
-        share *= width
-        bound = np.floor(share, out=share)
+        hit = hit.astype(np.uint32)
+        kind = now.astype(np.float32).view(np.int32) >> 23  # the exponent
+        kind -= 126
+        np.maximum(kind, hit.view(np.int32) << 8, out=kind)
+        np.minimum(kind, _HIT, out=kind)
+        kind = kind.astype(np.int64)
+        place = model.classes + kind
+        bound = _narrowed(width, chance)
         low += bound * miss
         width *= miss
         width -= bound
         np.abs(width, out=width)
-        place = model.classes + kind
         width *= 1 / _UNITS
         np.floor(width, out=width)
-        low += width * model.begins.take(place)
-        width *= model.shares.take(place)
+        share = model.shares.take(place)
+        low += width * (share & 255).astype(np.float64)
+        share >>= 8
+        width *= share.astype(np.float64)
+        width *= _SHRINK.take(kind)
         np.floor(width, out=width)
-        rest = now - _LEAD.take(kind)
+        rest = now.astype(np.float64)
+        rest -= _LEAD.take(kind)
         rest *= miss
         rest *= width
         low += rest
-        over = np.flatnonzero(low >= _TOP)
-        if len(over):
-            out[at[over] - 1] += 1
-            low[over] -= _TOP
-        small = np.flatnonzero(width < _LOW)
-        while len(small):
-            word(small)
-            wide = width.take(small)
-            wide *= _WORD
-            width[small] = wide
-            small = small[wide < _LOW]
-        model.update(now, hit.astype(np.uint32), place)
-    every = np.arange(lanes)
+        # Every lane writes its next word, and goes on behind it if its range is small.
+        small = width < _LOW
+        high = low * (1 / _LOW)
+        np.floor(high, out=high)
+        out[at] = high.astype(np.int32)
+        at += small
+        small = small.astype(np.float64)
+        high *= _LOW
+        high *= small
+        low -= high
+        small *= _WORD - 1
+        small += 1
+        low *= small
+        width *= small
+        again = np.flatnonzero(width < _LOW)
+        while len(again):
+            _word(again, low, out, at)
+            width[again] *= _WORD
+            again = again[width[again] < _LOW]
+        model.update(now, hit, place)
     for _ in range(3):
-        word(every)
+        _word(np.arange(lanes), low, out, at)
     grid = out.reshape(lanes, room)
-    for column in range(int((at - starts).max()), 0, -1):
-        carry = grid[:, column] >> 16
-        if carry.any():
-            grid[:, column] &= 0xFFFF
-            grid[:, column - 1] += carry
-    words = out.astype("<u2")
-    return [words[a:b].tobytes() for a, b in zip(starts.tolist(), at.tolist())]
+    grid = _tiled(grid[:, : int((at - starts).max())])
+    for column in range(len(grid) - 1, 0, -1):
+        grid[column - 1] += grid[column] >> 16
+    words = _tiled(grid.astype("<u2"))
+    return [row[:n].tobytes() for row, n in zip(words, (at - starts).tolist())]
+
+
+def _word(lanes: np.ndarray, low: np.ndarray, out: np.ndarray, at: np.ndarray) -> None:
+    """The next word of some lanes."""
+    part = low[lanes]
+    high = np.floor(part * (1 / _LOW))
+    out[at[lanes]] = high
+    at[lanes] += 1
+    low[lanes] = (part - high * _LOW) * _WORD
 
 
 def _decode_lanes(count: int, body: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Columns of ``count`` ids from the words of each."""
     lanes = len(words)
     model = Model(lanes)
-    code = np.zeros(len(body) + 1, np.float64)
-    code[:-1] = body
+    code = np.append(body, np.uint16(0))
     at = np.cumsum(words) - words
     value = np.zeros(lanes)
     for _ in range(3):
@@ -276,9 +294,8 @@ def _decode_lanes(count: int, body: np.ndarray, words: np.ndarray) -> np.ndarray
     width, out = np.full(lanes, _TOP), np.zeros((count, lanes), np.uint32)
     units = np.arange(lanes) * _UNITS
     for t in range(count):
-        guess, share = model.predict()
-        share *= width
-        bound = np.floor(share, out=share)
+        guess, chance = model.predict()
+        bound = _narrowed(width, chance)
         hit = value < bound
         miss = (~hit).astype(np.float64)
         value -= bound * miss
@@ -287,15 +304,19 @@ def _decode_lanes(count: int, body: np.ndarray, words: np.ndarray) -> np.ndarray
         np.abs(width, out=width)
         width *= 1 / _UNITS
         np.floor(width, out=width)
-        unit = (value / width).astype(np.int64)
+        unit = value / width
         np.minimum(unit, _UNITS - 1, out=unit)
+        unit = unit.astype(np.int64)
         unit += units
         kind = model.unit_classes().take(unit)
         np.maximum(kind, hit.view(np.uint8) * np.uint8(_HIT), out=kind)
         kind = kind.astype(np.int64)
         place = model.classes + kind
-        value -= width * model.begins.take(place)
-        width *= model.shares.take(place)
+        share = model.shares.take(place)
+        value -= width * (share & 255).astype(np.float64)
+        share >>= 8
+        width *= share.astype(np.float64)
+        width *= _SHRINK.take(kind)
         np.floor(width, out=width)
         rest = value / width
         np.floor(rest, out=rest)
@@ -306,18 +327,24 @@ def _decode_lanes(count: int, body: np.ndarray, words: np.ndarray) -> np.ndarray
         guess *= hit
         now += guess
         out[t] = now
-        small = np.flatnonzero(width < _LOW)
-        while len(small):
-            spot, part = at.take(small), value.take(small)
-            part *= _WORD
-            part += code.take(spot, mode="clip")
-            value[small] = part
-            spot += 1
-            at[small] = spot
-            wide = width.take(small)
-            wide *= _WORD
-            width[small] = wide
-            small = small[wide < _LOW]
+        # Every lane looks at its next word, and takes it in if its range is small.
+        small = width < _LOW
+        part = code.take(at, mode="clip")
+        at += small
+        part *= small
+        part = part.astype(np.float64)
+        small = small.astype(np.float64)
+        small *= _WORD - 1
+        small += 1
+        width *= small
+        value *= small
+        value += part
+        again = np.flatnonzero(width < _LOW)
+        while len(again):
+            value[again] = value[again] * _WORD + code.take(at[again], mode="clip")
+            at[again] += 1
+            width[again] *= _WORD
+            again = again[width[again] < _LOW]
         np.minimum(value, width - 1, out=value)  # of use for damaged words only
         model.update(now, hit, place)
     return out
@@ -341,10 +368,12 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     counts[len(ids) - lanes * (count - 1) :] -= 1
     # A shorter block is coded with one id 0 behind it.
     filled = np.zeros((lanes, count), np.uint32)
-    filled[np.arange(count) < counts[:, None]] = ids
+    long = len(ids) - lanes * (count - 1)
+    filled[:long] = ids[: long * count].reshape(long, count)
+    filled[long:, : count - 1] = ids[long * count :].reshape(lanes - long, max(count - 1, 0))
     bodies: list[bytes] = []
     for first, until in _groups(lanes):
-        bodies += _encode_lanes(np.ascontiguousarray(filled[first:until].T))
+        bodies += _encode_lanes(_tiled(filled[first:until]))
     table = [struct.pack("<III", n, len(body) // 2, zlib.crc32(row[:n].astype("<u4").tobytes())) for n, body, row in zip(counts.tolist(), bodies, filled)]
     return b"".join([struct.pack(_HEADER, b"TLID", _VERSION, 0, count, lanes), *table, *bodies])
 
@@ -367,7 +396,7 @@ def decode(frame: bytes) -> np.ndarray:
     parts: list[np.ndarray] = []
     for first, until in _groups(lanes):
         ids = _decode_lanes(count, body[starts[first] : starts[until]], words[first:until])
-        parts += [row[:n] for row, n in zip(np.ascontiguousarray(ids.T), counts[first:until].tolist())]
+        parts += [row[:n] for row, n in zip(_tiled(ids), counts[first:until].tolist())]
     for i, (part, check) in enumerate(zip(parts, checks)):
         if zlib.crc32(part.astype("<u4").tobytes()) != check:
             raise ValueError(f"block {i} of a frame of ids is damaged")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceline.llm import range_coder
-from traceline.llm.texts import strings, text_slices
+from traceline.llm.texts import text_slices
 from traceline.llm.tokens import tokenizer
 
 FRAME = 1 << 22  # ids from which a frame is closed
@@ -51,7 +51,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end: int
             return pa.RecordBatch.from_arrays([*columns, pa.array([payload], pa.binary())], names=names)
 
         for piece in text_slices(batches, 1):
-            ids = [done + last for done in coder.encode_batch(strings(piece.column(1)))]
+            ids = [done + last for done in coder.encode_column(piece.column(1))]
             keys.append(piece.column(0))
             waiting += ids
             held += sum(map(len, ids)) // 4

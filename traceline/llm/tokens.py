@@ -105,9 +105,8 @@ class FileTokenizer:
         places[order] = np.arange(len(words))
         return values, places
 
-    def _by_words(self, texts: list[str]) -> list[bytes]:
+    def _by_words(self, column: pa.Array) -> list[bytes]:
         """White space parts words and has no ids, and each distinct word is looked up once."""
-        column = pa.array(texts, pa.large_string())
         for blank in "\n\t\r":
             column = pc.replace_substring(column, blank, " ")
         words = pc.split_pattern(column, " ")
@@ -121,9 +120,16 @@ class FileTokenizer:
         spaced = [] if self.words else [i for i, t in enumerate(texts) if i not in marked and has_two_blanks(t)]
         marked |= zip(spaced, (b"".join(parts) for parts in self.memo.of([cut_at_spaces(texts[i]) for i in spaced])))
         plain = [t for i, t in enumerate(texts) if i not in marked]
-        rest = iter(self._by_words(plain) if self.words else joined_words(plain, self.memo, " "))
+        rest = iter(self._by_words(pa.array(plain, pa.large_string())) if self.words else joined_words(plain, self.memo, " "))
         return [marked[i] if i in marked else next(rest) for i in range(len(texts))]
 
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """The same of a column; a NULL is an empty text."""
+        column = pc.fill_null(texts.cast(pa.large_string()), "")
+        if self.words and not any(pc.any(pc.match_substring(column, special)).as_py() for special in self.special):
+            return self._by_words(column)
+        return self.encode_batch(column.to_pylist())
+
 
 _loaded: dict[str, FileTokenizer] = {}
 
