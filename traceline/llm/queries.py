@@ -107,7 +107,7 @@ def op4_token_files(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's ids written to files and read back."""
     path = fresh_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-    return token_files.read_token_files(spark, path).drop("ids")
+    return token_files.read_token_files(spark, path, with_ids=False)
 
 
 @query

@@ -67,10 +67,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end: int
     ordered.mapInArrow(task, schema).write.option("compression", "uncompressed").parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
     """``key, start, n_tokens, ids_crc32, ids`` of every document, from the files alone.
 
     ``start`` counts the ids of all documents before. Damage raises an error.
+    Without ``with_ids`` the ids are read, too, but not handed to Spark.
     """
     frames = spark.read.parquet(path)
     kind = frames.schema["keys"].dataType.elementType.simpleString()
@@ -84,7 +85,9 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
                 if lengths.sum() != len(ids):
                     raise ValueError("a frame's documents do not add up to its ids")
                 ends = np.cumsum(lengths)
-                raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(ends - lengths, ends)]
+                ids = ids.astype("<u4", copy=False)
+                bounds = ends.tolist()
+                raw = [ids[a:b] for a, b in zip([0, *bounds], bounds)]
                 columns = [
                     row.column("part").take(pa.array(np.zeros(len(raw), np.int64))),
                     row.column("frame").take(pa.array(np.zeros(len(raw), np.int64))),
@@ -92,11 +95,13 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
                     pa.array(ends - lengths),
                     pa.array(lengths),
                     pa.array([zlib.crc32(r) for r in raw], pa.int64()),
-                    pa.array(raw, pa.binary()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "frame", key, "start", "n_tokens", "ids_crc32", "ids"])
+                if with_ids:
+                    columns.append(pa.array([r.tobytes() for r in raw], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = f"part int, frame int, `{key}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
+    names = ["part", "frame", key, "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+    schema = f"part int, frame int, `{key}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     documents = frames.mapInArrow(task, schema)
     sizes = frames.select("part", "frame", F.aggregate("lengths", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("_n"))
     # Frames are numbered inside their part; only one total per part meets in one task.
@@ -105,5 +110,5 @@ def read_token_files(spark: SparkSession, path: str, key: str = "doc_id") -> Dat
     parts = sizes.groupBy("part").agg(F.sum("_n").alias("_n")).select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_part"))
     offsets = sizes.select("part", "frame", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_frame")).join(parts, "part")
     return documents.join(offsets, ["part", "frame"]).select(
-        key, (F.col("start") + F.col("_frame") + F.col("_part")).alias("start"), "n_tokens", "ids_crc32", "ids"
+        key, (F.col("start") + F.col("_frame") + F.col("_part")).alias("start"), *names[4:]
     )

@@ -27,6 +27,7 @@ _LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7)
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 _LETTERS_THEN_MARKS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*[!-&(-/:-@\\[-`{-~]*$"
 
+_BLANKS = bytes.maketrans(b"\n\t\r", b"   ")
 _LONGEST = 64  # bytes of a word that is looked up in the table
 
 
@@ -105,12 +106,19 @@ class FileTokenizer:
         places[order] = np.arange(len(words))
         return values, places
 
-    def _by_words(self, column: pa.Array) -> list[bytes]:
-        """White space parts words and has no ids, and each distinct word is looked up once."""
-        for blank in "\n\t\r":
-            column = pc.replace_substring(column, blank, " ")
+    def _by_words(self, column: pa.Array) -> list[bytes] | None:
+        """White space parts words and has no ids, and each distinct word is looked up once. None: a word has a special token."""
+        if not len(column):
+            return []
+        _, offsets, data = column.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(column) + 1, 8 * column.offset)
+        first, size = int(ends[0]), int(ends[-1] - ends[0])
+        parted = data.slice(first, size).to_pybytes().translate(_BLANKS) if size else b""
+        column = pa.Array.from_buffers(column.type, len(column), [None, pa.py_buffer(ends - first), pa.py_buffer(parted)])
         words = pc.split_pattern(column, " ")
         coded = words.flatten().dictionary_encode()
+        if any(pc.any(pc.match_substring(coded.dictionary, special)).as_py() for special in self.special):
+            return None
         values, places = self._word_values(coded.dictionary)
         return joined_values(values, places[coded.indices.to_numpy(zero_copy_only=False)], words.value_lengths())
 
@@ -126,9 +134,8 @@ class FileTokenizer:
     def encode_column(self, texts: pa.Array) -> list[bytes]:
         """The same of a column; a NULL is an empty text."""
         column = pc.fill_null(texts.cast(pa.large_string()), "")
-        if self.words and not any(pc.any(pc.match_substring(column, special)).as_py() for special in self.special):
-            return self._by_words(column)
-        return self.encode_batch(column.to_pylist())
+        found = self._by_words(column) if self.words else None
+        return self.encode_batch(column.to_pylist()) if found is None else found
 
 
 _loaded: dict[str, FileTokenizer] = {}
