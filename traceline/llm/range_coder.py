@@ -106,7 +106,7 @@ class Model:
         places[1:] += same
         places[1:] += self.sure
         self.places = places.astype(np.int64)
-        differ *= self.sure[1] < self.sure[0]
+        differ *= (self.sure[1] < self.sure[0]).astype(np.uint32)
         differ ^= second
         guess = differ >> _THREE
         self.parts = self.said.take(self.places)
@@ -184,7 +184,7 @@ def _narrowed(width: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """Where a hit ends."""
     bound = width * (1 / 4096)
     np.floor(bound, out=bound)
-    bound *= chance
+    bound *= chance.astype(np.float64)
     return bound
 
 
@@ -247,7 +247,7 @@ def _encode_lanes(steps: np.ndarray) -> list[bytes]:
         high = low * (1 / _LOW)
         np.floor(high, out=high)
         out[at] = high.astype(np.int32)
-        at += small
+        at += small.astype(np.int64)
         small = small.astype(np.float64)
         high *= _LOW
         high *= small
@@ -264,11 +264,16 @@ def _encode_lanes(steps: np.ndarray) -> list[bytes]:
         model.update(now, hit, place)
     for _ in range(3):
         _word(np.arange(lanes), low, out, at)
-    grid = out.reshape(lanes, room)
-    grid = _tiled(grid[:, : int((at - starts).max())])
-    for column in range(len(grid) - 1, 0, -1):
-        grid[column - 1] += grid[column] >> 16
-    words = _tiled(grid.astype("<u2"))
+    grid = out.reshape(lanes, room)[:, : int((at - starts).max())]
+    carried = np.arange(lanes)
+    while len(carried):
+        some = grid[carried]
+        carry = some >> 16
+        some &= 0xFFFF
+        some[:, :-1] += carry[:, 1:]
+        grid[carried] = some
+        carried = carried[(some >> 16).any(1)]
+    words = grid.astype("<u2")
     return [row[:n].tobytes() for row, n in zip(words, (at - starts).tolist())]
 
 
@@ -330,10 +335,10 @@ def _decode_lanes(count: int, body: np.ndarray, words: np.ndarray) -> np.ndarray
         # Every lane looks at its next word, and takes it in if its range is small.
         small = width < _LOW
         part = code.take(at, mode="clip")
-        at += small
-        part *= small
+        at += small.astype(np.int64)
         part = part.astype(np.float64)
         small = small.astype(np.float64)
+        part *= small
         small *= _WORD - 1
         small += 1
         width *= small

@@ -64,7 +64,7 @@ class FileTokenizer:
         self.alphabet = _byte_alphabet()
         self.parts = Memo(self._parts, 1_000_000)
         self.memo = Memo(self._pieces, 1_200_000)
-        self.known = WordTable(self._ids, 1_000_000)
+        self.known = WordTable(self._ids, 500_000)
 
     def _split(self, piece: str) -> list[str]:
         """The pattern's matches, found without it for a word and a word with a mark."""
