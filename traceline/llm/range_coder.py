@@ -9,14 +9,15 @@ decision codes the prediction's outcome; after a miss follow the id's magnitude
 under an adaptive order-0 distribution and the bits below it.
 
 Blocks are coded side by side: each step handles one id of every block with
-array operations. Predictions follow every id; counts, weights and magnitudes
-are learned from several ids at once, after fixed numbers of ids. All model
-arithmetic is on integers, and the coder's floats hold whole numbers below
-2**53, so any machine decodes alike.
-
-File format of a frame, little-endian: ``TLID``, version (u16), 0 (u16), ids per
-block (u32), blocks (u32); per block ids (u32), words (u32), CRC-32 of its ids
-as unsigned 32-bit integers (u32); then the blocks' words (u16).
+array operations. Predictions and what a context says follow every id; weights
+and magnitudes are learned from several ids at once, after fixed numbers of
+ids. Floats hold whole numbers below 2**53 or quotients that every machine
+rounds alike, so any machine decodes alike.
+
+File format of a frame, little-endian: ``TLID``, version (u16), 0 (u16), ids of
+the longest block (u32), blocks (u32); per block ids (u32; as many or one less),
+words (u32), CRC-32 of its ids as unsigned 32-bit integers (u32); then the
+blocks' words (u16).
 """
 
 from __future__ import annotations
@@ -369,11 +370,11 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         raise ValueError(f"ids must be below 2**{CLASSES - 1}")
     lanes = -(-len(ids) // block)
     count = -(-len(ids) // lanes) if lanes else 0
+    long = len(ids) - lanes * (count - 1)
     counts = np.full(lanes, count)
-    counts[len(ids) - lanes * (count - 1) :] -= 1
+    counts[long:] -= 1
     # A shorter block is coded with one id 0 behind it.
     filled = np.zeros((lanes, count), np.uint32)
-    long = len(ids) - lanes * (count - 1)
     filled[:long] = ids[: long * count].reshape(long, count)
     filled[long:, : count - 1] = ids[long * count :].reshape(lanes - long, max(count - 1, 0))
     bodies: list[bytes] = []
