@@ -170,3 +170,26 @@ def test_remembered_words_stay_few_in_one_long_run(monkeypatch):
     assert len(seen) <= 50
     again = embedding._words(text, 64, 0, {})
     assert all((a == b).all() for a, b in zip(found, again)) and len(found[1]) == 1000
+
+
+def test_short_words_are_hashed_many_at_once(monkeypatch):
+    """As hashlib hashes them, whatever their lengths and the digits used, without a call of it a word."""
+    words = ["x" * n for n in (*range(1, 60), 64, 119, 120)] + [f"w{i}z" for i in range(300)]
+    monkeypatch.setattr("traceline.operators.embed.HASHED", 100)
+    called, md5 = [], hashlib.md5
+    monkeypatch.setattr(embedding.hashlib, "md5", lambda data: called.append(data) or md5(data))
+    for first in (0, 3, 8, 24, 27):
+        row, bucket = embedding._words(pa.array([" ".join(words)]), 61, first, {})
+        assert bucket.tolist() == [int(md5(w.encode()).hexdigest()[first : first + 8], 16) % 61 for w in words]
+        assert len(row) == len(words) and max(row) == 0
+    assert called and all(len(word) > 55 for word in called)
+
+
+def test_words_end_with_their_text():
+    texts = pa.array(["no", "ab", "ab cd", None, "", "é", "cdé", "ab\n", ".", "x" * 70, "AB"])
+    for column in (texts, texts.cast(pa.large_string()), pa.concat_arrays([texts, texts]).slice(11)):
+        row, words = embedding._split(column.slice(1))
+        assert list(zip(row.tolist(), words.to_pylist())) == [(0, "ab"), (1, "ab"), (1, "cd"), (5, "cd"), (6, "ab"), (8, "x" * 70), (9, "ab")]
+    for empty in (texts.slice(0, 0), pa.array([None, ""], pa.string()), pa.array(["x" * 60])):
+        row, bucket = embedding._words(empty, 8, 0, {})
+        assert len(row) == len(bucket) == (empty.to_pylist() == ["x" * 60])

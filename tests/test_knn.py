@@ -296,3 +296,51 @@ def test_files_and_queries_that_meet_by_bucket_give_the_same(data, scope, rows,
     monkeypatch.setattr(approximate, "PLACE_BYTES", 0)
     by_place = search_buckets(built, queries, 4, scope, ["q"], ["path"], 8).select(*columns).collect()
     assert sorted(by_bucket) == sorted(by_place) and len(by_place) > 100
+
+
+@pytest.mark.parametrize("kind", ["spread", "clusters", "copies", "scopes"])
+def test_leaves_lose_no_neighbour(kind, monkeypatch):
+    """Against all products in double; near clusters, whole leaves are not multiplied."""
+    draw = np.random.default_rng(5)
+    files = draw.normal(size=(4000, DIM))
+    if kind == "clusters":
+        files = 8 * np.eye(DIM)[draw.integers(0, 4, 4000)] + 0.3 * files
+    elif kind == "copies":
+        files[draw.random(4000) < 0.7] = files[0]
+    asks = np.concatenate([files[:60], files[100:160] + 0.1 * draw.normal(size=(60, DIM)), draw.normal(size=(20, DIM))])
+    unit, rows = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (files, asks))
+    scope = np.arange(4000) % (2 if kind == "scopes" else 1)
+    monkeypatch.setattr(knn, "LEAF_QUERIES", 50)
+    monkeypatch.setattr(knn, "LEAF_ROWS", 64)
+    monkeypatch.setattr(knn, "ROUND_CELLS", 2**13)
+    cells, whole = [], knn._promising
+    monkeypatch.setattr(knn, "_promising", lambda rows, files, *a: cells.append(len(rows) * len(files)) or whole(rows, files, *a))
+    bars, ask, got = knn.Bars(5, len(rows)), knn.Asks(rows), []
+    for start in range(0, 4000, 2000):
+        at = np.arange(start, start + 2000)
+        part = pa.table({"s": scope[at], "idx": at, "embedding": pa.array(files[at].tolist())})
+        got += knn.score_table(part, rows, pa.table({"q": np.arange(len(rows))}), 5, ["s"], [], bars, ask)
+    best = knn.still_best(pa.Table.from_batches(got), 5, ["s", "q"])
+    sims = np.rint(rows @ unit.T * knn.UNIT) / knn.UNIT
+    mine = [np.flatnonzero(scope == s) for s in np.unique(scope)]
+    want = {(q, i) for q in range(len(rows)) for m in mine for i in m[np.lexsort((m, -sims[q, m]))[:5]].tolist()}
+    assert set(zip(best.column("q").to_pylist(), best.column("idx").to_pylist())) == want
+    assert kind != "clusters" or sum(cells) < 0.5 * sims.size
+
+
+def test_parts_of_the_queries_are_worked_off_side_by_side(data, monkeypatch):
+    index, queries, vectors, repos = data
+    written, store = [], knn.stored
+    monkeypatch.setattr(knn, "stored", lambda df, label: written.append(label) or store(df, label))
+    found = nearest(index, queries, 3, DIM, by=["q"], broadcast_bytes=8 * DIM * 10)
+    assert set(map(tuple, found.select("repo_id", "q", "rk", "idx").collect())) == brute(vectors, repos, range(0, 300, 10), 3)
+    assert written.count("hits") == 2  # five parts
+
+
+def test_batches_are_put_together_up_to_a_size():
+    batches = [pa.record_batch({"idx": list(range(start, start + n))}) for start, n in ((0, 3), (3, 4), (7, 0), (7, 12), (19, 1))]
+    for least, most in ((1, 5), (5, 5), (8, 8), (100, 100)):
+        pieces = list(knn._pieces(batches, least, most))
+        assert [i for p in pieces for i in p.column("idx").to_pylist()] == list(range(20))
+        assert max(p.num_rows for p in pieces) <= most and all(p.column("idx").num_chunks == 1 for p in pieces)
+    assert len(list(knn._pieces(batches, 1, 100))) == 4 and len(list(knn._pieces(batches, 100, 100))) == 1
